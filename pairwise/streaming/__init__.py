@@ -1,0 +1,4 @@
+"""No streaming operator: every input of this engine is a closed batch of files.
+
+Incremental work is batch resume, see ``pairwise.operators.entities.pending``.
+"""
