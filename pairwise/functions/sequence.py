@@ -4,7 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from pairwise.constants import MAX_LAG, PROPERTY_NAMES, RESIDUE_PROPERTIES, RESIDUES
 
@@ -22,18 +22,12 @@ def residue_table(spark):
     return spark.createDataFrame(rows, f"residue string, {columns}")
 
 
-@F.pandas_udf("array<double>")
-def sequence_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Length, 20 residue shares, then the mean squared property difference at lags 1..10.
-
-    Residue pairs at a lag are counted into a 21 x 21 histogram (the last code is "not a residue")
-    and the histogram is weighted with the squared differences: one pass per lag for all three
-    properties. Array expressions in the JVM were measured to be over a hundred times slower.
-    """
+def _sequence_udf():
+    """Built here so that the tables travel with the function and tasks need no package import."""
     other = len(RESIDUES)
+    max_lag = MAX_LAG
     codes = np.full(256, other, dtype=np.int64)
-    for i, residue in enumerate(RESIDUES):
-        codes[ord(residue)] = i
+    codes[[ord(residue) for residue in RESIDUES]] = range(other)
     z = residue_zscores()
     weights = np.zeros((other + 1, other + 1, 4))
     weights[:other, :other, :3] = (z[:, None, :] - z[None, :, :]) ** 2
@@ -44,8 +38,8 @@ def sequence_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         letters = codes[np.frombuffer((text or "").encode("latin-1", "replace"), dtype=np.uint8)]
         n = len(letters)
         shares = np.bincount(letters, minlength=other + 1)[:other] / max(n, 1)
-        lags = np.zeros((3, MAX_LAG))
-        for lag in range(1, min(MAX_LAG, n - 1) + 1):
+        lags = np.zeros((3, max_lag))
+        for lag in range(1, min(max_lag, n - 1) + 1):
             pairs = np.bincount(
                 letters[:-lag] * (other + 1) + letters[lag:], minlength=len(weights)
             )
@@ -54,5 +48,18 @@ def sequence_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 lags[:, lag - 1] = np.array(sums) / count
         return np.concatenate([[float(n)], shares, lags.reshape(-1)])
 
-    for batch in batches:
-        yield batch.map(vector)
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([vector(text) for text in batch])
+
+    return F.pandas_udf(vectors, T.ArrayType(T.DoubleType()))
+
+
+def sequence_vector(sequence) -> Column:
+    """Length, 20 residue shares, then the mean squared property difference at lags 1..10.
+
+    Residue pairs at a lag are counted into a 21 x 21 histogram (the last code is "not a residue")
+    and the histogram is weighted with the squared differences: one pass per lag for all three
+    properties. Array expressions in the JVM were measured to be over a hundred times slower.
+    """
+    return _sequence_udf()(sequence)
