@@ -13,7 +13,7 @@ from pairwise.constants import (
 )
 from pairwise.functions.names import compound_names, profile_names, sequence_names
 from pairwise.functions.sequence import residue_zscores
-from pairwise.functions.smiles import ATOM_TOKEN, BRACKET_SYMBOL, ELEMENT_COUNTS, HALOGENS
+from pairwise.functions.smiles import BRACKET_ATOM, ELEMENT_COUNTS, HALOGENS, ORGANIC_LETTERS
 from pairwise.operators import assemble, compounds, entities, ordinal, profiles, sequences
 from pairwise.operators.compounds import SAME_AS
 from pairwise.plans.features import feature_table
@@ -97,7 +97,8 @@ profile_features AS (
   SELECT accession, list_concat(profile_stats, profile_lags) AS profile_vector
   FROM profile_stats JOIN profile_lags USING (accession))"""
 
-_TOKEN = ATOM_TOKEN.replace("'", "''")
+# The SQL lists the atoms one by one; the engine counts letters.
+_TOKEN = f"{BRACKET_ATOM.replace('(', '(?:')}|Br|Cl|[{ORGANIC_LETTERS}]|\\*"
 
 
 def _census_sql(source, key, text):
@@ -113,7 +114,7 @@ def _census_sql(source, key, text):
     columns = ", ".join(f"{c}::BIGINT AS {n}" for n, c in counts.items())
     return f"""tokens AS (
   SELECT {key}, list_transform(regexp_extract_all({text}, '{_TOKEN}'), lambda t:
-    CASE WHEN t[1] = '[' THEN regexp_extract(t, '{BRACKET_SYMBOL}', 1) ELSE t END) AS raw
+    CASE WHEN t[1] = '[' THEN regexp_extract(t, '{BRACKET_ATOM}', 1) ELSE t END) AS raw
   FROM {source}),
 symbol_lists AS (
   SELECT {key}, list_filter(list_transform(raw, lambda t: concat(upper(t[1]), lower(t[2:]))),

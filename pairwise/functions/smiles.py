@@ -1,10 +1,11 @@
 """Element counts of a compound string."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# --- fixed values: atom tokens, and the descriptor that counts each element -------------------
-ATOM_TOKEN = r"(\[[0-9]*(?:[A-Za-z][a-z]?|\*)[^\]]*\]|Br|Cl|[BCNOPSFI]|[bcnops]|\*)"
-BRACKET_SYMBOL = r"^\[[0-9]*([A-Z][a-z]?|[a-z]+|\*)"
+# --- fixed values: atoms of a compound string, and the descriptor that counts each element -----
+# An atom is a bracket atom or a letter of the organic subset; * is a dummy atom.
+BRACKET_ATOM = r"\[[0-9]*([A-Z][a-z]?|[a-z]+|\*)[^\]]*\]"
+ORGANIC_LETTERS = "BCNOPSFIbcnops"
 ELEMENT_COUNTS = {
     "CarbonCount": "C",
     "NitrogenCount": "N",
@@ -16,36 +17,55 @@ ELEMENT_COUNTS = {
     "BromineCount": "Br",
     "IodineCount": "I",
 }
+# letters that stand for an element outside brackets; Cl also contains the letter C
+PLAIN_LETTERS = {
+    "C": "[Cc]", "N": "[Nn]", "O": "[Oo]", "S": "[Ss]", "P": "[Pp]",
+    "F": "F", "Cl": "Cl", "Br": "Br", "I": "I",
+}
 HALOGENS = ["F", "Cl", "Br", "I"]
+COUNT_NAMES = [*ELEMENT_COUNTS, "HalogenCount", "HeavyAtomCount", "AtomCount", "NO_Count"]
 # ----------------------------------------------------------------------------------------------
 
 
-def atom_symbols(text: Column) -> Column:
-    """Element symbol of every atom in the string, explicit hydrogens left out.
+def census(text: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The 13 count descriptors of a compound string, explicit hydrogens left out.
 
-    ``*`` stands for a dummy atom.
+    Returns two layers of columns to add one after the other; the first holds raw counts under
+    private names. Every organic atom has exactly one letter of the organic subset, so letter
+    counts give the atoms and no token list is built. Bracket atoms are counted from the list of
+    their symbols, which is short.
     """
+    plain = F.regexp_replace(text, BRACKET_ATOM, " ")
+    brackets = F.transform(F.regexp_extract_all(text, F.lit(BRACKET_ATOM), F.lit(1)), F.initcap)
 
-    def symbol(token: Column) -> Column:
-        return (
-            F.when(token.startswith("["), F.initcap(F.regexp_extract(token, BRACKET_SYMBOL, 1)))
-            .when(F.length(token) == 1, F.upper(token))
-            .otherwise(token)
-        )
-
-    tokens = F.regexp_extract_all(text, F.lit(ATOM_TOKEN), F.lit(1))
-    return F.filter(F.transform(tokens, symbol), lambda s: s != "H")
+    def matches(pattern: str) -> Column:
+        return F.regexp_count("_plain", F.lit(pattern))
 
+    def inside(symbol: str) -> Column:
+        return F.size(F.filter("_brackets", lambda s: s == symbol))
 
-def census(symbols: Column) -> dict[str, Column]:
-    """The 13 count descriptors from an array of element symbols."""
+    counts = {
+        name: matches(PLAIN_LETTERS[symbol]) + inside(symbol)
+        for name, symbol in ELEMENT_COUNTS.items()
+    }
+    counts["CarbonCount"] = counts["CarbonCount"] - matches("Cl")
+    counts["HeavyAtomCount"] = matches(f"[{ORGANIC_LETTERS}]") + F.size(
+        F.filter("_brackets", lambda s: ~s.isin("H", "*"))
+    )
+    counts["_dummies"] = matches(r"\*") + inside("*")
+    return {"_plain": plain, "_brackets": brackets}, counts
 
-    def count(*elements: str) -> Column:
-        return F.size(F.filter(symbols, lambda s: s.isin(*elements))).cast("long")
 
-    counts = {name: count(symbol) for name, symbol in ELEMENT_COUNTS.items()}
-    counts["HalogenCount"] = count(*HALOGENS)
-    counts["HeavyAtomCount"] = F.size(F.filter(symbols, lambda s: s != "*")).cast("long")
-    counts["AtomCount"] = F.size(symbols).cast("long")
-    counts["NO_Count"] = count("N", "O")
-    return counts
+def with_census(df: DataFrame, text: str) -> DataFrame:
+    """Add the 13 count descriptors of the compound string in ``text``."""
+    parts, counts = census(F.col(text))
+    halogens = [n for n, symbol in ELEMENT_COUNTS.items() if symbol in HALOGENS]
+    totals = {
+        "HalogenCount": sum((F.col(n) for n in halogens), F.lit(0)),
+        "AtomCount": F.col("HeavyAtomCount") + F.col("_dummies"),
+        "NO_Count": F.col("NitrogenCount") + F.col("OxygenCount"),
+    }
+    return (
+        df.withColumns(parts).withColumns(counts).withColumns(totals)
+        .drop("_plain", "_brackets", "_dummies")
+    )

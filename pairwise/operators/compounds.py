@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairwise.constants import DESCRIPTORS
 from pairwise.functions.scalar import finite_or_zero
-from pairwise.functions.smiles import atom_symbols, census
+from pairwise.functions.smiles import COUNT_NAMES, with_census
 
 # --- fixed values: descriptors that repeat another one ------------------------------------------
 # LipinskiViolations holds the rotatable bond count, not a number of violations.
@@ -29,14 +29,11 @@ def rule_flags() -> dict[str, Column]:
     }
 
 
-def complete_descriptors(table: DataFrame, counts: dict[str, Column] | None = None) -> DataFrame:
-    """Add what follows from the columns at hand: repeats, rule flags, element counts.
+def complete_descriptors(table: DataFrame) -> DataFrame:
+    """Add what follows from the columns at hand: repeats and rule flags.
 
     Columns that the table already has stay as they are.
     """
-    counts = counts or {}
-    added = {n: c for n, c in counts.items() if n not in table.columns}
-    table = table.withColumns(added)
     repeats = {
         n: F.col(source)
         for n, source in SAME_AS.items()
@@ -59,10 +56,8 @@ def aligned(table: DataFrame) -> list[Column]:
 
 def element_census(table: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` and the 13 counts of the compound string."""
-    symbols = table.select(key, atom_symbols(F.col(text)).alias("_symbols"))
-    return symbols.select(
-        key, *[column.alias(name) for name, column in census(F.col("_symbols")).items()]
-    )
+    counted = with_census(table.select(key, text), text)
+    return counted.select(key, *[F.col(name).cast("long").alias(name) for name in COUNT_NAMES])
 
 
 def compound_features(compounds: DataFrame, descriptors: DataFrame, on: str = "smile") -> DataFrame:
@@ -71,9 +66,7 @@ def compound_features(compounds: DataFrame, descriptors: DataFrame, on: str = "s
     ``descriptors`` holds graph-based descriptors per ``on``; element counts come from the string
     where the table lacks them.
     """
-    symbols = compounds.select(
-        "compound_cid", *({on} - {"compound_cid"}), atom_symbols(F.col("smile")).alias("_symbols")
-    )
-    joined = symbols.join(descriptors.dropDuplicates([on]), on, "left")
-    full = complete_descriptors(joined, census(F.col("_symbols")))
+    missing = [name for name in COUNT_NAMES if name not in descriptors.columns]
+    counted = with_census(compounds, "smile").select("compound_cid", *({on} - {"compound_cid"}), *missing)
+    full = complete_descriptors(counted.join(descriptors.dropDuplicates([on]), on, "left"))
     return full.select("compound_cid", F.array(*aligned(full)).alias("compound_vector"))
