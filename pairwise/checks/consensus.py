@@ -11,6 +11,7 @@ from pairwise.constants import (
 )
 from pairwise.operators import agreement, consensus, distributions, pairs
 from pairwise.params import ConsensusParams, sweep_thresholds
+from pairwise.session import stage
 from pairwise.sinks import tables
 from pairwise.sources import predictions as sources
 from pairwise.sources import runs
@@ -39,6 +40,10 @@ def stats(spark, d):
     return pairs.pair_stats(inputs.predictions(spark, d))
 
 
+def value_counts(spark, d):
+    return stage(distributions.value_counts(stats(spark, d)), "value-counts")
+
+
 STATS = f"""WITH {inputs.PREDICTIONS},
 counted AS (
   SELECT protein_id, compound_id, count(*) AS total_models,
@@ -388,7 +393,7 @@ def _advice_rules(spark, d):
   round(min(value), 6) AS min, round(max(value), 6) AS max FROM metrics GROUP BY metric""",
 )
 def _distribution_stats(spark, d):
-    return tidy(distributions.distribution_stats(stats(spark, d)))
+    return tidy(distributions.distribution_stats(value_counts(spark, d)))
 
 
 def _share_sql(label, groups):
@@ -455,7 +460,7 @@ LEFT JOIN counts c ON c.metric = s.metric AND c.bin = b.bin"""
     _histogram_sql(20, distributions.METRICS, "coalesce(pairs, 0) AS pairs"),
 )
 def _histogram20(spark, d):
-    return tidy(distributions.histogram(stats(spark, d), 20)).drop("density")
+    return tidy(distributions.histogram(value_counts(spark, d), 20)).drop("density")
 
 
 @register(
@@ -465,7 +470,7 @@ def _histogram20(spark, d):
     ),
 )
 def _density30(spark, d):
-    return tidy(distributions.density(stats(spark, d), 30))
+    return tidy(distributions.density(value_counts(spark, d), 30))
 
 
 @register(
@@ -482,7 +487,7 @@ SELECT metric, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS med
 FROM metrics JOIN f USING (metric) GROUP BY metric""",
 )
 def _box_stats(spark, d):
-    return tidy(distributions.box_stats(stats(spark, d)))
+    return tidy(distributions.box_stats(value_counts(spark, d)))
 
 
 @register(
@@ -714,4 +719,4 @@ def _report_sql():
 @register("report_rows", _report_sql())
 def _report_rows(spark, d):
     frame = inputs.predictions(spark, d)
-    return tidy(tables.report(pairs.pair_stats(frame), frame, P))
+    return tidy(tables.report(stage(pairs.pair_stats(frame), "pair-stats"), frame, P))

@@ -5,19 +5,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 BUCKETS = 65_536
 
 
-def exact_quantiles(df: DataFrame, key: str, value: str, probabilities: list[float]) -> DataFrame:
-    """``key, probability, quantile`` with linear interpolation between the two nearest ranks.
-
-    Equal values are counted first, so a frequent value is one row. The range of a key is cut into
-    equally wide buckets; the bucket number never falls as the value rises, so bucket counts tell
-    which bucket holds a rank, and only the distinct values of those buckets are sorted. ``key``
-    has few values (metric names), which bounds everything that is broadcast.
+def exact_quantiles(counts: DataFrame, probabilities: list[float]) -> DataFrame:
+    """``metric, probability, quantile`` with linear interpolation between the two nearest ranks.
+
+    ``counts`` has ``metric, value, n``: distinct values and how often they occur, so a frequent
+    value is one row. It is read several times: pass a staged table. The range of a metric is cut
+    into equally wide buckets; the bucket number never falls as the value rises, so bucket counts
+    tell which bucket holds a rank, and only the distinct values of those buckets are sorted. There
+    are few metrics, which bounds everything that is broadcast.
     """
-    counted = (
-        df.select(F.col(key).alias("key"), F.col(value).alias("value"))
-        .groupBy("key", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    counted = counts.withColumnRenamed("metric", "key")
     spans = counted.groupBy("key").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")
     )
@@ -61,5 +58,5 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probabilities: list[flo
     return (
         targets.join(low, ["key", "low"])
         .join(high, ["key", "high"])
-        .select(F.col("key").alias(key), "probability", blend.alias("quantile"))
+        .select(F.col("key").alias("metric"), "probability", blend.alias("quantile"))
     )

@@ -13,34 +13,45 @@ METRICS = {
 }
 
 
-def metric_values(stats: DataFrame, metrics=tuple(METRICS)) -> DataFrame:
-    """``metric, value``: the statistics in long form."""
+def value_counts(stats: DataFrame) -> DataFrame:
+    """``metric, value, n``: distinct values of the three metrics.
+
+    The figures below all derive from this table, which is far smaller than the pairs. They read it
+    more than once, so stage it first.
+    """
     entries = [
-        F.struct(F.lit(m).alias("metric"), F.round(METRICS[m], MEAN_DIGITS).alias("value"))
-        for m in metrics
+        F.struct(F.lit(m).alias("metric"), F.round(column, MEAN_DIGITS).alias("value"))
+        for m, column in METRICS.items()
     ]
-    return stats.select(F.inline(F.array(*entries)))
+    long = stats.select(F.inline(F.array(*entries)))
+    return long.groupBy("metric", "value").agg(F.count("*").alias("n"))
 
 
-def distribution_stats(stats: DataFrame) -> DataFrame:
+def distribution_stats(counts: DataFrame) -> DataFrame:
     """Mean, median, population deviation, minimum and maximum per metric.
 
     One NaN makes every figure of its metric NaN.
     """
-    values = metric_values(stats)
-    medians = exact_quantiles(values, "metric", "value", [0.5]).select(
-        "metric", F.col("quantile").alias("median")
+    v, n = F.col("value"), F.col("n")
+    medians = exact_quantiles(counts, [0.5]).select("metric", F.col("quantile").alias("median"))
+    plain = counts.groupBy("metric").agg(
+        (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
     )
-    plain = values.groupBy("metric").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    # plain: one row per metric
+    spread = (
+        counts.join(F.broadcast(plain.select("metric", "mean")), "metric")
+        .groupBy("metric")
+        .agg(F.sqrt(F.sum((v - F.col("mean")) ** 2 * n) / F.sum(n)).alias("std"))
     )
     tainted = F.isnan("max")
     figures = ["mean", "median", "std", "min", "max"]
-    return plain.join(medians, "metric").select(
-        "metric", *[F.when(tainted, F.lit(float("nan"))).otherwise(F.col(f)).alias(f) for f in figures]
+    return (
+        plain.join(medians, "metric")
+        .join(spread, "metric")
+        .select(
+            "metric",
+            *[F.when(tainted, F.lit(float("nan"))).otherwise(F.col(f)).alias(f) for f in figures],
+        )
     )
 
 
@@ -88,35 +99,34 @@ def ratio_bins(stats: DataFrame) -> DataFrame:
     return _shares(stats, groups, "ratio_bin")
 
 
-def histogram(stats: DataFrame, bins: int = 20, metrics=tuple(METRICS)) -> DataFrame:
+def histogram(counts: DataFrame, bins: int = 20, metrics=tuple(METRICS)) -> DataFrame:
     """Equal bins between minimum and maximum, all half-open but the last; empty bins included.
 
     A value's bin is the number of inner edges that do not exceed it, which is safe for values on
     an edge. A metric with a single value gets the range value ± 0.5.
     """
-    values = metric_values(stats, metrics).filter(~F.isnan("value"))
+    values = counts.filter(F.col("metric").isin(*metrics) & ~F.isnan("value"))
     lo, hi = F.min("value"), F.max("value")
     spans = values.groupBy("metric").agg(
         F.when(lo == hi, lo - 0.5).otherwise(lo).alias("lo"),
         F.when(lo == hi, hi + 0.5).otherwise(hi).alias("hi"),
-        F.count("*").alias("total"),
+        F.sum("n").alias("total"),
     )
-    width = (F.col("hi") - F.col("lo")) / bins
-    spans = spans.withColumn("width", width)
+    spans = spans.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     passed = [
         (F.col("value") >= F.col("lo") + F.col("width") * i).cast("int") for i in range(1, bins)
     ]
     # spans: one row per metric
-    counts = (
+    filled = (
         values.join(F.broadcast(spans), "metric")
         .groupBy("metric", sum(passed, F.lit(0)).alias("bin"))
-        .agg(F.count("*").alias("pairs"))
+        .agg(F.sum("n").alias("pairs"))
     )
     frame = spans.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     start = F.col("lo") + F.col("width") * F.col("bin")
     end = F.col("lo") + F.col("width") * (F.col("bin") + 1)
     pairs = F.coalesce("pairs", F.lit(0))
-    return frame.join(counts, ["metric", "bin"], "left").select(
+    return frame.join(filled, ["metric", "bin"], "left").select(
         "metric",
         "bin",
         start.alias("bin_start"),
@@ -126,32 +136,39 @@ def histogram(stats: DataFrame, bins: int = 20, metrics=tuple(METRICS)) -> DataF
     )
 
 
-def density(stats: DataFrame, bins: int = 30) -> DataFrame:
+def density(counts: DataFrame, bins: int = 30) -> DataFrame:
     """Density histogram of probability and confidence."""
-    return histogram(stats, bins, ("probability", "confidence")).drop("pairs")
+    return histogram(counts, bins, ("probability", "confidence")).drop("pairs")
 
 
-def _fences(values: DataFrame) -> DataFrame:
-    """Quartiles and outlier limits, one row per metric."""
-    quartiles = exact_quantiles(values, "metric", "value", [0.25, 0.5, 0.75])
+def _fenced(counts: DataFrame) -> DataFrame:
+    """Every value with the quartiles of its metric and the outlier limits."""
+    values = counts.filter(~F.isnan("value"))
     at = {0.25: "q1", 0.5: "median", 0.75: "q3"}
-    wide = quartiles.groupBy("metric").agg(
-        *[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(n) for p, n in at.items()]
+    fences = (
+        exact_quantiles(values, list(at))
+        .groupBy("metric")
+        .agg(
+            *[
+                F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name)
+                for p, name in at.items()
+            ]
+        )
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    return wide.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
+    fences = fences.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
+    # fences: one row per metric
+    return values.join(F.broadcast(fences), "metric")
 
 
-def box_stats(stats: DataFrame) -> DataFrame:
+def box_stats(counts: DataFrame) -> DataFrame:
     """Box-plot figures: quartiles, whiskers at the last value within 1.5 IQR, outlier count."""
-    values = metric_values(stats).filter(~F.isnan("value"))
     v = F.col("value")
-    # fences: one row per metric
-    placed = values.join(F.broadcast(_fences(values)), "metric")
-    boxes = placed.groupBy("metric", "q1", "median", "q3").agg(
+    beyond = (v < F.col("low")) | (v > F.col("high"))
+    boxes = _fenced(counts).groupBy("metric", "q1", "median", "q3").agg(
         F.min(F.when(v >= F.col("low"), v)).alias("low_end"),
         F.max(F.when(v <= F.col("high"), v)).alias("high_end"),
-        count_where((v < F.col("low")) | (v > F.col("high"))).alias("outliers"),
+        F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outliers"),
     )
     return boxes.select(
         "metric",
@@ -164,12 +181,10 @@ def box_stats(stats: DataFrame) -> DataFrame:
     )
 
 
-def outliers(stats: DataFrame) -> DataFrame:
-    """``metric, value`` of the values beyond the whiskers."""
-    values = metric_values(stats).filter(~F.isnan("value"))
+def outliers(counts: DataFrame) -> DataFrame:
+    """``metric, value, n`` of the values beyond the whiskers."""
     beyond = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
-    placed = values.join(F.broadcast(_fences(values)), "metric")
-    return placed.filter(beyond).select("metric", "value")
+    return _fenced(counts).filter(beyond).select("metric", "value", "n")
 
 
 def scatter(stats: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Session settings and the shared folder for staged tables."""
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,13 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share."""
+    """A new path below the folder that all executors share (``spark.checkpoint.dir``)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        root = tempfile.mkdtemp(prefix="pairwise-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/pairwise-{name}-{uuid.uuid4().hex}"
 
 

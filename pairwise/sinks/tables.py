@@ -17,6 +17,7 @@ from pairwise.operators.assemble import VECTORS
 from pairwise.operators.ordinal import with_positions
 from pairwise.operators.pairs import PAIR, export_totals
 from pairwise.params import ConsensusParams
+from pairwise.session import stage
 
 SUMMARY = [
     *PAIR,
@@ -199,7 +200,8 @@ def processing_stats(rows: DataFrame) -> DataFrame:
 def report(stats: DataFrame, predictions: DataFrame, params: ConsensusParams) -> DataFrame:
     """Analysis report as rows ``section, ord, key, value`` in reading order.
 
-    Overview, strategy sizes, the top 20 of two strategies, distribution figures, advice.
+    Overview, strategy sizes, the top 20 of two strategies, distribution figures, advice. The
+    statistics are read once per section: pass a staged table.
     """
 
     def rows(frame: DataFrame, section: str, order: Column, key: Column, value: Column):
@@ -242,7 +244,8 @@ def report(stats: DataFrame, predictions: DataFrame, params: ConsensusParams) ->
         for n in ("all_positive", "high_confidence")
     ]
     figures = ["mean", "median", "std", "min", "max"]
-    spread = distributions.distribution_stats(stats)
+    values = stage(distributions.value_counts(stats), "value-counts")
+    spread = distributions.distribution_stats(values)
     shape = [
         unpivot(
             spread.filter(F.col("metric") == m), f"4_{m}", figures, lambda f: F.format_string("%.4f", f)

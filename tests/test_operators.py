@@ -95,7 +95,7 @@ def test_nan_never_passes_a_threshold_and_sorts_last(spark):
     assert {r.compound_id for r in consensus.matching(odd, "custom_consensus", P).collect()} == {"C2"}
     everyone = consensus.select_strategy(odd, "all_positive", P).collect()
     assert [r.compound_id for r in everyone] == ["C2", "C1"]
-    spread = {r.metric: r for r in distributions.distribution_stats(odd).collect()}
+    spread = {r.metric: r for r in distributions.distribution_stats(distributions.value_counts(odd)).collect()}
     assert all(math.isnan(spread["probability"][f]) for f in ("mean", "median", "std", "min", "max"))
     assert spread["ratio"]["median"] == 1.0
 
@@ -126,9 +126,8 @@ def test_ratio_edges(spark):
 
 def _metric_frame(spark, values):
     rows = [(float(v), float(v), float(v)) for v in values]
-    return spark.createDataFrame(
-        rows, "avg_probability_1 double, avg_confidence double, positive_ratio double"
-    )
+    columns = "avg_probability_1 double, avg_confidence double, positive_ratio double"
+    return distributions.value_counts(spark.createDataFrame(rows, columns))
 
 
 @pytest.mark.parametrize("values", [[0.1 * i for i in range(11)], [0.5, 0.5], [0, 1, 1, 1, 0.3, 0.35]])
@@ -156,9 +155,10 @@ def test_exact_quantiles(spark, seed):
     n = int(rng.integers(1, 400))
     hot = [0.25] * (n // 3)  # one value holds a good part of the rows
     values = [*hot, *rng.lognormal(0, 3, n).tolist()]
-    frame = spark.createDataFrame([("k", float(v)) for v in values], "k string, v double")
+    frame = spark.createDataFrame([("k", float(v)) for v in values], "metric string, value double")
+    counts = frame.groupBy("metric", "value").agg(F.count("*").alias("n"))
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    rows = exact_quantiles(frame, "k", "v", probabilities).orderBy("probability").collect()
+    rows = exact_quantiles(counts, probabilities).orderBy("probability").collect()
     assert [r["quantile"] for r in rows] == pytest.approx(np.quantile(values, probabilities).tolist())
 
 
