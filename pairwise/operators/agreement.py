@@ -8,15 +8,31 @@ from pairwise.operators.pairs import PAIR, model_list
 WORD = 62  # models per bit-mask word
 
 
+def is_positive() -> Column:
+    """The prediction's integer part is 1; NaN is not."""
+    return (F.col("prediction") >= 1) & (F.col("prediction") < 2)
+
+
 def positives(predictions: DataFrame) -> DataFrame:
     """Distinct positive pairs per model."""
     hits = predictions.filter(is_positive())
     return hits.select("model_type", "model_name", *PAIR).distinct()
 
 
-def is_positive() -> Column:
-    """The prediction's integer part is 1; NaN is not."""
-    return (F.col("prediction") >= 1) & (F.col("prediction") < 2)
+def _hits(predictions: DataFrame, model: tuple[str, str]) -> DataFrame:
+    kind, name = model
+    of_model = (F.col("model_type") == kind) & (F.col("model_name") == name)
+    return predictions.filter(of_model & is_positive()).select(*PAIR)
+
+
+def positive_intersection(predictions: DataFrame, first: tuple, second: tuple) -> DataFrame:
+    """Pairs that both models, given as (type, name), call positive."""
+    return _hits(predictions, first).intersect(_hits(predictions, second))
+
+
+def positive_union(predictions: DataFrame, first: tuple, second: tuple) -> DataFrame:
+    """Pairs that at least one of two models calls positive."""
+    return _hits(predictions, first).union(_hits(predictions, second)).distinct()
 
 
 def positive_rates(predictions: DataFrame) -> DataFrame:
@@ -30,23 +46,6 @@ def positive_rates(predictions: DataFrame) -> DataFrame:
     )
 
 
-def positive_intersection(predictions: DataFrame, first: tuple, second: tuple) -> DataFrame:
-    """Pairs that both models call positive."""
-    found = positives(predictions)
-    return _of(found, first).intersect(_of(found, second))
-
-
-def positive_union(predictions: DataFrame, first: tuple, second: tuple) -> DataFrame:
-    """Pairs that at least one of two models calls positive."""
-    found = positives(predictions)
-    return _of(found, first).union(_of(found, second)).distinct()
-
-
-def _of(found: DataFrame, model: tuple[str, str]) -> DataFrame:
-    kind, name = model
-    return found.filter((F.col("model_type") == kind) & (F.col("model_name") == name)).select(*PAIR)
-
-
 def numbered_models(predictions: DataFrame) -> DataFrame:
     """Models with an index from 0, in name order; the list has one row per model."""
     order = Window.orderBy("model_type", "model_name")

@@ -3,7 +3,7 @@
 Input rows are ``accession, pos, scores`` with ``pos`` dense from 1 and 20 scores per row.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pairwise.constants import MAX_LAG, PROFILE_LAG_DIM
 
@@ -11,20 +11,16 @@ COLUMNS = 20
 BLOCK = 512  # positions per window group; a longer profile is spread over several tasks
 
 
-def _array(exprs) -> Column:
-    return F.array(*exprs)
-
-
 def profile_stats(rows: DataFrame) -> DataFrame:
     """``profile_stats``: 20 means, then 20 population deviations, maxima and minima."""
     scores = [F.col("scores")[i] for i in range(COLUMNS)]
     return rows.groupBy("accession").agg(
         F.count("*").alias("positions"),
         F.concat(
-            _array([F.avg(s) for s in scores]),
-            _array([F.stddev_pop(s) for s in scores]),
-            _array([F.max(s) for s in scores]),
-            _array([F.min(s) for s in scores]),
+            F.array(*[F.avg(s) for s in scores]),
+            F.array(*[F.stddev_pop(s) for s in scores]),
+            F.array(*[F.max(s) for s in scores]),
+            F.array(*[F.min(s) for s in scores]),
         ).alias("profile_stats"),
     )
 
@@ -54,19 +50,18 @@ def profile_lag_means(rows: DataFrame) -> DataFrame:
         ).alias("_lags"),
     ).filter("_inside")
     long = pairs.select("accession", "scores", F.inline("_lags")).filter("other IS NOT NULL")
-    squares = [F.pow(F.col("scores")[i] - F.col("other")[i], 2) for i in range(COLUMNS)]
+    steps = [F.col("scores")[i] - F.col("other")[i] for i in range(COLUMNS)]
     return long.groupBy("accession", "lag").agg(
-        _array([F.avg(square) for square in squares]).alias("means")
+        F.array(*[F.avg(step * step) for step in steps]).alias("means")
     )
 
 
-def profile_lags(rows: DataFrame) -> DataFrame:
-    """``profile_lags``: 140 values; how many columns a lag contributes depends on the length.
+def _with_lags(lengths: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add ``profile_lags`` to a frame of ``accession, positions``.
 
     With L positions there are min(10, L - 1) lags and each gives the first
-    min(20, 140 div lags) columns; the rest is zero.
+    min(20, 140 div lags) columns; the rest of the 140 values is zero.
     """
-    lengths = rows.groupBy("accession").agg(F.count("*").alias("positions"))
     # at most ten entries per protein
     lags = profile_lag_means(rows).groupBy("accession").agg(
         F.sort_array(F.collect_list(F.struct("lag", "means"))).alias("_lags")
@@ -82,15 +77,17 @@ def profile_lags(rows: DataFrame) -> DataFrame:
         )
     )
     padded = F.concat(values, F.array_repeat(F.lit(0.0), PROFILE_LAG_DIM - F.size(values)))
-    return lengths.join(lags, "accession", "left").select(
-        "accession", "positions", padded.alias("profile_lags")
-    )
+    joined = lengths.join(lags, "accession", "left")
+    return joined.withColumn("profile_lags", padded).drop("_lags")
+
+
+def profile_lags(rows: DataFrame) -> DataFrame:
+    """``accession, positions, profile_lags`` with 140 values."""
+    return _with_lags(rows.groupBy("accession").agg(F.count("*").alias("positions")), rows)
 
 
 def profile_features(rows: DataFrame) -> DataFrame:
     """``accession, profile_vector`` with 220 values."""
-    stats = profile_stats(rows).select("accession", "profile_stats")
-    lags = profile_lags(rows).select("accession", "profile_lags")
-    return stats.join(lags, "accession").select(
+    return _with_lags(profile_stats(rows), rows).select(
         "accession", F.concat("profile_stats", "profile_lags").alias("profile_vector")
     )

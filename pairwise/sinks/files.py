@@ -57,10 +57,7 @@ def write_features(assembled: DataFrame, path: str, flagged: bool = False) -> No
     order = in_row_order(checked.withColumnRenamed("Position", "row_no"))
     write_csv(order.withColumnRenamed("row_no", "Position"), f"{path}/order_verification")
     write_json(tables.processing_stats(assembled), f"{path}/processing_stats")
-    write_json(
-        tables.feature_dictionary(assembled, flagged).orderBy("block", "idx"),
-        f"{path}/feature_dictionary",
-    )
+    write_json(tables.feature_names(assembled.sparkSession, flagged), f"{path}/feature_dictionary")
 
 
 def _by_strategy(df: DataFrame) -> DataFrame:
@@ -110,9 +107,8 @@ def write_models(
             frame.withColumn("model_type", safe), f"{path}/models/header={i}", ("model_type", "model_name")
         )
     write_csv(combined, f"{path}/all_predictions_combined")
-    write_csv(
-        tables.column_dictionary(combined).orderBy("position"), f"{path}/column_dictionary"
-    )
+    meanings = tables.column_meanings(combined.sparkSession, combined.columns)
+    write_csv(meanings.coalesce(1), f"{path}/column_dictionary")
     write_json(tables.export_parameters(stats, combined, params, "complete"), f"{path}/parameters")
 
 

@@ -1,6 +1,6 @@
 """Frames behind every output file."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairwise.constants import (
     DESCRIPTOR_DIM,
@@ -83,13 +83,13 @@ def export_parameters(
     stats: DataFrame, predictions: DataFrame, params: ConsensusParams, export_type: str
 ) -> DataFrame:
     """One row: settings and totals of an export."""
-    counts = stats.agg(F.count("*").alias("total_compounds_analyzed"))
-    models = export_totals(predictions).select(F.col("models").alias("total_models"))
-    # both sides are one-row aggregates
-    one = F.lit(1).alias("_one")
+    pairs = stats.agg(F.count("*").alias("pairs"), F.lit(0).alias("models"))
+    models = export_totals(predictions).select(F.lit(0).alias("pairs"), "models")
     return (
-        counts.select("*", one)
-        .join(models.select("*", one), "_one")
+        pairs.unionByName(models)
+        .agg(
+            F.sum("pairs").alias("total_compounds_analyzed"), F.sum("models").alias("total_models")
+        )
         .select(
             F.lit(export_type).alias("export_type"),
             F.lit(params.min_consensus).alias("min_consensus_models"),
@@ -115,25 +115,27 @@ COLUMN_MEANING = {
 # ------------------------------------------------------------------------------------------------
 
 
+def column_meanings(spark: SparkSession, columns: list[str]) -> DataFrame:
+    """``position, column, description`` of the full export's known columns."""
+    known = [c for c in columns if c in COLUMN_MEANING]
+    rows = [(i, c, COLUMN_MEANING[c]) for i, c in enumerate(known, start=1)]
+    return spark.createDataFrame(rows, "position int, column string, description string")
+
+
 def column_dictionary(predictions: DataFrame) -> DataFrame:
-    """Columns of the full export, their meaning and how many cells are filled."""
+    """The columns of an export with the number of filled cells; one pass over the data."""
+    meanings = column_meanings(predictions.sparkSession, predictions.columns)
     known = [c for c in predictions.columns if c in COLUMN_MEANING]
-    counts = predictions.agg(*[F.count(c).alias(c) for c in known])
-    entries = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(c).alias("column"),
-            F.lit(COLUMN_MEANING[c]).alias("description"),
-            F.col(c).alias("filled"),
+    counts = predictions.agg(*[F.count(c).alias(c) for c in known]).select(
+        F.inline(
+            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in known])
         )
-        for i, c in enumerate(known, start=1)
-    ]
-    return counts.select(F.inline(F.array(*entries)))
+    )
+    return meanings.join(counts, "column")
 
 
-def feature_dictionary(assembled: DataFrame, by_lag: bool = False) -> DataFrame:
-    """``block, idx, name, descriptor_group`` of every feature and its number of non-zero values."""
-    spark = assembled.sparkSession
+def feature_names(spark: SparkSession, by_lag: bool = False) -> DataFrame:
+    """``block, idx, name, descriptor_group`` of all 335 features."""
     groups = {n: group for group, members in DESCRIPTOR_GROUPS.items() for n in members}
     names = [
         *[("sequence", i, n, None) for i, n in enumerate(sequence_names())],
@@ -143,21 +145,26 @@ def feature_dictionary(assembled: DataFrame, by_lag: bool = False) -> DataFrame:
             for i, (n, d) in enumerate(zip(compound_names(), DESCRIPTORS))
         ],
     ]
-    listed = spark.createDataFrame(
+    return spark.createDataFrame(
         names, "block string, idx int, name string, descriptor_group string"
     )
-    flat = F.concat(*VECTORS)
+
+
+def feature_dictionary(assembled: DataFrame, by_lag: bool = False) -> DataFrame:
+    """The feature names with the number of rows in which each feature is not zero."""
     starts = {"sequence": 0, "profile": SEQUENCE_DIM, "compound": SEQUENCE_DIM + PROFILE_DIM}
     offset = F.coalesce(*[F.when(F.col("block") == b, s) for b, s in starts.items()])
     used = (
-        assembled.select(F.posexplode(flat).alias("_at", "_value"))
+        assembled.select(F.posexplode(F.concat(*VECTORS)).alias("_at", "_value"))
         .groupBy("_at")
         .agg(F.count_if(F.col("_value") != 0).alias("nonzero"))
     )
     return (
-        listed.withColumn("_at", offset + F.col("idx"))
+        feature_names(assembled.sparkSession, by_lag)
+        .withColumn("_at", offset + F.col("idx"))
         .join(used, "_at", "left")
-        .select("block", "idx", "name", "descriptor_group", F.coalesce("nonzero", F.lit(0)).alias("nonzero"))
+        .drop("_at")
+        .fillna(0, ["nonzero"])
     )
 
 
