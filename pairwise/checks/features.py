@@ -17,7 +17,7 @@ from pairwise.functions.smiles import BRACKET_ATOM, ELEMENT_COUNTS, HALOGENS, OR
 from pairwise.operators import assemble, compounds, entities, ordinal, profiles, sequences
 from pairwise.operators.compounds import SAME_AS
 from pairwise.plans.features import feature_table
-from pairwise.sinks import tables
+from pairwise.sinks import files, tables
 from pairwise.sources import interactions
 from pairwise.sources.profiles import parse_profiles, with_profile_flag
 
@@ -179,12 +179,13 @@ def _features_sql(by_lag=False):
     }
 
 
-def assembled(spark, d):
+def assembled(spark, d, flagged=False):
     return feature_table(
         inputs.interactions(spark, d),
         inputs.profile_rows(spark, d),
         inputs.descriptors(spark, d),
         on="compound_cid",
+        flagged=flagged,
     )
 
 
@@ -513,7 +514,9 @@ def _attach_compound(spark, d):
     f"compound_cid AS Compound_CID, {_features_sql()['compound']}, label AS Label FROM assembled",
 )
 def _combined_matrix(spark, d):
-    return tidy(assembled(spark, d).orderBy("row_no").select(assemble.combined_columns()))
+    last = inputs.interactions(spark, d).agg(F.max("row_no")).first()[0]
+    ordered = files.in_row_order(assembled(spark, d), last=last)
+    return tidy(ordered.select(assemble.combined_columns()))
 
 
 @register(
@@ -535,8 +538,7 @@ def _detailed_matrix(spark, d):
   {_features_sql(True)['protein']}, {_features_sql(True)['compound']}, label AS Label FROM assembled""",
 )
 def _detailed_matrix_flags(spark, d):
-    flagged = entities.with_uniqueness_flags(assembled(spark, d))
-    return tidy(flagged.select(assemble.flagged_columns()))
+    return tidy(assembled(spark, d, flagged=True).select(assemble.flagged_columns()))
 
 
 @register(

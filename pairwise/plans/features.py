@@ -12,7 +12,7 @@ from pairwise.operators.entities import (
 from pairwise.operators.profiles import profile_features
 from pairwise.operators.sequences import sequence_features
 from pairwise.session import stage
-from pairwise.sinks.files import write_features
+from pairwise.sinks import files, tables
 from pairwise.sources.descriptors import read_descriptors
 from pairwise.sources.interactions import read_interactions
 from pairwise.sources.profiles import attach_profiles, read_profiles
@@ -20,18 +20,22 @@ from pairwise.sources.store import extend_store
 
 
 def feature_table(
-    rows: DataFrame, profile_rows: DataFrame, descriptors: DataFrame, on: str = "smile"
+    rows: DataFrame,
+    profile_rows: DataFrame,
+    descriptors: DataFrame,
+    on: str = "smile",
+    flagged: bool = False,
 ) -> DataFrame:
     """Rows with their three vectors, everything lazy.
 
     ``profile_rows`` are ``accession, pos, scores``. Features are computed once per distinct
-    protein and compound and joined back.
+    protein and compound and joined back. ``flagged`` adds the two first-occurrence flags.
     """
     proteins = protein_features(
         sequence_features(unique_proteins(rows)), profile_features(profile_rows)
     )
     compounds = compound_features(unique_compounds(rows), descriptors, on)
-    return assemble(rows, proteins, compounds)
+    return assemble(with_uniqueness_flags(rows) if flagged else rows, proteins, compounds)
 
 
 def run_features(
@@ -46,12 +50,13 @@ def run_features(
 ) -> None:
     """Read, deduplicate, compute what the store lacks, assemble in order, write.
 
-    The numbered rows are staged once because the entity passes and the assembly all read them.
-    A run that stops is repeated with the same store and computes only the missing entities.
+    The numbered rows are staged once because the entity passes, the checks and the assembly all
+    read them. The wide assembled rows are not: joining again costs less than storing them. A run
+    that stops is repeated with the same store and computes only the missing entities.
     """
     rows = stage(read_interactions(spark, interactions, multi_line), "interactions")
-    proteins = unique_proteins(rows)
-    compounds = unique_compounds(rows)
+    if not tables.order_is_intact(rows):
+        raise ValueError("row numbers are not 1..n: output would not follow the input order")
     profile_rows = read_profiles(spark, profiles)
     table = read_descriptors(spark, descriptors)
 
@@ -59,10 +64,19 @@ def run_features(
         found = profile_features(attach_profiles(todo, profile_rows))
         return protein_features(sequence_features(todo), found)
 
-    known_proteins = extend_store(proteins, f"{store}/proteins", "accession", protein_vectors)
-    known_compounds = extend_store(
-        compounds, f"{store}/compounds", "compound_cid", lambda todo: compound_features(todo, table)
+    proteins = extend_store(
+        unique_proteins(rows), f"{store}/proteins", "accession", protein_vectors
+    )
+    compounds = extend_store(
+        unique_compounds(rows),
+        f"{store}/compounds",
+        "compound_cid",
+        lambda todo: compound_features(todo, table),
     )
     source = with_uniqueness_flags(rows) if flagged else rows
-    assembled = stage(assemble(source, known_proteins, known_compounds), "assembled")
-    write_features(assembled, output, flagged)
+    files.write_matrices(assemble(source, proteins, compounds), output, flagged)
+    files.write_order(rows, output)
+    marked = rows.join(proteins.select("accession", "pssm_available"), "accession", "left")
+    stats = tables.processing_stats(marked.fillna(False, ["pssm_available"]))
+    files.write_json(files.with_run(stats, input_file=interactions), f"{output}/processing_stats")
+    files.write_json(tables.feature_names(spark, flagged), f"{output}/feature_dictionary")

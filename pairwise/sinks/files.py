@@ -29,35 +29,42 @@ def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("errorifexists").json(path)
 
 
-def in_row_order(rows: DataFrame, rows_per_file: int = 200_000) -> DataFrame:
+def with_run(df: DataFrame, **values: str) -> DataFrame:
+    """Add the time of the run and any texts that describe it."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    return df.select("*", now.alias("run_time"), *[F.lit(v).alias(k) for k, v in values.items()])
+
+
+def in_row_order(rows: DataFrame, rows_per_file: int = 50_000, last: int | None = None) -> DataFrame:
     """Place rows so that the part files, read by name, give the input order.
 
     Row numbers are dense, so the target file follows from the number itself: one shuffle and no
-    sampling pass over the wide rows.
+    sampling pass over the wide rows. ``last`` is the highest row number, if known.
     """
-    last = rows.agg(F.max("row_no")).first()[0] or 0
-    files = max(1, math.ceil(last / rows_per_file))
+    if last is None:
+        last = rows.agg(F.max("row_no")).first()[0] or 0
+    n_files = max(1, math.ceil(last / rows_per_file))
     target = F.floor((F.col("row_no") - 1) / rows_per_file).cast("int")
-    return rows.repartitionById(files, target).sortWithinPartitions("row_no")
+    return rows.repartitionById(n_files, target).sortWithinPartitions("row_no")
 
 
-def write_features(assembled: DataFrame, path: str, flagged: bool = False) -> None:
-    """Combined, detailed and order files plus statistics and dictionary of a feature run.
+def write_matrices(assembled: DataFrame, path: str, flagged: bool = False) -> None:
+    """Combined and detailed feature tables in input order.
 
-    ``flagged`` selects the older layouts and needs the uniqueness flags. The ordered frame keeps
-    the vectors as arrays; columns are laid out by the write itself.
+    ``flagged`` selects the older layouts and needs the uniqueness flags. Rows are placed with
+    their vectors as arrays; the write lays out the columns.
     """
-    if not tables.order_is_intact(assembled):
-        raise ValueError("row numbers are not 1..n: output would not follow the input order")
     ordered = in_row_order(assembled)
     detailed: list[Column] = assemble.flagged_columns() if flagged else assemble.detailed_columns()
     write_csv(ordered.select(assemble.combined_columns(flagged)), f"{path}/combined_features")
     write_csv(ordered.select(detailed), f"{path}/detailed_features")
-    checked = tables.order_verification(assembled)
-    order = in_row_order(checked.withColumnRenamed("Position", "row_no"))
-    write_csv(order.withColumnRenamed("row_no", "Position"), f"{path}/order_verification")
-    write_json(tables.processing_stats(assembled), f"{path}/processing_stats")
-    write_json(tables.feature_names(assembled.sparkSession, flagged), f"{path}/feature_dictionary")
+
+
+def write_order(rows: DataFrame, path: str) -> None:
+    """Order verification, one line per row."""
+    checked = tables.order_verification(rows).withColumnRenamed("Position", "row_no")
+    ordered = in_row_order(checked).withColumnRenamed("row_no", "Position")
+    write_csv(ordered, f"{path}/order_verification")
 
 
 def _by_strategy(df: DataFrame) -> DataFrame:
@@ -68,17 +75,26 @@ def _by_strategy(df: DataFrame) -> DataFrame:
 NUMBERS = ["positive_ratio", "avg_probability_0", "avg_probability_1", "avg_confidence"]
 
 
+def _write_summary(stats: DataFrame, params: ConsensusParams, path: str) -> None:
+    frame = _by_strategy(tables.export_basic(stats, params))
+    frame = frame.withColumns(dict(zip(NUMBERS, tables.fixed(NUMBERS))))
+    write_csv(frame, f"{path}/summary", ("strategy",))
+
+
+def _write_parameters(stats, predictions, params: ConsensusParams, kind: str, path: str) -> None:
+    record = tables.export_parameters(stats, predictions, params, kind)
+    write_json(with_run(record), f"{path}/parameters")
+
+
 def write_basic(stats: DataFrame, predictions: DataFrame, params: ConsensusParams, path: str):
     """One CSV folder per strategy; a strategy without pairs gets none."""
-    frame = _by_strategy(tables.export_basic(stats, params))
-    write_csv(frame.withColumns(dict(zip(NUMBERS, tables.fixed(NUMBERS)))), f"{path}/summary", ("strategy",))
-    write_json(tables.export_parameters(stats, predictions, params, "basic"), f"{path}/parameters")
+    _write_summary(stats, params, path)
+    _write_parameters(stats, predictions, params, "basic", path)
 
 
 def write_detailed(stats: DataFrame, predictions: DataFrame, params: ConsensusParams, path: str):
     """Summaries as in ``write_basic`` and one row per pair and model."""
-    summary = _by_strategy(tables.export_basic(stats, params))
-    write_csv(summary.withColumns(dict(zip(NUMBERS, tables.fixed(NUMBERS)))), f"{path}/summary", ("strategy",))
+    _write_summary(stats, params, path)
     detail = _by_strategy(tables.export_detailed(stats, predictions, params))
     text = [
         "probability_0",
@@ -88,28 +104,33 @@ def write_detailed(stats: DataFrame, predictions: DataFrame, params: ConsensusPa
         "avg_confidence",
         "positive_ratio",
     ]
-    write_csv(detail.withColumns(dict(zip(text, tables.fixed(text)))), f"{path}/detailed", ("strategy",))
-    write_json(
-        tables.export_parameters(stats, predictions, params, "detailed"), f"{path}/parameters"
-    )
+    value = F.col("prediction")
+    plain = F.when(value == F.rint(value), F.format_string("%.0f", value.cast("double")))
+    label = plain.otherwise(value.cast("string"))
+    detail = detail.withColumns({**dict(zip(text, tables.fixed(text))), "prediction": label})
+    write_csv(detail, f"{path}/detailed", ("strategy",))
+    _write_parameters(stats, predictions, params, "detailed", path)
 
 
 def write_models(
-    raw_models: list[DataFrame], combined: DataFrame, stats: DataFrame, params: ConsensusParams, path: str
+    raw_models: list[DataFrame],
+    combined: DataFrame,
+    stats: DataFrame,
+    params: ConsensusParams,
+    path: str,
 ):
     """Every model's original columns in its own folder, and all models in one table.
 
     ``raw_models`` has one frame per file header, so a model's folder keeps its own columns.
     """
+    safe = F.replace("model_type", F.lit("/"), F.lit("_"))
     for i, frame in enumerate(raw_models):
-        safe = F.replace("model_type", F.lit("/"), F.lit("_"))
-        write_csv(
-            frame.withColumn("model_type", safe), f"{path}/models/header={i}", ("model_type", "model_name")
-        )
+        named = frame.withColumn("model_type", safe)
+        write_csv(named, f"{path}/models/format-{i}", ("model_type", "model_name"))
     write_csv(combined, f"{path}/all_predictions_combined")
     meanings = tables.column_meanings(combined.sparkSession, combined.columns)
     write_csv(meanings.coalesce(1), f"{path}/column_dictionary")
-    write_json(tables.export_parameters(stats, combined, params, "complete"), f"{path}/parameters")
+    _write_parameters(stats, combined, params, "complete", path)
 
 
 def write_report(stats: DataFrame, predictions: DataFrame, params: ConsensusParams, path: str):

@@ -49,9 +49,16 @@ def csv_header(spark: SparkSession, path) -> list[str]:
     return spark.read.options(header=True, escape='"').csv(path).columns
 
 
-def scan_csv(spark: SparkSession, path, header: list[str], multi_line: bool = False) -> DataFrame:
+def scan_csv(
+    spark: SparkSession,
+    path,
+    header: list[str],
+    multi_line: bool = False,
+    mode: str = "FAILFAST",
+) -> DataFrame:
+    """All columns as text; ``PERMISSIVE`` fills short lines with NULL instead of failing."""
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    options = {"header": True, "escape": '"', "mode": "FAILFAST", "multiLine": multi_line}
+    options = {"header": True, "escape": '"', "mode": mode, "multiLine": multi_line}
     return spark.read.schema(schema).options(**options).csv(path)
 
 

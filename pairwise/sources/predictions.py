@@ -79,7 +79,8 @@ def read_raw_models(spark: SparkSession, run_dir: str | None = None, base: str |
     )
     frames = []
     for header, paths in by_header.items():
-        rows = scan_csv(spark, [_escaped(p) for p in sorted(paths)], list(header))
+        files = [_escaped(p) for p in sorted(paths)]
+        rows = scan_csv(spark, files, list(header), mode="PERMISSIVE")
         path = decoded_path(F.col("_metadata.file_path"))
         name = F.replace(path_part(path, 1), F.lit(PREDICTION_SUFFIX), F.lit(""))
         tagged = rows.select(

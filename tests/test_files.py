@@ -177,6 +177,7 @@ def test_exports(spark, run_dir, tmp_path):
     assert basic[0]["avg_confidence"] == "0.7667" and basic[1]["avg_probability_0"] == "0.3000"
     detail = read_parts(out / "detailed/detailed/strategy=all_positive")
     assert len(detail) == 4 and detail[0]["prediction_label"] == "相互作用"
+    assert {r["prediction"] for r in detail} == {"1"}
     combined = read_parts(out / "complete/all_predictions_combined")
     assert len(combined) == 5 and {r["protein_id"] for r in combined} == {"P1", "007"}
     by_model = sorted(p.name for p in (out / "complete/models").glob("*/model_type=svm/*"))
