@@ -13,6 +13,7 @@ from pairwise.operators import agreement, consensus, distributions, pairs
 from pairwise.params import ConsensusParams, sweep_thresholds
 from pairwise.session import stage
 from pairwise.sinks import tables
+from pairwise.sinks.report import report
 from pairwise.sources import predictions as sources
 from pairwise.sources import runs
 
@@ -719,4 +720,4 @@ def _report_sql():
 @register("report_rows", _report_sql())
 def _report_rows(spark, d):
     frame = inputs.predictions(spark, d)
-    return tidy(tables.report(stage(pairs.pair_stats(frame), "pair-stats"), frame, P))
+    return tidy(report(stage(pairs.pair_stats(frame), "pair-stats"), frame, P))

@@ -108,7 +108,8 @@ def jaccard(predictions: DataFrame, models: DataFrame | None = None) -> DataFram
         F.col("model").alias("model_a"),
         F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"),
     )
-    named = cells.join(names.select(F.col("index").alias("b"), F.col("model").alias("model_b")), "b")
+    others = names.select(F.col("index").alias("b"), F.col("model").alias("model_b"))
+    named = cells.join(others, "b")
     full = (
         named.join(shared, ["a", "b"], "left")
         .join(sizes.select(F.col("i").alias("a"), F.col("size").alias("size_a")), "a", "left")
@@ -154,8 +155,8 @@ def jaccard_extremes(matrix: DataFrame) -> DataFrame:
     )
     rows = F.array(
         *[
-            F.struct(F.lit(kind).alias("kind"), f"{kind}.model_a", f"{kind}.model_b", f"{kind}.jaccard")
-            for kind in ("most", "least")
+            F.struct(F.lit(k).alias("kind"), f"{k}.model_a", f"{k}.model_b", f"{k}.jaccard")
+            for k in ("most", "least")
         ]
     )
     return row.filter("_top > 0").select(F.inline(rows))

@@ -67,6 +67,7 @@ def compound_features(compounds: DataFrame, descriptors: DataFrame, on: str = "s
     where the table lacks them.
     """
     missing = [name for name in COUNT_NAMES if name not in descriptors.columns]
-    counted = with_census(compounds, "smile").select("compound_cid", *({on} - {"compound_cid"}), *missing)
+    keys = ["compound_cid", *({on} - {"compound_cid"})]
+    counted = with_census(compounds, "smile").select(*keys, *missing)
     full = complete_descriptors(counted.join(descriptors.dropDuplicates([on]), on, "left"))
     return full.select("compound_cid", F.array(*aligned(full)).alias("compound_vector"))

@@ -8,6 +8,7 @@ from pairwise.operators import assemble
 from pairwise.operators.consensus import by_score
 from pairwise.params import ConsensusParams
 from pairwise.sinks import tables
+from pairwise.sinks.report import report
 
 # Without these Spark writes "" for an empty text, escapes quotes with a backslash and trims cells.
 CSV_OPTIONS = {
@@ -35,7 +36,9 @@ def with_run(df: DataFrame, **values: str) -> DataFrame:
     return df.select("*", now.alias("run_time"), *[F.lit(v).alias(k) for k, v in values.items()])
 
 
-def in_row_order(rows: DataFrame, rows_per_file: int = 50_000, last: int | None = None) -> DataFrame:
+def in_row_order(
+    rows: DataFrame, rows_per_file: int = 50_000, last: int | None = None
+) -> DataFrame:
     """Place rows so that the part files, read by name, give the input order.
 
     Row numbers are dense, so the target file follows from the number itself: one shuffle and no
@@ -134,4 +137,4 @@ def write_models(
 
 
 def write_report(stats: DataFrame, predictions: DataFrame, params: ConsensusParams, path: str):
-    write_csv(tables.report(stats, predictions, params).orderBy("section", "ord"), path)
+    write_csv(report(stats, predictions, params).orderBy("section", "ord"), path)

@@ -12,12 +12,11 @@ from pairwise.constants import (
     SEQUENCE_DIM,
 )
 from pairwise.functions.names import compound_names, profile_names, sequence_names
-from pairwise.operators import consensus, distributions, entities
+from pairwise.operators import consensus, entities
 from pairwise.operators.assemble import VECTORS
 from pairwise.operators.ordinal import with_positions
 from pairwise.operators.pairs import PAIR, export_totals
 from pairwise.params import ConsensusParams
-from pairwise.session import stage
 
 SUMMARY = [
     *PAIR,
@@ -128,7 +127,9 @@ def column_dictionary(predictions: DataFrame) -> DataFrame:
     known = [c for c in predictions.columns if c in COLUMN_MEANING]
     counts = predictions.agg(*[F.count(c).alias(c) for c in known]).select(
         F.inline(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in known])
+            F.array(
+                *[F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in known]
+            )
         )
     )
     return meanings.join(counts, "column")
@@ -170,7 +171,8 @@ def feature_dictionary(assembled: DataFrame, by_lag: bool = False) -> DataFrame:
 
 def order_verification(rows: DataFrame) -> DataFrame:
     """Output position, original row number and whether they agree."""
-    placed = with_positions(rows.select("row_no", "accession", "compound_cid"), "row_no", "position")
+    narrow = rows.select("row_no", "accession", "compound_cid")
+    placed = with_positions(narrow, "row_no", "position")
     return placed.select(
         F.col("position").alias("Position"),
         F.col("row_no").alias("Original_Row_Number"),
@@ -202,70 +204,3 @@ def processing_stats(rows: DataFrame) -> DataFrame:
             "total_dim": F.lit(SEQUENCE_DIM + PROFILE_DIM + DESCRIPTOR_DIM),
         }
     )
-
-
-def report(stats: DataFrame, predictions: DataFrame, params: ConsensusParams) -> DataFrame:
-    """Analysis report as rows ``section, ord, key, value`` in reading order.
-
-    Overview, strategy sizes, the top 20 of two strategies, distribution figures, advice. The
-    statistics are read once per section: pass a staged table.
-    """
-
-    def rows(frame: DataFrame, section: str, order: Column, key: Column, value: Column):
-        return frame.select(
-            F.lit(section).alias("section"),
-            order.cast("int").alias("ord"),
-            key.alias("key"),
-            value.cast("string").alias("value"),
-        )
-
-    def unpivot(frame: DataFrame, section: str, fields: list[str], text=None, start: int = 1):
-        entries = [
-            F.struct(F.lit(i).alias("i"), F.lit(f).alias("f"), (text or _text)(f).alias("v"))
-            for i, f in enumerate(fields, start=start)
-        ]
-        long = frame.select(F.inline(F.array(*entries)))
-        return rows(long, section, F.col("i"), F.col("f"), F.col("v"))
-
-    overview = unpivot(
-        export_parameters(stats, predictions, params, "report"),
-        "1_overview",
-        [
-            "total_compounds_analyzed",
-            "total_models",
-            "min_consensus_models",
-            "probability_threshold",
-            "confidence_threshold",
-        ],
-        lambda f: F.format_string("%.3f", f) if f.endswith("threshold") else _text(f),
-    )
-    sizes = consensus.strategy_counts(stats, params)
-    names = F.array(*map(F.lit, consensus.STRATEGIES))
-    counts = rows(
-        sizes, "2_strategies", F.array_position(names, F.col("strategy")), F.col("strategy"), F.col("pairs")
-    )
-    top = consensus.top_by_strategy(stats, params, 20)
-    line = F.format_string("%s|%s|%.3f|%.3f", *PAIR, "avg_probability_1", "avg_confidence")
-    best = [
-        rows(top.filter(F.col("strategy") == n), f"3_{n}", F.col("rank"), F.col("rank").cast("string"), line)
-        for n in ("all_positive", "high_confidence")
-    ]
-    figures = ["mean", "median", "std", "min", "max"]
-    values = stage(distributions.value_counts(stats), "value-counts")
-    spread = distributions.distribution_stats(values)
-    shape = [
-        unpivot(
-            spread.filter(F.col("metric") == m), f"4_{m}", figures, lambda f: F.format_string("%.4f", f)
-        )
-        for m in ("probability", "confidence")
-    ]
-    tips = consensus.advice(stats, params)
-    lines = rows(tips, "5_advice", F.col("rule"), F.col("code"), F.col("advice"))
-    result = overview
-    for part in [counts, *best, *shape, lines]:
-        result = result.unionByName(part)
-    return result
-
-
-def _text(name: str) -> Column:
-    return F.col(name).cast("string")
