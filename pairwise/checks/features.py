@@ -167,8 +167,20 @@ assembled AS (
   LEFT JOIN profile_features USING (accession) JOIN compound_features USING (compound_cid))"""
 
 
+# One division, a maximum or a given value: the same bits in both engines. Rounding these could
+# differ where a value lies halfway between two decimals.
+EXACT = frozenset(
+    n
+    for n in sequence_names() + profile_names() + compound_names()
+    if n.startswith(("Length", "AA_", "PSSM_Max_", "PSSM_Min_", "Compound_"))
+)
+
+
 def _vector_sql(vector, names):
-    return ", ".join(f"round({vector}[{i}], 6) AS {n}" for i, n in enumerate(names, start=1))
+    return ", ".join(
+        f"{vector}[{i}] AS {n}" if n in EXACT else f"round({vector}[{i}], 6) AS {n}"
+        for i, n in enumerate(names, start=1)
+    )
 
 
 def _features_sql(by_lag=False):
@@ -314,11 +326,11 @@ def _sequence_features(spark, d):
 @register(
     "aa_composition",
     f"{ENTITIES}, {SEQUENCE} SELECT accession, sequence_length, "
-    + ", ".join(f"round(sequence_vector[{i}], 6) AS AA_{aa}" for i, aa in enumerate(RESIDUES, start=2))
+    + ", ".join(f"sequence_vector[{i}] AS AA_{aa}" for i, aa in enumerate(RESIDUES, start=2))
     + " FROM sequence_features",
 )
 def _aa_composition(spark, d):
-    return tidy(sequences.composition(_sequence_features(spark, d)))
+    return tidy(sequences.composition(_sequence_features(spark, d)), EXACT)
 
 
 @register(
@@ -516,7 +528,7 @@ def _attach_compound(spark, d):
 def _combined_matrix(spark, d):
     last = inputs.interactions(spark, d).agg(F.max("row_no")).first()[0]
     ordered = files.in_row_order(assembled(spark, d), last=last)
-    return tidy(ordered.select(assemble.combined_columns()))
+    return tidy(ordered.select(assemble.combined_columns()), EXACT)
 
 
 @register(
@@ -527,7 +539,7 @@ def _combined_matrix(spark, d):
   label AS Label FROM assembled""",
 )
 def _detailed_matrix(spark, d):
-    return tidy(assembled(spark, d).select(assemble.detailed_columns()))
+    return tidy(assembled(spark, d).select(assemble.detailed_columns()), EXACT)
 
 
 @register(
@@ -538,7 +550,7 @@ def _detailed_matrix(spark, d):
   {_features_sql(True)['protein']}, {_features_sql(True)['compound']}, label AS Label FROM assembled""",
 )
 def _detailed_matrix_flags(spark, d):
-    return tidy(assembled(spark, d, flagged=True).select(assemble.flagged_columns()))
+    return tidy(assembled(spark, d, flagged=True).select(assemble.flagged_columns()), EXACT)
 
 
 @register(
