@@ -13,8 +13,9 @@ def read_descriptors(spark: SparkSession, path) -> DataFrame:
     A byte order mark and CRLF line ends are accepted.
     """
     header = csv_header(spark, path)
-    table = scan_csv(spark, path, header)
     known = [name for name in DESCRIPTORS if name in header]
+    places = {name: header.index(name) for name in ["SMILES", *known]}
+    table = scan_csv(spark, path, len(header), places)
     return table.select(
         strip(F.col("SMILES")).alias("smile"), *[number(F.col(n)).alias(n) for n in known]
     )

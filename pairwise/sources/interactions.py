@@ -16,21 +16,23 @@ def resolve_columns(header: list[str]) -> dict[str, str | None]:
     }
 
 
-def select_fields(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Project any accepted header onto the five logical fields.
-
-    Names are compared with case here; set ``spark.sql.caseSensitive`` when a header has names that
-    differ in case only.
-    """
-    mapping = resolve_columns(df.columns)
+def checked_columns(header: list[str]) -> dict[str, str | None]:
+    """``resolve_columns``, refusing a header that lacks a required field."""
+    mapping = resolve_columns(header)
     missing = [field for field in REQUIRED_FIELDS if mapping[field] is None]
     if missing:
-        raise ValueError(f"required columns not found: {missing}; available: {df.columns}")
-    fields = [
-        F.col(f"`{actual}`").alias(field) if actual else F.lit("").alias(field)
-        for field, actual in mapping.items()
-    ]
-    return df.select(*keep, *fields)
+        raise ValueError(f"required columns not found: {missing}; available: {header}")
+    return mapping
+
+
+def select_fields(df: DataFrame) -> DataFrame:
+    """Project any accepted column names onto the five logical fields; label is optional."""
+    return df.select(
+        *[
+            F.col(f"`{actual}`").alias(field) if actual else F.lit("").alias(field)
+            for field, actual in checked_columns(df.columns).items()
+        ]
+    )
 
 
 def clean_fields(df: DataFrame) -> DataFrame:
@@ -45,21 +47,32 @@ def clean_fields(df: DataFrame) -> DataFrame:
 
 
 def csv_header(spark: SparkSession, path) -> list[str]:
-    """Column names of a CSV file; reads its first line only."""
-    return spark.read.options(header=True, escape='"').csv(path).columns
+    """First line of a CSV file as it is written; only that line is read.
+
+    The reader's own header handling would rename columns whose names differ in case only.
+    """
+    first = spark.read.options(escape='"').csv(path).first()
+    return [name or "" for name in first] if first else []
 
 
 def scan_csv(
     spark: SparkSession,
     path,
-    header: list[str],
-    multi_line: bool = False,
+    width: int,
+    columns: dict[str, int],
     mode: str = "FAILFAST",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """All columns as text; ``PERMISSIVE`` fills short lines with NULL instead of failing."""
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    """Text columns by position: ``columns`` maps the wanted names to places in the header.
+
+    ``PERMISSIVE`` fills short lines with NULL instead of failing.
+    """
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
     options = {"header": True, "escape": '"', "mode": mode, "multiLine": multi_line}
-    return spark.read.schema(schema).options(**options).csv(path)
+    rows = spark.read.schema(schema).options(**options).csv(path)
+    return rows.withColumnsRenamed({f"_c{i}": name for name, i in columns.items()}).drop(
+        *[f"_c{i}" for i in range(width) if i not in columns.values()]
+    )
 
 
 def read_interactions(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
@@ -68,6 +81,11 @@ def read_interactions(spark: SparkSession, path, multi_line: bool = False) -> Da
     ``multi_line`` accepts line breaks inside quotes; each file is then one task.
     """
     header = csv_header(spark, path)
-    raw = with_file_position(scan_csv(spark, path, header, multi_line))
-    rows = clean_fields(select_fields(raw, keep=(FILE_POSITION,)))
-    return with_row_numbers(rows)
+    found = {f: header.index(name) for f, name in checked_columns(header).items() if name}
+    rows = with_file_position(
+        scan_csv(spark, path, len(header), found, multi_line=multi_line)
+    )
+    if "label" not in found:
+        rows = rows.withColumn("label", F.lit(""))
+    fields = rows.select(FILE_POSITION, *COLUMN_ALIASES)
+    return with_row_numbers(clean_fields(fields))

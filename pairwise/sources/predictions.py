@@ -80,15 +80,14 @@ def read_raw_models(spark: SparkSession, run_dir: str | None = None, base: str |
     frames = []
     for header, paths in by_header.items():
         files = [_escaped(p) for p in sorted(paths)]
-        rows = scan_csv(spark, files, list(header), mode="PERMISSIVE")
+        places = {name: header.index(name) for name in header if name not in KEYS}
+        rows = scan_csv(spark, files, len(header), places, mode="PERMISSIVE")
         path = decoded_path(F.col("_metadata.file_path"))
         name = F.replace(path_part(path, 1), F.lit(PREDICTION_SUFFIX), F.lit(""))
-        tagged = rows.select(
-            *[F.col(f"`{c}`") for c in header if c not in KEYS],
-            path_part(path, 2).alias("_dir"),
-            name.alias("model_name"),
-        )
+        tagged = rows.select("*", path_part(path, 2).alias("_dir"), name.alias("model_name"))
         frames.append(tagged.join(types, ["_dir", "model_name"]).drop("_dir"))
+    if not frames:
+        raise FileNotFoundError(f"no readable prediction file in {run_dir}")
     return frames
 
 

@@ -68,6 +68,12 @@ def test_missing_required_column(spark, tmp_path):
         read_interactions(spark, str(tmp_path / "a.csv"))
 
 
+def test_names_that_differ_in_case_only(spark, tmp_path):
+    put(tmp_path / "a.csv", "SMILES,Label,Smile,label,CID,Seq,Accession,Note.1\nx,no,S,yes,C,A,P,n\n")
+    row = read_interactions(spark, str(tmp_path / "a.csv")).first()
+    assert (row.smile, row.label) == ("S", "yes")
+
+
 def test_line_breaks_in_quotes(spark, tmp_path):
     put(tmp_path / "a.csv", HEADER + 'P,"A\nC",C,S,1\nQ,M,D,T,0\n')
     rows = read_interactions(spark, str(tmp_path / "a.csv"), multi_line=True).orderBy("row_no").collect()
@@ -168,6 +174,12 @@ def test_useless_summary_falls_back_to_discovery(spark, run_dir, text):
     assert sources.read_predictions(spark, str(run_dir)).count() == 5
 
 
+def test_run_without_readable_files(spark, tmp_path):
+    put(tmp_path / "run/svm/empty_prediction.csv", "")
+    with pytest.raises(FileNotFoundError):
+        sources.read_predictions(spark, str(tmp_path / "run"))
+
+
 def test_exports(spark, run_dir, tmp_path):
     out = tmp_path / "out"
     stats = run_exports(spark, str(run_dir), str(out), ConsensusParams(min_consensus=1))
