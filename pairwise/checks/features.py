@@ -468,7 +468,7 @@ def _element_census(spark, d):
 @register(
     "attach_protein",
     f"""{ENTITIES}, {SEQUENCE}, {PROFILE}, {inputs.STORE}
-SELECT row_no, accession, length(r.sequence) + 0 * coalesce(s.sequence_length, 0) AS own_length,
+SELECT row_no, accession, length(r.sequence) AS own_length,
        coalesce(s.sequence_length, length(r.sequence)) AS sequence_length,
        coalesce(s.accession IS NOT NULL AND profile_vector IS NOT NULL, false) AS pssm_available,
        coalesce(round(sequence_vector[1], 6), length(r.sequence)) AS first_value,
@@ -485,12 +485,12 @@ def _attach_protein(spark, d):
     features = assemble.protein_features(
         sequences.sequence_features(done), profiles.profile_features(inputs.profile_rows(spark, d))
     )
-    out = assemble.attach_proteins(rows, features)
+    out = assemble.attach_proteins(assemble.with_own_length(rows), features)
     return tidy(
         out.select(
             "row_no",
             "accession",
-            F.length("sequence").alias("own_length"),
+            "own_length",
             "sequence_length",
             "pssm_available",
             F.col("sequence_vector")[0].alias("first_value"),

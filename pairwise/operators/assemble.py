@@ -23,17 +23,26 @@ def protein_features(sequences: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
+def with_own_length(rows: DataFrame) -> DataFrame:
+    """Replace the sequence by its length, all that the joins need of it.
+
+    Done before the joins: no output holds the sequence, so no shuffle should carry it.
+    """
+    length = F.coalesce(F.length("sequence"), F.lit(0)).cast("long")
+    return rows.withColumn("own_length", length).drop("sequence")
+
+
 def attach_proteins(rows: DataFrame, features: DataFrame) -> DataFrame:
-    """Left join on the accession; a miss keeps the row's own length and zeros elsewhere.
+    """Left join on the accession; a miss keeps ``own_length`` and has zeros elsewhere.
 
     The join type is left to the optimizer: broadcast if the features are small, else a sort-merge
     join whose hot partitions are split at run time.
     """
-    length = F.coalesce(F.length("sequence"), F.lit(0))
-    missing = F.concat(F.array(length.cast("double")), _zeros(SEQUENCE_DIM - 1))
+    own = F.col("own_length")
+    missing = F.concat(F.array(own.cast("double")), _zeros(SEQUENCE_DIM - 1))
     return rows.join(features, "accession", "left").withColumns(
         {
-            "sequence_length": F.coalesce("sequence_length", length.cast("long")),
+            "sequence_length": F.coalesce("sequence_length", own),
             "pssm_available": F.coalesce("pssm_available", F.lit(False)),
             "sequence_vector": F.coalesce("sequence_vector", missing),
             "profile_vector": F.coalesce("profile_vector", _zeros(PROFILE_DIM)),
@@ -53,7 +62,7 @@ def assemble(rows: DataFrame, proteins: DataFrame, compounds: DataFrame) -> Data
     Compounds first: their vectors are a quarter of the protein vectors, so the second shuffle
     moves less. The vectors stay arrays up to the sink.
     """
-    return attach_proteins(attach_compounds(rows, compounds), proteins)
+    return attach_proteins(attach_compounds(with_own_length(rows), compounds), proteins)
 
 
 def expand(vector: str, names: list[str]) -> list[Column]:

@@ -97,6 +97,21 @@ def test_counts_need_one_pass(spark, data):
         assert plan(frame).count("FileScan") == 1
 
 
+def test_sequences_stay_out_of_the_row_shuffles(spark, settings):
+    settings(autoBroadcastJoinThreshold="-1")
+    rows = spark.createDataFrame(
+        [(1, "P", "SEQ", "C", "S", "")],
+        "row_no long, accession string, sequence string, compound_cid string, smile string, label string",
+    )
+    proteins = spark.createDataFrame([], "accession string, sequence_length long, pssm_available boolean, sequence_vector array<double>, profile_vector array<double>")
+    molecules = spark.createDataFrame([], "compound_cid string, compound_vector array<double>")
+    full = assemble.assemble(rows, proteins, molecules)
+    assert "sequence" not in full.columns
+    text = plan(full.select(assemble.combined_columns()))
+    before, after = text.split("Exchange hashpartitioning(compound_cid", 1)
+    assert "length(sequence" not in before and "length(sequence" in after
+
+
 def _skew(settings):
     settings(
         autoBroadcastJoinThreshold="-1",
@@ -121,7 +136,7 @@ def test_hot_protein_is_split_when_features_are_attached(spark, settings):
         sequences.sequence_features(unique.filter("accession = 'hot'")),
         spark.createDataFrame([], "accession string, profile_vector array<double>"),
     )
-    out = assemble.attach_proteins(rows, features).select(
+    out = assemble.attach_proteins(assemble.with_own_length(rows), features).select(
         "accession", "smile", F.element_at("sequence_vector", 2).alias("a")
     )
     assert {r.accession for r in out.filter("a > 0").select("accession").distinct().collect()} == {"hot"}
