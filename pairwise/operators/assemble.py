@@ -56,13 +56,33 @@ def attach_compounds(rows: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
-def assemble(rows: DataFrame, proteins: DataFrame, compounds: DataFrame) -> DataFrame:
+def _with_first_row(features: DataFrame, rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Entity features plus the entity's first row; entities without features stay."""
+    firsts = rows.groupBy(key).agg(F.min("row_no").alias(name))
+    return firsts.join(features, key, "left")
+
+
+def assemble(
+    rows: DataFrame, proteins: DataFrame, compounds: DataFrame, flagged: bool = False
+) -> DataFrame:
     """All rows with their three vectors.
 
     Compounds first: their vectors are a quarter of the protein vectors, so the second shuffle
-    moves less. The vectors stay arrays up to the sink.
+    moves less. The vectors stay arrays up to the sink. ``flagged`` adds the first-occurrence flags;
+    the first rows travel with the features, so the flags cost no further join of the rows.
     """
-    return attach_proteins(attach_compounds(with_own_length(rows), compounds), proteins)
+    narrow = with_own_length(rows)
+    if not flagged:
+        return attach_proteins(attach_compounds(narrow, compounds), proteins)
+    proteins = _with_first_row(proteins, rows, "accession", "_protein_row")
+    compounds = _with_first_row(compounds, rows, "compound_cid", "_compound_row")
+    joined = attach_proteins(attach_compounds(narrow, compounds), proteins)
+    return joined.withColumns(
+        {
+            "protein_is_unique": F.col("row_no") == F.col("_protein_row"),
+            "compound_is_unique": F.col("row_no") == F.col("_compound_row"),
+        }
+    ).drop("_protein_row", "_compound_row")
 
 
 def expand(vector: str, names: list[str]) -> list[Column]:

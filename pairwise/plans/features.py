@@ -4,11 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairwise.operators.assemble import assemble, protein_features
 from pairwise.operators.compounds import compound_features
-from pairwise.operators.entities import (
-    unique_compounds,
-    unique_proteins,
-    with_uniqueness_flags,
-)
+from pairwise.operators.entities import unique_compounds, unique_proteins
 from pairwise.operators.profiles import profile_features
 from pairwise.operators.sequences import sequence_features
 from pairwise.session import stage
@@ -35,7 +31,7 @@ def feature_table(
         sequence_features(unique_proteins(rows)), profile_features(profile_rows)
     )
     compounds = compound_features(unique_compounds(rows), descriptors, on)
-    return assemble(with_uniqueness_flags(rows) if flagged else rows, proteins, compounds)
+    return assemble(rows, proteins, compounds, flagged)
 
 
 def run_features(
@@ -73,8 +69,7 @@ def run_features(
         "compound_cid",
         lambda todo: compound_features(todo, table),
     )
-    source = with_uniqueness_flags(rows) if flagged else rows
-    files.write_matrices(assemble(source, proteins, compounds), output, flagged)
+    files.write_matrices(assemble(rows, proteins, compounds, flagged), output, flagged)
     files.write_order(rows, output)
     marked = rows.join(proteins.select("accession", "pssm_available"), "accession", "left")
     stats = tables.processing_stats(marked.fillna(False, ["pssm_available"]))

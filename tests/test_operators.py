@@ -330,8 +330,9 @@ def test_missing_features_become_zero(spark):
     combined = full.select(assemble.combined_columns()).first()
     assert len(combined) == 338 and combined["Length"] == 3.0 and sum(combined[2:272]) == 0
     assert len(full.select(assemble.detailed_columns()).columns) == 342
-    flagged = entities.with_uniqueness_flags(full)
+    flagged = assemble.assemble(rows, proteins, molecules, flagged=True)
     assert len(flagged.select(assemble.flagged_columns()).columns) == 344
+    assert flagged.first().protein_is_unique and flagged.first().compound_is_unique
     assert full.first().pssm_available is False and full.first().sequence_length == 3
 
 
