@@ -28,7 +28,7 @@ def rounded(df, exact=frozenset()):
         for f in df.schema.fields
         if f.dataType.typeName() == "double" and f.name not in exact
     ]
-    return df.withColumns({name: F.round(name, DIGITS) for name in fields})
+    return df.withColumns({name: F.expr(f"round(`{name}`, {DIGITS})") for name in fields})
 
 
 def counts_long(df):

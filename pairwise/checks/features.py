@@ -459,7 +459,7 @@ def _descriptor_align(spark, d):
     "element_census", f"WITH {_census_sql('documents', 'doc_id', 'text')} SELECT * FROM census"
 )
 def _element_census(spark, d):
-    return compounds.element_census(inputs.table(spark, d, "documents"), "doc_id", "text")
+    return compounds.element_census(inputs.documents(spark, d, "doc_id", "text"), "doc_id", "text")
 
 
 # ---- assembly and outputs ----------------------------------------------------------------------

@@ -6,11 +6,18 @@ proteins and compounds grows with the tables.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pairwise.session import spread
+from pairwise.sources.interactions import clean_fields
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.col("l_quantity") / 50
     return table(spark, sf_dir, "lineitem").select(
@@ -37,7 +44,7 @@ fx_predictions AS (
 
 def raw_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uncleaned rows: three rows share a protein, two share a compound, texts differ."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir, "doc_id", "text", "n_chars").select(
         (F.col("doc_id") + 1).alias("row_no"),
         F.concat(F.lit(" P"), F.expr("doc_id div 3"), F.lit("\t")).alias("accession"),
         F.regexp_replace("text", "[^A-Za-z]", "").alias("sequence"),
@@ -48,8 +55,6 @@ def raw_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pairwise.sources.interactions import clean_fields
-
     return clean_fields(raw_interactions(spark, sf_dir))
 
 

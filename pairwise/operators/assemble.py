@@ -86,9 +86,12 @@ def assemble(
 
 
 def expand(vector: str, names: list[str]) -> list[Column]:
-    """Vector positions as named columns; a short vector is filled with 0."""
+    """Vector positions as named columns; a short vector is filled with 0.
+
+    SQL text, because hundreds of nested Python column calls take seconds to build.
+    """
     return [
-        F.coalesce(F.get(vector, F.lit(i)), F.lit(0.0)).alias(name) for i, name in enumerate(names)
+        F.expr(f"coalesce(get({vector}, {i}), 0.0D) AS `{name}`") for i, name in enumerate(names)
     ]
 
 

@@ -3,7 +3,7 @@
 Input rows are ``accession, pos, scores`` with ``pos`` dense from 1 and 20 scores per row.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairwise.constants import MAX_LAG, PROFILE_LAG_DIM
 
@@ -11,17 +11,19 @@ COLUMNS = 20
 BLOCK = 512  # positions per window group; a longer profile is spread over several tasks
 
 
+def _per_column(template: str) -> Column:
+    """An array with the SQL ``template`` for each of the 20 columns, ``{i}`` being the column."""
+    return F.expr(f"array({', '.join(template.format(i=i) for i in range(COLUMNS))})")
+
+
 def profile_stats(rows: DataFrame) -> DataFrame:
     """``profile_stats``: 20 means, then 20 population deviations, maxima and minima."""
-    scores = [F.col("scores")[i] for i in range(COLUMNS)]
+    statistics = ["avg", "stddev_pop", "max", "min"]
     return rows.groupBy("accession").agg(
         F.count("*").alias("positions"),
-        F.concat(
-            F.array(*[F.avg(s) for s in scores]),
-            F.array(*[F.stddev_pop(s) for s in scores]),
-            F.array(*[F.max(s) for s in scores]),
-            F.array(*[F.min(s) for s in scores]),
-        ).alias("profile_stats"),
+        F.concat(*[_per_column(name + "(scores[{i}])") for name in statistics]).alias(
+            "profile_stats"
+        ),
     )
 
 
@@ -50,9 +52,9 @@ def profile_lag_means(rows: DataFrame) -> DataFrame:
         ).alias("_lags"),
     ).filter("_inside")
     long = pairs.select("accession", "scores", F.inline("_lags")).filter("other IS NOT NULL")
-    steps = [F.col("scores")[i] - F.col("other")[i] for i in range(COLUMNS)]
+    step = "(scores[{i}] - other[{i}])"
     return long.groupBy("accession", "lag").agg(
-        F.array(*[F.avg(step * step) for step in steps]).alias("means")
+        _per_column(f"avg({step} * {step})").alias("means")
     )
 
 
