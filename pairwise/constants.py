@@ -37,7 +37,7 @@ RESIDUE_PROPERTIES = {
 }
 PROPERTY_NAMES = ["Hydrophobicity", "Isoelectric_Point", "Molecular_Weight"]
 
-# Column order of a profile: the current layout, and the one of the older detailed layout.
+# Column order and statistics of a profile.
 PROFILE_RESIDUES = "ARNDCQEGHILKMFPSTWYV"
 PROFILE_STATISTICS = ["Mean", "Std", "Max", "Min"]
 
