@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, types as T
 
 SPACE = 0x20
+SLICE = 4 << 20  # bytes of text handled at a time
 WHITE = (0x20, *range(0x09, 0x0E))
 
 

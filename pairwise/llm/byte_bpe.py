@@ -26,12 +26,11 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, types as T
 
-from pairwise.llm.arrow_text import extended, slices, without
+from pairwise.llm.arrow_text import SLICE, extended, slices, without
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 LEAF = 4096  # characters that are encoded in one go
-SLICE = 4 << 20
 
 
 class Segment(NamedTuple):

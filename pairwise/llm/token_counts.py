@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairwise.llm.arrow_text import slices
-from pairwise.llm.byte_bpe import PATTERN, SLICE, VOCABULARY, codec
+from pairwise.llm.arrow_text import SLICE, slices
+from pairwise.llm.byte_bpe import PATTERN, VOCABULARY, codec
 
 SEPARATOR = "\n"
 SCHEMA = (
