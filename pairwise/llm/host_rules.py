@@ -105,19 +105,19 @@ def host_rates(judged: DataFrame) -> DataFrame:
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """The prior's two parameters by moments of the hosts' rates: four sums, whatever the hosts' number.
+    """The prior's two parameters by moments over the hosts, each of which counts once.
 
-    With sums over hosts of n, k, n**2 and k(k-1)/(n-1): the chance that two documents of one host
-    both fail, beyond chance, is the correlation r within hosts, and a + b = 1 / r - 1.
+    Of k failures among n documents, k / n estimates a host's rate and k (k - 1) / (n (n - 1)) its square,
+    both without bias. Their means over the hosts of two or more documents give the mean and the variance
+    of the rates; the variance's share r of its largest value gives a + b = 1 / r - 1.
     """
     n, k = F.col("n_docs").cast("double"), F.col("n_bad").cast("double")
-    docs, bad, pairs, both = hosts.agg(
-        F.sum(n), F.sum(k), F.sum(n * (n - 1)), F.sum(k * (k - 1))
-    ).first()
-    if not docs:
+    mean, square = (
+        hosts.filter("n_docs > 1").agg(F.avg(k / n), F.avg(k * (k - 1) / (n * (n - 1)))).first()
+    )
+    if mean is None:
         return 1.0, 1.0
-    mean = min(max(bad / docs, 1e-6), 1 - 1e-6)
-    square = both / pairs if pairs else mean * mean
+    mean = min(max(mean, 1e-6), 1 - 1e-6)
     r = min(max((square - mean * mean) / (mean - mean * mean), 1e-4), 0.5)
     size = 1 / r - 1
     return mean * size, (1 - mean) * size

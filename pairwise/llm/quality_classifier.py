@@ -5,6 +5,8 @@
    away, over every occurrence in the corpus. Tokens share 2**16 rows by hash, so the table has a fixed
    size and tasks add up whole numbers: the sum does not depend on the partitioning.
 2. A token's vector is its normalised context vector beside its index vector; a document's is the mean.
+   Beside the mean stand its length and the mean product of vectors one and two places apart (high if a text
+   repeats itself) and the logarithm of the number of tokens.
 3. A network of two layers in numpy is fitted on at most ``max_train_rows`` labelled documents, those of the
    smallest hash of the id. Four fifths train, the rest sets the temperature that the logit is divided by.
 
@@ -123,13 +125,26 @@ def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """The mean token vector of each text."""
+    """The mean token vector of each text, then its length, mean products of tokens one and two apart, log count."""
     own, first = tokens(texts)
-    out = np.zeros((len(texts), vectors.shape[1]))
+    size = vectors.shape[1]
+    out = np.zeros((len(texts), size + 4))
     for k in range(len(texts)):
-        for a in range(first[k], first[k + 1], _CHUNK):
-            out[k] += vectors[own[a : min(a + _CHUNK, first[k + 1])]].sum(axis=0, dtype=np.float64)
-    return out / np.maximum(np.diff(first), 1)[:, None]
+        start, end = first[k], first[k + 1]
+        for a in range(start, end, _CHUNK):
+            b = min(a + _CHUNK, end)
+            near = vectors[own[a : min(b + 2, end)]]
+            out[k, :size] += near[: b - a].sum(axis=0, dtype=np.float64)
+            for step in (1, 2):
+                ahead = near[step : b - a + step]
+                out[k, size + step] += np.einsum("ij,ij->", near[: len(ahead)], ahead, dtype=np.float64)
+    count = np.diff(first)
+    out[:, :size] /= np.maximum(count, 1)[:, None]
+    for step in (1, 2):
+        out[:, size + step] /= np.maximum(count - step, 1)
+    out[:, size] = np.linalg.norm(out[:, :size], axis=1)
+    out[:, size + 3] = np.log1p(count)
+    return out
 
 
 class Model(NamedTuple):
@@ -154,7 +169,7 @@ def _logits(layers, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, ...]:
-    """Two layers by Adam on the mean log loss, both classes of equal weight."""
+    """Two layers by Adam on the mean log loss."""
     rng = np.random.default_rng(7)
     layers = [
         rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], HIDDEN)),
@@ -163,12 +178,11 @@ def fit_network(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.
         np.zeros(1),
     ]
     m, v, step = [0.0] * 4, [0.0] * 4, 0
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for rows in np.array_split(order, max(1, len(x) // BATCH)):
             logits, hidden = _logits(layers, x[rows])
-            error = ((1 / (1 + np.exp(-np.clip(logits, -60, 60))) - y[rows]) * weight[rows])[:, None] / len(rows)
+            error = (1 / (1 + np.exp(-np.clip(logits, -60, 60))) - y[rows])[:, None] / len(rows)
             back = (error @ layers[2].T) * (hidden > 0)
             slopes = (x[rows].T @ back, back.sum(axis=0), hidden.T @ error, error.sum(axis=0))
             step += 1
@@ -248,7 +262,7 @@ def train(
     # ids that repeat may bring more rows than labels were chosen
     rows = pooled.orderBy(F.xxhash64("doc_id"), "doc_id", "pooled").limit(max_train_rows).collect()
     shared.unpersist()
-    x = np.array([np.frombuffer(r["pooled"]) for r in rows]).reshape(-1, vectors.shape[1])
+    x = np.array([np.frombuffer(r["pooled"]) for r in rows])
     return fit(vectors, x, np.array([r["label"] for r in rows], np.float64))
 
 

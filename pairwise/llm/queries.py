@@ -177,11 +177,11 @@ hosts AS (
   SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (bad) AS DOUBLE) AS k
   FROM judged GROUP BY source),
 sums AS (
-  SELECT least(greatest(sum(k) / sum(n), 1e-6), 1 - 1e-6) AS mean,
-         sum(k * (k - 1)) / nullif(sum(n * (n - 1)), 0) AS square FROM hosts),
-prior AS (
-  SELECT mean, 1 / least(greatest((coalesce(square, mean * mean) - mean * mean) / (mean - mean * mean), 1e-4), 0.5) - 1
-    AS size FROM sums)
+  SELECT least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS mean, avg(k * (k - 1) / (n * (n - 1))) AS square
+  FROM hosts WHERE n > 1),
+sizes AS (
+  SELECT mean, 1 / least(greatest((square - mean * mean) / (mean - mean * mean), 1e-4), 0.5) - 1 AS size FROM sums),
+prior AS (SELECT coalesce(mean, 0.5) AS mean, coalesce(size, 2) AS size FROM sizes)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (k + mean * size) / (n + size) < 0.7 AS kept
 FROM judged JOIN hosts ON judged.source IS NOT DISTINCT FROM hosts.source, prior""",

@@ -4,9 +4,10 @@ Base patterns: assignments to names such as ``password``, access keys, long hexa
 method adds strings that look drawn at random: a run of key characters is scored by the log-likelihood
 ratio of two character Markov models, one of random strings and one of ordinary identifiers.
 
-Both are trained on samples labelled by the base patterns, over all documents: characters of base matches
-are random strings, all other runs are ordinary. Only counts of character pairs travel, so what tasks send
-has a fixed size. Add-one smoothing makes the model of random strings uniform where nothing was seen.
+Both are trained on labelled samples from all documents: runs that a base match touches are random strings;
+other runs are ordinary if they are shorter than a candidate or hold no digit, so secrets that no pattern
+finds hardly teach what is ordinary. Only counts of character pairs travel, so what tasks send
+has a fixed size. Where nothing was seen after a character, a model falls back on how frequent characters are.
 
 A run that overlaps a base match is not reported. Null text is empty and has no spans. Rows are judged one by
 one: repeated rows give repeated results, null ids stay null. Only id and text are read.
@@ -88,6 +89,8 @@ class Scan:
         self.in_base = np.cumsum(marks)[:n] > 0
         sums = np.concatenate(([0], np.cumsum(self.in_base)))
         self.touched = sums[self.ends] - sums[self.starts] > 0
+        digits = np.concatenate(([0], np.cumsum((self.data >= 48) & (self.data < 58))))
+        self.with_digit = digits[self.ends] - digits[self.starts] > 0
 
     def pairs(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each character of the chosen runs, the pair with the one before it; and where runs begin."""
@@ -109,7 +112,8 @@ def _counts(batches):
         for batch in slices(whole, "text", SLICE):
             scan = Scan(batch.column("text"))
             sizes = scan.ends - scan.starts
-            chosen = ((sizes >= MIN_ORDINARY) & ~scan.touched, (sizes >= MIN_VALUE) & scan.touched)
+            plain = (sizes < MIN_RUN) | ~scan.with_digit
+            chosen = ((sizes >= MIN_ORDINARY) & plain & ~scan.touched, (sizes >= MIN_VALUE) & scan.touched)
             for k, runs_of in enumerate(chosen):
                 total[k] += np.bincount(scan.pairs(runs_of)[0], minlength=N * N)
     model, pair = np.nonzero(total)
@@ -122,13 +126,21 @@ def train(df: DataFrame, text: str = "text") -> np.ndarray:
     """Log-likelihood ratio of each pair of characters, random over ordinary."""
     texts = df.select(F.col(text).alias("text"))
     counted = texts.mapInArrow(_counts, "model bigint, pair bigint, n bigint")
-    total = np.ones((2, N, N))
+    total = np.zeros((2, N, N))
     for row in counted.groupBy("model", "pair").agg(F.sum("n").alias("n")).collect():  # at most 2 * N * N
         total[row["model"], row["pair"] // N, row["pair"] % N] += row["n"]
-    total[:, :, N - 1] = 0  # nothing leads to a start
-    share = total / total.sum(axis=2, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.nan_to_num(np.log(share[1]) - np.log(share[0]), nan=0.0).ravel()
+    return ratios(total)
+
+
+def ratios(counts: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of the pairs from both models' counts.
+
+    A character's share in the whole model, with add-one, weighs as N observations after each character.
+    """
+    single = counts.sum(axis=1, keepdims=True) + 1
+    single /= single.sum(axis=2, keepdims=True)
+    share = (counts + N * single) / (counts.sum(axis=2, keepdims=True) + N)
+    return (np.log(share[1]) - np.log(share[0])).ravel()
 
 
 def find(texts: pa.Array, ratios: np.ndarray, min_ratio: float) -> list[list[tuple[str, int, int]]]:

@@ -31,7 +31,7 @@ from pairwise.session import stage
 SHINGLE = 3
 SEED = 42
 DISTANCE = 3
-BUCKET = 2048  # fingerprints that are compared with each other in one place
+BUCKET = 2048  # fingerprints that are compared with each other in one place (8 or more)
 _FOLD = LOWERED.tobytes()
 _ROWS = 1 << 15
 
@@ -106,41 +106,45 @@ def _spanning(members: np.ndarray) -> list[tuple[int, int]]:
     return [(_signed(a), b) for a, b in links]
 
 
-def _verify(batches):
+def _verifier(most: int):
     """Streams rows sorted by (mask, part, fp): links of small buckets, members of large ones (b is null)."""
-    key, held, large = None, [], False  # of the bucket that the last batch ended in
 
-    def done():
-        if large or not held:
-            return []
-        members = np.unique(np.concatenate(held))
-        return [(None, *x) for x in _spanning(members)]
-
-    for batch in batches:
-        out: list[tuple] = []
-        mask, part, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        if not len(fp):
-            continue
-        change = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
-        bounds = np.concatenate(([0], change, [len(fp)]))
-        sizes = np.diff(bounds)
-        edge = np.zeros(len(sizes), bool)
-        edge[[0, -1]] = True
-        pair = bounds[:-1][(sizes == 2) & ~edge]  # most buckets have one member, most others two
-        near = pair[np.bitwise_count((fp[pair] ^ fp[pair + 1]).view(np.uint64)) <= DISTANCE]
-        out += [(None, x, y) for x, y in zip(fp[near].tolist(), fp[near + 1].tolist(), strict=True) if x != y]
-        for k in np.flatnonzero((sizes > 2) | edge).tolist():
-            a, b = bounds[k], bounds[k + 1]
-            if (mask[a], part[a]) != key:
-                out += done()
-                key, held, large = (mask[a], part[a]), [], False
-            held.append(fp[a:b].view(np.uint64))
-            large = large or sum(map(len, held)) > BUCKET
-            if large:  # pass the members on
-                out += [(int(key[0]), int(x), None) for x in np.concatenate(held).view(np.int64)]
-                held = []
-        yield _links(out)
-    yield _links(done())
+    def rows(batches):
+        key, held, large = None, [], False  # of the bucket that the last batch ended in
+
+        def done():
+            if large or not held:
+                return []
+            members = np.unique(np.concatenate(held))
+            return [(None, *x) for x in _spanning(members)]
+
+        for batch in batches:
+            out: list[tuple] = []
+            mask, part, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            if not len(fp):
+                continue
+            change = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
+            bounds = np.concatenate(([0], change, [len(fp)]))
+            sizes = np.diff(bounds)
+            edge = np.zeros(len(sizes), bool)
+            edge[[0, -1]] = True
+            pair = bounds[:-1][(sizes == 2) & ~edge]  # most buckets have one member, most others two
+            near = pair[np.bitwise_count((fp[pair] ^ fp[pair + 1]).view(np.uint64)) <= DISTANCE]
+            out += [(None, x, y) for x, y in zip(fp[near].tolist(), fp[near + 1].tolist(), strict=True) if x != y]
+            for k in np.flatnonzero((sizes > 2) | edge).tolist():
+                a, b = bounds[k], bounds[k + 1]
+                if (mask[a], part[a]) != key:
+                    out += done()
+                    key, held, large = (mask[a], part[a]), [], False
+                held.append(fp[a:b].view(np.uint64))
+                large = large or sum(map(len, held)) > most
+                if large:  # pass the members on
+                    out += [(int(key[0]), int(x), None) for x in np.concatenate(held).view(np.int64)]
+                    held = []
+            yield _links(out)
+        yield _links(done())
+
+    return rows
 
 
 def _links(rows: list[tuple]) -> pa.RecordBatch:
@@ -170,7 +174,7 @@ def links(distinct: DataFrame) -> DataFrame:
     found = None
     while True:
         dealt = index.repartition("mask", "part").sortWithinPartitions("mask", "part", "fp")
-        seen = stage(dealt.mapInArrow(_verify, "mask bigint, a bigint, b bigint"), "near")
+        seen = stage(dealt.mapInArrow(_verifier(BUCKET), "mask bigint, a bigint, b bigint"), "near")
         new = seen.filter("b is not null").select("a", "b")
         found = new if found is None else found.unionByName(new)
         large = seen.filter("b is null").select("mask", "a").distinct()
