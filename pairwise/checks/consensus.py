@@ -11,11 +11,12 @@ from pairwise.constants import (
 )
 from pairwise.operators import agreement, consensus, distributions, pairs
 from pairwise.params import ConsensusParams, sweep_thresholds
-from pairwise.session import stage
-from pairwise.sinks import tables
+from pairwise.session import hadoop_path, stage, staging_path
+from pairwise.sinks import files, tables
 from pairwise.sinks.report import report
 from pairwise.sources import predictions as sources
 from pairwise.sources import runs
+from pairwise.sources.listing import find_files
 
 P = ConsensusParams()
 DIGITS = 6
@@ -45,8 +46,9 @@ def stats(spark, d):
     return pairs.pair_stats(inputs.predictions(spark, d))
 
 
-def value_counts(spark, d):
-    return stage(distributions.value_counts(stats(spark, d)), "value-counts")
+def staged_stats(spark, d):
+    """Pair statistics for queries that read them several times."""
+    return stage(stats(spark, d), "pair-stats")
 
 
 STATS = f"""WITH {inputs.PREDICTIONS},
@@ -185,15 +187,51 @@ def _predictions_union(spark, d):
 @register(
     "export_models",
     f"""WITH {inputs.PREDICTIONS}
-SELECT model_type, concat(model_name, '_complete') AS file, protein_id, compound_id, prediction,
-       round(probability_0, 6) AS probability_0, round(probability_1, 6) AS probability_1,
-       round(confidence, 6) AS confidence
+SELECT concat('a_', model_type) AS model_type, model_name, protein_id, compound_id,
+       round(probability_1, 6) AS probability_1,
+       CASE WHEN model_type = 'MF' THEN round(confidence, 6) END AS confidence
 FROM fx_predictions""",
 )
 def _export_models(spark, d):
+    """The complete export of two file formats, as it is written and read back."""
+    path = staging_path(spark, "models")
+    raw = []
+    for frame in _model_tables(spark, d):
+        named = frame.withColumn("model_type", F.concat(F.lit("a/"), "model_type"))
+        raw.append(named.select(*[F.col(c).cast("string") for c in frame.columns]))
     frame = inputs.predictions(spark, d)
-    named = frame.withColumn("file", F.concat("model_name", F.lit("_complete")))
-    return rounded(named.drop("model_name"))
+    files.write_models(raw, sources.union_models(raw), pairs.pair_stats(frame), P, path)
+    columns = ["model_type", "model_name", "protein_id", "compound_id", "probability_1", "confidence"]
+    written = [spark.read.option("header", True).csv(f"{path}/models/format-{i}") for i in range(len(raw))]
+    found = sources.union_models(written).select(columns)
+    numbers = {c: F.col(c).cast("double") for c in ("probability_1", "confidence")}
+    return rounded(found.withColumns(numbers))
+
+
+@register(
+    "prediction_files",
+    f"""WITH {inputs.PREDICTIONS}
+SELECT model_type, model_name, protein_id, compound_id, prediction::DOUBLE AS prediction, 0.5::DOUBLE AS probability_0,
+       round(probability_1, 6) AS probability_1, round(confidence, 6) AS confidence
+FROM fx_predictions""",
+)
+def _prediction_files(spark, d):
+    """A run folder with a file for each model, written from the predictions and read back."""
+    frame = inputs.predictions(spark, d).drop("probability_0")
+    run = f"{staging_path(spark, 'run')}/batch_prediction_1"
+    with_folders = frame.withColumns(
+        {"_folder": F.col("model_type"), "_file": F.concat("model_name", F.lit("_prediction.csv"))}
+    )
+    target = f"{run}/parts"
+    files.write_csv(with_folders.repartition("_folder", "_file").drop("model_type", "model_name"), target, ("_folder", "_file"))
+    # one part file for each model: give it the name that a run has
+    for part in find_files(spark, f"{target}/*/*/part-*"):
+        *_, folder, name, _ = part.split("/")
+        disk, at = hadoop_path(spark, part)
+        to = hadoop_path(spark, f"{run}/{folder.split('=')[1]}/{name.split('=')[1]}")[1]
+        disk.mkdirs(to.getParent())
+        disk.rename(at, to)
+    return rounded(sources.read_predictions(spark, run))
 
 
 @register(
@@ -398,7 +436,7 @@ def _advice_rules(spark, d):
   round(min(value), 6) AS min, round(max(value), 6) AS max FROM metrics GROUP BY metric""",
 )
 def _distribution_stats(spark, d):
-    return tidy(distributions.distribution_stats(value_counts(spark, d)))
+    return tidy(distributions.distribution_stats(staged_stats(spark, d)))
 
 
 def _share_sql(label, groups):
@@ -465,7 +503,7 @@ LEFT JOIN counts c ON c.metric = s.metric AND c.bin = b.bin"""
     _histogram_sql(20, distributions.METRICS, "coalesce(pairs, 0) AS pairs"),
 )
 def _histogram20(spark, d):
-    return tidy(distributions.histogram(value_counts(spark, d), 20)).drop("density")
+    return tidy(distributions.histogram(staged_stats(spark, d), 20)).drop("density")
 
 
 @register(
@@ -475,7 +513,7 @@ def _histogram20(spark, d):
     ),
 )
 def _density30(spark, d):
-    return tidy(distributions.density(value_counts(spark, d), 30))
+    return tidy(distributions.density(staged_stats(spark, d), 30))
 
 
 @register(
@@ -492,7 +530,7 @@ SELECT metric, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS med
 FROM metrics JOIN f USING (metric) GROUP BY metric""",
 )
 def _box_stats(spark, d):
-    return tidy(distributions.box_stats(value_counts(spark, d)))
+    return tidy(distributions.box_stats(staged_stats(spark, d)))
 
 
 @register(
@@ -609,8 +647,9 @@ def _jaccard_extremes(spark, d):
 
 @register(
     "model_complementarity",
-    f"""{JACCARD}, m AS (SELECT model_a AS model, avg(jaccard) AS s FROM matrix WHERE a <> b
-                         GROUP BY model_a)
+    f"""{JACCARD}, m AS (
+  SELECT model_a AS model, round(avg(jaccard), 12) AS s FROM matrix WHERE a <> b
+    AND (SELECT max(jaccard) FROM matrix WHERE a <> b) > 0 GROUP BY a, model_a)
 SELECT model, round(s, 6) AS mean_similarity,
        CASE WHEN s < 0.5 THEN 'keep' WHEN s > 0.8 THEN 'redundant' ELSE 'suitable' END AS verdict
 FROM m""",
@@ -656,22 +695,37 @@ def _export_parameters(spark, d):
     return tidy(tables.export_parameters(pairs.pair_stats(frame), frame, P, "basic"))
 
 
+# --- fixed values: meaning of the columns of the full export, as SQL states them -------------------
+MEANINGS = {
+    "model_type": "model type",
+    "model_name": "model name",
+    "protein_id": "protein id",
+    "compound_id": "compound id",
+    "prediction": "predicted class (0 no interaction, 1 interaction)",
+    "probability_0": "probability of no interaction",
+    "probability_1": "probability of interaction",
+    "confidence": "confidence of the prediction",
+}
+# --------------------------------------------------------------------------------------------------
+
+
 @register(
     "column_dictionary",
     f"WITH {inputs.PREDICTIONS}, everything AS (SELECT *, CASE WHEN model_type = 'MF' THEN confidence "
     "END AS cell FROM fx_predictions)\n"
     + " UNION ALL ".join(
-        f"SELECT {i}::BIGINT AS position, '{c}' AS \"column\", '{tables.COLUMN_MEANING[c]}' AS description, "
+        f"SELECT {i}::BIGINT AS position, '{c}' AS \"column\", '{text}' AS description, "
         f"count({'cell' if c == 'confidence' else c}) AS filled FROM everything"
-        for i, c in enumerate(
-            ["model_type", "model_name", "protein_id", "compound_id", "prediction", "probability_0",
-             "probability_1", "confidence"],
-            start=1,
-        )
+        for i, (c, text) in enumerate(MEANINGS.items(), start=1)
     ),
 )
 def _column_dictionary(spark, d):
-    return tidy(tables.column_dictionary(sources.union_models(_model_tables(spark, d))))
+    """The meanings that the complete export writes, with the number of filled cells."""
+    frame = sources.union_models(_model_tables(spark, d))
+    counts = frame.agg(*[F.count(c).alias(c) for c in MEANINGS]).select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in MEANINGS]))
+    )
+    return tidy(tables.column_meanings(spark, frame.columns).join(counts, "column"))
 
 
 def _report_sql():

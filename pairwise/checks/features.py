@@ -9,14 +9,13 @@ from pairwise.constants import (
     DESCRIPTORS,
     MAX_LAG,
     PROPERTY_NAMES,
+    RESIDUE_PROPERTIES,
     RESIDUES,
 )
 from pairwise.functions.names import compound_names, profile_names, sequence_names
-from pairwise.functions.sequence import residue_zscores
-from pairwise.functions.smiles import BRACKET_ATOM, ELEMENT_COUNTS, HALOGENS, ORGANIC_LETTERS
 from pairwise.operators import assemble, compounds, entities, ordinal, profiles, sequences
-from pairwise.operators.compounds import SAME_AS
 from pairwise.plans.features import feature_table
+from pairwise.session import staging_path
 from pairwise.sinks import files, tables
 from pairwise.sources import interactions
 from pairwise.sources.profiles import parse_profiles, with_profile_flag
@@ -44,7 +43,12 @@ compounds AS (
   SELECT compound_cid, arg_min(smile, row_no) AS smile, min(row_no) AS first_row
   FROM fx_interactions GROUP BY compound_cid)"""
 
-_Z = ", ".join(f"('{aa}', {', '.join(f'{float(v)!r}::DOUBLE' for v in z)})" for aa, z in zip(RESIDUES, residue_zscores()))
+# Residue properties in standard units, computed from the plain table by SQL.
+_PROPERTIES = ", ".join(f"('{aa}', {', '.join(f'{v!r}::DOUBLE' for v in p)})" for aa, p in RESIDUE_PROPERTIES.items())
+_Z = f"""properties(residue, a, b, c) AS (VALUES {_PROPERTIES}),
+residues AS (
+  SELECT residue, {', '.join(f'({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER () AS p{i}' for i, x in enumerate('abc'))}
+  FROM properties)"""
 _P = ["p0", "p1", "p2"]
 _LEADS = ", ".join(f"lead({p}, {lag}) OVER w AS {p}_{lag}" for p in _P for lag in range(1, MAX_LAG + 1))
 _LAGS = ", ".join(
@@ -55,7 +59,7 @@ _SHARES = ", ".join(
     f"(length(sequence) - length(replace(sequence, '{aa}', ''))) / length(sequence) END"
     for aa in RESIDUES
 )
-SEQUENCE = f"""residues(residue, p0, p1, p2) AS (VALUES {_Z}),
+SEQUENCE = f"""{_Z},
 letters AS (
   SELECT accession, unnest(string_split(sequence, '')) AS residue,
          generate_subscripts(string_split(sequence, ''), 1) AS pos
@@ -97,6 +101,17 @@ profile_features AS (
   SELECT accession, list_concat(profile_stats, profile_lags) AS profile_vector
   FROM profile_stats JOIN profile_lags USING (accession))"""
 
+# --- fixed values: the atoms of a compound string, as SQL reads them ------------------------------
+BRACKET_ATOM = r"\[[0-9]*([A-Z][a-z]?|[a-z]+|\*)[^\]]*\]"
+ORGANIC_LETTERS = "BCNOPSFIbcnops"
+ELEMENT_COUNTS = {
+    "CarbonCount": "C", "NitrogenCount": "N", "OxygenCount": "O", "SulfurCount": "S", "PhosphorusCount": "P",
+    "FluorineCount": "F", "ChlorineCount": "Cl", "BromineCount": "Br", "IodineCount": "I",
+}
+HALOGENS = ["F", "Cl", "Br", "I"]
+SAME_AS = {"LipinskiViolations": "RotBonds", "MolLogP": "LogP", "MolMR": "MR"}
+# --------------------------------------------------------------------------------------------------
+
 # The SQL lists the atoms one by one; the engine counts letters.
 _TOKEN = f"{BRACKET_ATOM.replace('(', '(?:')}|Br|Cl|[{ORGANIC_LETTERS}]|\\*"
 
@@ -124,10 +139,10 @@ census AS (SELECT {key}, {columns} FROM symbol_lists)"""
 
 
 _FLAGS = {
-    "RO5_Violations": "(HBD > 5 OR HBA > 10 OR MW > 500 OR LogP > 5)",
+    "RO5_Violations": "(HBD > 5 OR HBA > 10 OR (MW > 500 AND NOT isnan(MW)) OR (LogP > 5 AND NOT isnan(LogP)))",
     "GhoseViolations": "NOT (MW BETWEEN 160 AND 480 AND LogP BETWEEN -0.4 AND 5.6 "
     "AND d.AtomCount BETWEEN 20 AND 70 AND RotBonds BETWEEN 0 AND 10)",
-    "VeberViolations": "(RotBonds > 10 OR TPSA > 140)",
+    "VeberViolations": "(RotBonds > 10 OR (TPSA > 140 AND NOT isnan(TPSA)))",
 }
 _TABLE = ["MW", "LogP", "HBA", "HBD", "RotBonds", "AtomCount", "TPSA", "MR"]
 
@@ -145,7 +160,8 @@ def _descriptor_values(census):
             text = f"c.{name}"
         else:
             text = "0.0"
-        values[name] = f"coalesce(CAST({text} AS DOUBLE), 0.0::DOUBLE)"
+        number = f"CAST({text} AS DOUBLE)"
+        values[name] = f"coalesce(CASE WHEN isfinite({number}) THEN {number} END, 0.0::DOUBLE)"
     return values
 
 
@@ -330,7 +346,7 @@ def _sequence_features(spark, d):
     + " FROM sequence_features",
 )
 def _aa_composition(spark, d):
-    return tidy(sequences.composition(_sequence_features(spark, d)), EXACT)
+    return tidy(sequences.composition(entities.unique_proteins(inputs.interactions(spark, d))), EXACT)
 
 
 @register(
@@ -348,9 +364,9 @@ def _sequence_lag(spark, d):
 
 @register(
     "residue_zscores",
-    f"""{ENTITIES}, residues(residue, hydrophobicity, isoelectric_point, molecular_weight) AS (VALUES {_Z})
-SELECT residue, round(hydrophobicity, 6) AS hydrophobicity,
-       round(isoelectric_point, 6) AS isoelectric_point, round(molecular_weight, 6) AS molecular_weight,
+    f"""{ENTITIES}, {_Z}
+SELECT residue, round(p0, 6) AS hydrophobicity,
+       round(p1, 6) AS isoelectric_point, round(p2, 6) AS molecular_weight,
        (SELECT sum(length(sequence) - length(replace(sequence, residue, '')))::BIGINT FROM proteins)
          AS occurrences
 FROM residues""",
@@ -576,12 +592,13 @@ n AS (SELECT count(*) AS total_records, count(DISTINCT accession) AS unique_prot
 SELECT *, round((total_records - unique_proteins) * 100.0::DOUBLE / total_records, 6) AS protein_dedup_rate,
        round((total_records - unique_compounds) * 100.0::DOUBLE / total_records, 6) AS compound_dedup_rate,
        51::BIGINT AS protein_pseaac, 220::BIGINT AS protein_psepssm, 64::BIGINT AS compound,
-       335::BIGINT AS total_dim FROM n""",
+       335::BIGINT AS total FROM n""",
 )
 def _processing_stats(spark, d):
     rows = inputs.interactions(spark, d).select("accession", "compound_cid")
     stems = inputs.profile_rows(spark, d).select(F.col("accession").alias("stem"))
-    return tidy(tables.processing_stats(with_profile_flag(rows, stems)))
+    found = tables.processing_stats(with_profile_flag(rows, stems))
+    return tidy(found.select("*", "feature_dimensions.*").drop("feature_dimensions"))
 
 
 _GROUP = {n: group for group, members in DESCRIPTOR_GROUPS.items() for n in members}
@@ -608,4 +625,50 @@ SELECT block, idx::BIGINT AS idx, name, descriptor_group, coalesce(nonzero, 0) A
 FROM names LEFT JOIN used USING (place)""",
 )
 def _feature_dictionary(spark, d):
-    return tidy(tables.feature_dictionary(assembled(spark, d)))
+    """The dictionary as it is written and read back, with the rows in which each feature is not zero."""
+    path = staging_path(spark, "dictionary")
+    files.write_json(tables.feature_names(spark), path)
+    schema = "block string, idx long, name string, descriptor_group string"
+    written = spark.read.schema(schema).json(path)
+    vectors = assembled(spark, d).select(*assemble.VECTORS)
+    sizes = {"sequence": 51, "profile": 220, "compound": 64}
+    sums = vectors.agg(
+        *[
+            F.count_if(F.get(f"{block}_vector", F.lit(i)) != 0).alias(f"{block}_{i}")
+            for block, size in sizes.items()
+            for i in range(size)
+        ]
+    )
+    cells = [
+        F.struct(F.lit(block).alias("block"), F.lit(i).cast("long").alias("idx"), F.col(f"{block}_{i}").alias("nonzero"))
+        for block, size in sizes.items()
+        for i in range(size)
+    ]
+    return tidy(written.join(sums.select(F.inline(F.array(*cells))), ["block", "idx"]))
+
+
+@register(
+    "interaction_files",
+    """WITH cells AS (
+  SELECT doc_id, CASE WHEN doc_id % 97 = 5 THEN '' ELSE concat('P', doc_id // 3) END AS accession,
+         regexp_replace(text, '[^A-Za-z]', '', 'g') AS sequence, concat('C', doc_id // 2) AS compound_cid,
+         lang AS smile, source AS label FROM documents)
+SELECT row_number() OVER (ORDER BY doc_id) AS row_no, accession, upper(sequence) AS sequence, compound_cid, smile, label
+FROM cells""",
+)
+def _interaction_files(spark, d):
+    """The documents written as a CSV of interactions, in order, and read back by its header."""
+    rows = inputs.documents(spark, d, "doc_id", "text", "lang", "source")
+    accession = F.when(F.col("doc_id") % 97 == 5, "").otherwise(F.concat(F.lit("P"), F.expr("doc_id div 3")))
+    written = rows.select(
+        (F.col("doc_id") + 1).alias("row_no"),
+        F.col("source").alias("Label"),
+        accession.alias("ProteinID"),
+        F.regexp_replace("text", "[^A-Za-z]", "").alias("Seq"),
+        F.lit("a,b\"c").alias("Note"),
+        F.concat(F.lit("C"), F.expr("doc_id div 2")).alias("CID"),
+        F.col("lang").alias("SMILES"),
+    )
+    path = staging_path(spark, "interactions")
+    files.write_csv(files.in_row_order(written).drop("row_no"), path)
+    return interactions.read_interactions(spark, path)

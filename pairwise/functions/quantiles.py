@@ -1,62 +1,89 @@
-"""Exact quantiles of large groups without gathering a group in one task."""
+"""Exact quantiles of large groups without gathering or shuffling a group."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-BUCKETS = 65_536
+BUCKETS = 1024
+SMALL = 4096  # rows of an interval that are fetched
 
 
-def exact_quantiles(counts: DataFrame, probabilities: list[float]) -> DataFrame:
+def exact_quantiles(values: DataFrame, probabilities: list[float]) -> DataFrame:
     """``metric, probability, quantile`` with linear interpolation between the two nearest ranks.
 
-    ``counts`` has ``metric, value, n``: distinct values and how often they occur, so a frequent
-    value is one row. It is read several times: pass a staged table. The range of a metric is cut
-    into equally wide buckets; the bucket number never falls as the value rises, so bucket counts
-    tell which bucket holds a rank, and only the distinct values of those buckets are sorted. There
-    are few metrics, which bounds everything that is broadcast.
+    ``values`` has ``metric, value`` without NaN, one row for each observation; there are few metrics.
+    It is read in every pass, so it should come from a staged table. The interval that holds a wanted
+    rank starts as the whole range. A pass cuts it into equally wide buckets and counts them, combined
+    before the shuffle; the bucket of the rank, from its least to its greatest value, is the next
+    interval. Values that crowd together are thus cut apart in the next pass. Intervals of a few
+    thousand rows are fetched with their counts. The driver sees bucket counts only.
     """
-    counted = counts.withColumnRenamed("metric", "key")
-    spans = counted.groupBy("key").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")
-    )
-    position = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS)
-    bucket = F.when(F.col("hi") > F.col("lo"), F.least(position, F.lit(BUCKETS - 1))).otherwise(0)
-    # spans: one row per key
-    spread = counted.join(F.broadcast(spans), "key").select(
-        "key", bucket.cast("int").alias("bucket"), "value", "n"
-    )
-    sizes = spread.groupBy("key", "bucket").agg(F.sum("n").alias("size"))
-    ends = sizes.withColumn(
-        "end", F.sum("size").over(Window.partitionBy("key").orderBy("bucket"))
-    )
+    spark = values.sparkSession
+    spans = values.groupBy("metric").agg(F.count("*"), F.min("value"), F.max("value")).collect()
+    wanted, cells = {}, {}  # (metric, rank) -> value; interval -> ranks, counted from its start
+    for metric, total, lo, hi in spans:
+        ranks = {r for p in probabilities for r in _ranks(p, total)[:2]}
+        cells[metric, lo, hi, total] = {r: r for r in ranks}
+    while cells:
+        for cell in [c for c in cells if c[1] == c[2]]:
+            wanted |= {(cell[0], rank): cell[1] for rank in cells.pop(cell)}
+        small = {c: r for c, r in cells.items() if c[3] <= SMALL}
+        large = {c: r for c, r in cells.items() if c[3] > SMALL}
+        cells = {}
+        if small:
+            for cell, found in _fetched(values, list(small)).items():
+                for rank, at in small[cell].items():
+                    wanted[cell[0], rank] = next(v for v, end in found if at < end)
+        if large:
+            for cell, buckets in _counted(values, list(large)).items():
+                for rank, at in large[cell].items():
+                    start = 0
+                    for lo, hi, n in buckets:
+                        if at < start + n:
+                            cells.setdefault((cell[0], lo, hi, n), {})[rank] = at - start
+                            break
+                        start += n
+    rows = []
+    for metric, total, _, _ in spans:
+        for p in probabilities:
+            low, high, weight = _ranks(p, total)
+            a, b = wanted[metric, low], wanted[metric, high]
+            rows.append((metric, p, a + (b - a) * weight))
+    return spark.createDataFrame(rows, "metric string, probability double, quantile double")
 
-    at = F.col("probability") * (F.col("total") - 1)
-    targets = spans.select(
-        "key", "total", F.explode(F.array(*map(F.lit, probabilities))).alias("probability")
-    ).select(
-        "key", "probability", F.floor(at).alias("low"), F.ceil(at).alias("high"),
-        (at - F.floor(at)).alias("weight"),
-    )
-    ranks = targets.select("key", F.explode(F.array("low", "high")).alias("rank")).distinct()
-    inside = (F.col("rank") >= F.col("end") - F.col("size")) & (F.col("rank") < F.col("end"))
-    hits = ranks.join(ends, "key").filter(inside).select(
-        "key", "bucket", "rank", (F.col("end") - F.col("size")).alias("before")
-    )
 
-    # cells: at most two rows per key and probability
-    cells = hits.select("key", "bucket", "before").distinct()
-    kept = spread.join(F.broadcast(cells), ["key", "bucket"])
-    upto = F.col("before") + F.sum("n").over(
-        Window.partitionBy("key", "bucket").orderBy("value")
-    )
-    ranked = kept.withColumn("upto", upto)
-    covers = (F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto"))
-    found = ranked.join(F.broadcast(hits.drop("before")), ["key", "bucket"]).filter(covers)
-
-    low = found.select("key", F.col("rank").alias("low"), F.col("value").alias("v_low"))
-    high = found.select("key", F.col("rank").alias("high"), F.col("value").alias("v_high"))
-    blend = F.col("v_low") + (F.col("v_high") - F.col("v_low")) * F.col("weight")
-    return (
-        targets.join(low, ["key", "low"])
-        .join(high, ["key", "high"])
-        .select(F.col("key").alias("metric"), "probability", blend.alias("quantile"))
+def _ranks(probability: float, total: int) -> tuple[int, int, float]:
+    at = probability * (total - 1)
+    low = int(at)
+    return low, min(low + 1, total - 1) if at > low else low, at - low
+
+
+def _inside(values: DataFrame, cells: list[tuple]) -> DataFrame:
+    """The rows of each interval with its number; at most two intervals for each metric and probability."""
+    numbered = [(k, m, lo, hi) for k, (m, lo, hi, _) in enumerate(cells)]
+    frame = values.sparkSession.createDataFrame(numbered, "cell int, metric string, lo double, hi double")
+    return values.join(F.broadcast(frame), "metric").filter(F.col("value").between(F.col("lo"), F.col("hi")))
+
+
+def _counted(values: DataFrame, cells: list[tuple]) -> dict[tuple, list[tuple]]:
+    """Least value, greatest value and rows of the filled buckets of each interval, in order."""
+    place = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS)
+    bucket = F.least(place, F.lit(BUCKETS - 1)).alias("bucket")
+    rows = (
+        _inside(values, cells)
+        .groupBy("cell", bucket)
+        .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
+        .collect()
     )
+    found: dict[tuple, list[tuple]] = {}
+    for r in sorted(rows, key=lambda r: (r["cell"], r["lo"])):
+        found.setdefault(cells[r["cell"]], []).append((r["lo"], r["hi"], r["n"]))
+    return found
+
+
+def _fetched(values: DataFrame, cells: list[tuple]) -> dict[tuple, list[tuple]]:
+    """The values of each small interval in order, with the rows up to and including each."""
+    rows = _inside(values, cells).groupBy("cell", "value").count().collect()
+    found: dict[tuple, list[tuple]] = {}
+    for r in sorted(rows, key=lambda r: (r["cell"], r["value"])):
+        ends = found.setdefault(cells[r["cell"]], [])
+        ends.append((r["value"], (ends[-1][1] if ends else 0) + r["count"]))
+    return found

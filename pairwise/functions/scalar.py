@@ -41,6 +41,11 @@ def stable_mean(col: Column) -> Column:
     return F.round(F.avg(col), MEAN_DIGITS)
 
 
+def above(name: str, threshold: float) -> Column:
+    """``name > threshold`` where NaN never passes."""
+    return ~F.isnan(F.col(name).cast("double")) & (F.col(name) > threshold)
+
+
 def at_least(name: str, threshold: float) -> Column:
     """``name >= threshold`` where NaN never passes (Spark orders NaN above every number)."""
     return ~F.isnan(name) & (F.col(name) >= float(threshold))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairwise.functions.scalar import percent
+from pairwise.functions.scalar import percent, stable_mean
 from pairwise.operators.pairs import PAIR, model_list
 
 WORD = 62  # models per bit-mask word
@@ -163,12 +163,18 @@ def jaccard_extremes(matrix: DataFrame) -> DataFrame:
 
 
 def complementarity(matrix: DataFrame) -> DataFrame:
-    """Mean similarity to the other models and what it suggests for the ensemble."""
+    """Mean similarity to the other models and what it suggests for the ensemble.
+
+    No rows unless some two models agree on a pair, as in ``jaccard_summary``.
+    """
     mean = F.col("mean_similarity")
     verdict = F.when(mean < 0.5, "keep").when(mean > 0.8, "redundant").otherwise("suitable")
-    return (
+    means = (
         matrix.filter("a <> b")
-        .groupBy(F.col("model_a").alias("model"))
-        .agg(F.avg("jaccard").alias("mean_similarity"))
-        .withColumn("verdict", verdict)
+        .groupBy("a", F.col("model_a").alias("model"))
+        .agg(stable_mean(F.col("jaccard")).alias("mean_similarity"), F.max("jaccard").alias("_top"))
+    )
+    some = F.max("_top").over(Window.partitionBy()) > 0  # one row for each model
+    return means.withColumn("_some", some).filter("_some").select(
+        "model", "mean_similarity", verdict.alias("verdict")
     )

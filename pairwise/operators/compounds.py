@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairwise.constants import DESCRIPTORS
-from pairwise.functions.scalar import finite_or_zero
+from pairwise.functions.scalar import above, finite_or_zero
 from pairwise.functions.smiles import COUNT_NAMES, with_census
 
 # --- fixed values: descriptors that repeat another one ------------------------------------------
@@ -14,18 +14,19 @@ SAME_AS = {"LipinskiViolations": "RotBonds", "MolLogP": "LogP", "MolMR": "MR"}
 
 def rule_flags() -> dict[str, Column]:
     """1 if any condition of the rule is broken, else 0."""
-    mw, logp, hba, hbd = (F.col(c) for c in ("MW", "LogP", "HBA", "HBD"))
-    bonds, atoms, tpsa = (F.col(c) for c in ("RotBonds", "AtomCount", "TPSA"))
+    mw, logp, atoms, bonds = (F.col(c) for c in ("MW", "LogP", "AtomCount", "RotBonds"))
     ghose = (
         mw.between(160, 480)
         & logp.between(-0.4, 5.6)
         & atoms.between(20, 70)
         & bonds.between(0, 10)
     )
+    ro5 = above("HBD", 5) | above("HBA", 10) | above("MW", 500) | above("LogP", 5)
+    veber = above("RotBonds", 10) | above("TPSA", 140)
     return {
-        "RO5_Violations": ((hbd > 5) | (hba > 10) | (mw > 500) | (logp > 5)).cast("int"),
+        "RO5_Violations": ro5.cast("int"),
         "GhoseViolations": (~ghose).cast("int"),
-        "VeberViolations": ((bonds > 10) | (tpsa > 140)).cast("int"),
+        "VeberViolations": veber.cast("int"),
     }
 
 
@@ -60,6 +61,12 @@ def element_census(table: DataFrame, key: str, text: str) -> DataFrame:
     return counted.select(key, *[F.col(name).cast("long").alias(name) for name in COUNT_NAMES])
 
 
+def one_per_key(descriptors: DataFrame, on: str) -> DataFrame:
+    """Of rows with the same key the least one, so the choice does not depend on the partitioning."""
+    others = F.struct(*[c for c in descriptors.columns if c != on])
+    return descriptors.groupBy(on).agg(F.min(others).alias("_row")).select(on, "_row.*")
+
+
 def compound_features(compounds: DataFrame, descriptors: DataFrame, on: str = "smile") -> DataFrame:
     """``compound_cid, compound_vector``.
 
@@ -69,5 +76,5 @@ def compound_features(compounds: DataFrame, descriptors: DataFrame, on: str = "s
     missing = [name for name in COUNT_NAMES if name not in descriptors.columns]
     keys = ["compound_cid", *({on} - {"compound_cid"})]
     counted = with_census(compounds, "smile").select(*keys, *missing)
-    full = complete_descriptors(counted.join(descriptors.dropDuplicates([on]), on, "left"))
+    full = complete_descriptors(counted.join(one_per_key(descriptors, on), on, "left"))
     return full.select("compound_cid", F.array(*aligned(full)).alias("compound_vector"))

@@ -13,45 +13,35 @@ METRICS = {
 }
 
 
-def value_counts(stats: DataFrame) -> DataFrame:
-    """``metric, value, n``: distinct values of the three metrics.
+def metric_values(stats: DataFrame) -> DataFrame:
+    """``metric, value``: the three metrics of every pair, in place.
 
-    The figures below all derive from this table, which is far smaller than the pairs. They read it
-    more than once, so stage it first.
+    All figures below are aggregates over this frame that combine before the shuffle, so no exchange
+    carries a row per pair. Most read it more than once: stage the statistics first.
     """
     entries = [
         F.struct(F.lit(m).alias("metric"), F.round(column, MEAN_DIGITS).alias("value"))
         for m, column in METRICS.items()
     ]
-    long = stats.select(F.inline(F.array(*entries)))
-    return long.groupBy("metric", "value").agg(F.count("*").alias("n"))
+    return stats.select(F.inline(F.array(*entries)))
 
 
-def distribution_stats(counts: DataFrame) -> DataFrame:
+def distribution_stats(stats: DataFrame) -> DataFrame:
     """Mean, median, population deviation, minimum and maximum per metric.
 
     One NaN makes every figure of its metric NaN.
     """
-    v, n = F.col("value"), F.col("n")
-    medians = exact_quantiles(counts, [0.5]).select("metric", F.col("quantile").alias("median"))
-    plain = counts.groupBy("metric").agg(
-        (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
-    )
-    # plain: one row per metric
-    spread = (
-        counts.join(F.broadcast(plain.select("metric", "mean")), "metric")
-        .groupBy("metric")
-        .agg(F.sqrt(F.sum((v - F.col("mean")) ** 2 * n) / F.sum(n)).alias("std"))
+    values, v = metric_values(stats), F.col("value")
+    plain = values.groupBy("metric").agg(
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")
     )
+    medians = exact_quantiles(values.filter(~F.isnan(v)), [0.5])
     tainted = F.isnan("max")
     figures = ["mean", "median", "std", "min", "max"]
-    return (
-        plain.join(medians, "metric")
-        .join(spread, "metric")
-        .select(
-            "metric",
-            *[F.when(tainted, F.lit(float("nan"))).otherwise(F.col(f)).alias(f) for f in figures],
-        )
+    # one row per metric
+    return plain.join(F.broadcast(medians.withColumnRenamed("quantile", "median")), "metric", "left").select(
+        "metric",
+        *[F.when(tainted, F.lit(float("nan"))).otherwise(F.col(f)).alias(f) for f in figures],
     )
 
 
@@ -99,18 +89,18 @@ def ratio_bins(stats: DataFrame) -> DataFrame:
     return _shares(stats, groups, "ratio_bin")
 
 
-def histogram(counts: DataFrame, bins: int = 20, metrics=tuple(METRICS)) -> DataFrame:
+def histogram(stats: DataFrame, bins: int = 20, metrics=tuple(METRICS)) -> DataFrame:
     """Equal bins between minimum and maximum, all half-open but the last; empty bins included.
 
     A value's bin is the number of inner edges that do not exceed it, which is safe for values on
     an edge. A metric with a single value gets the range value ± 0.5.
     """
-    values = counts.filter(F.col("metric").isin(*metrics) & ~F.isnan("value"))
+    values = metric_values(stats).filter(F.col("metric").isin(*metrics) & ~F.isnan("value"))
     lo, hi = F.min("value"), F.max("value")
     spans = values.groupBy("metric").agg(
         F.when(lo == hi, lo - 0.5).otherwise(lo).alias("lo"),
         F.when(lo == hi, hi + 0.5).otherwise(hi).alias("hi"),
-        F.sum("n").alias("total"),
+        F.count("*").alias("total"),
     )
     spans = spans.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     passed = [
@@ -120,7 +110,7 @@ def histogram(counts: DataFrame, bins: int = 20, metrics=tuple(METRICS)) -> Data
     filled = (
         values.join(F.broadcast(spans), "metric")
         .groupBy("metric", sum(passed, F.lit(0)).alias("bin"))
-        .agg(F.sum("n").alias("pairs"))
+        .agg(F.count("*").alias("pairs"))
     )
     frame = spans.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     start = F.col("lo") + F.col("width") * F.col("bin")
@@ -136,14 +126,14 @@ def histogram(counts: DataFrame, bins: int = 20, metrics=tuple(METRICS)) -> Data
     )
 
 
-def density(counts: DataFrame, bins: int = 30) -> DataFrame:
+def density(stats: DataFrame, bins: int = 30) -> DataFrame:
     """Density histogram of probability and confidence."""
-    return histogram(counts, bins, ("probability", "confidence")).drop("pairs")
+    return histogram(stats, bins, ("probability", "confidence")).drop("pairs")
 
 
-def _fenced(counts: DataFrame) -> DataFrame:
-    """Every value with the quartiles of its metric and the outlier limits."""
-    values = counts.filter(~F.isnan("value"))
+def box_stats(stats: DataFrame) -> DataFrame:
+    """Box-plot figures: quartiles, whiskers at the last value within 1.5 IQR, outlier count."""
+    values, v = metric_values(stats).filter(~F.isnan("value")), F.col("value")
     at = {0.25: "q1", 0.5: "median", 0.75: "q3"}
     fences = (
         exact_quantiles(values, list(at))
@@ -157,18 +147,12 @@ def _fenced(counts: DataFrame) -> DataFrame:
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = fences.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
-    # fences: one row per metric
-    return values.join(F.broadcast(fences), "metric")
-
-
-def box_stats(counts: DataFrame) -> DataFrame:
-    """Box-plot figures: quartiles, whiskers at the last value within 1.5 IQR, outlier count."""
-    v = F.col("value")
     beyond = (v < F.col("low")) | (v > F.col("high"))
-    boxes = _fenced(counts).groupBy("metric", "q1", "median", "q3").agg(
+    # fences: one row per metric
+    boxes = values.join(F.broadcast(fences), "metric").groupBy("metric", "q1", "median", "q3").agg(
         F.min(F.when(v >= F.col("low"), v)).alias("low_end"),
         F.max(F.when(v <= F.col("high"), v)).alias("high_end"),
-        F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outliers"),
+        F.count_if(beyond).alias("outliers"),
     )
     return boxes.select(
         "metric",
@@ -181,12 +165,6 @@ def box_stats(counts: DataFrame) -> DataFrame:
     )
 
 
-def outliers(counts: DataFrame) -> DataFrame:
-    """``metric, value, n`` of the values beyond the whiskers."""
-    beyond = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
-    return _fenced(counts).filter(beyond).select("metric", "value", "n")
-
-
 def scatter(stats: DataFrame) -> DataFrame:
     """Mean probability against mean confidence, coloured by ratio."""
     return stats.select(*PAIR, "avg_probability_1", "avg_confidence", "positive_ratio")

@@ -8,12 +8,12 @@ from pairwise.functions.scalar import percent
 def first_occurrence(rows: DataFrame, key: str, value: str) -> DataFrame:
     """One row per ``key`` with the ``value`` of its first row.
 
-    An aggregate, not a window: a key that holds a large share of the rows is reduced before the
-    shuffle.
+    A hash aggregate finds the first rows, without values and combined before the shuffle, so a key
+    that holds a large share of the rows does no harm. Their values are then looked up by row number,
+    which is unique. An aggregate that carried the values would sort them all first.
     """
-    return rows.groupBy(key).agg(
-        F.min_by(value, "row_no").alias(value), F.min("row_no").alias("first_row")
-    )
+    firsts = rows.groupBy(key).agg(F.min("row_no").alias("first_row")).select("first_row")
+    return rows.join(firsts, rows["row_no"] == firsts["first_row"]).select(key, value, "first_row")
 
 
 def unique_proteins(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Per-protein sequence features."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairwise.constants import MAX_LAG, PROPERTY_NAMES, RESIDUES
 from pairwise.functions.sequence import residue_table, sequence_vector
@@ -15,12 +15,16 @@ def sequence_features(proteins: DataFrame) -> DataFrame:
     )
 
 
-def composition(features: DataFrame) -> DataFrame:
-    """Residue shares as columns."""
-    shares = [
-        F.col("sequence_vector")[i].alias(f"AA_{aa}") for i, aa in enumerate(RESIDUES, start=1)
-    ]
-    return features.select("accession", "sequence_length", *shares)
+def _count(residue: str) -> Column:
+    """Occurrences of one letter in the sequence."""
+    return F.length("sequence") - F.length(F.replace("sequence", F.lit(residue), F.lit("")))
+
+
+def composition(proteins: DataFrame) -> DataFrame:
+    """Length and residue shares as columns."""
+    n = F.length("sequence")
+    shares = [F.coalesce(F.try_divide(_count(aa), n), F.lit(0.0)).alias(f"AA_{aa}") for aa in RESIDUES]
+    return proteins.select("accession", F.coalesce(n, F.lit(0)).cast("long").alias("sequence_length"), *shares)
 
 
 def lag_values(features: DataFrame) -> DataFrame:
@@ -40,14 +44,7 @@ def lag_values(features: DataFrame) -> DataFrame:
 
 def residue_usage(proteins: DataFrame) -> DataFrame:
     """Occurrences of each residue over all sequences, with its standardised properties."""
-    counts = proteins.select(
-        F.posexplode(F.slice(sequence_vector("sequence"), 2, len(RESIDUES))).alias("i", "share"),
-        F.length("sequence").alias("n"),
-    ).select(
-        F.substring(F.lit(RESIDUES), F.col("i") + 1, F.lit(1)).alias("residue"),
-        F.round(F.col("share") * F.col("n")).cast("long").alias("n"),
-    )
-    totals = counts.groupBy("residue").agg(F.sum("n").alias("occurrences"))
-    return residue_table(proteins.sparkSession).join(totals, "residue", "left").fillna(
-        0, ["occurrences"]
-    )
+    sums = proteins.agg(*[F.sum(_count(aa)).alias(aa) for aa in RESIDUES])
+    entries = [F.struct(F.lit(aa).alias("residue"), F.col(aa).alias("occurrences")) for aa in RESIDUES]
+    totals = sums.select(F.inline(F.array(*entries)))
+    return residue_table(proteins.sparkSession).join(totals, "residue").fillna(0, ["occurrences"])

@@ -14,8 +14,8 @@ class ConsensusParams:
     confidence: float = 0.7
 
     def __post_init__(self):
-        if not 1 <= self.min_consensus <= 10:
-            raise ValueError("min_consensus must lie in 1..10")
+        if self.min_consensus < 1:
+            raise ValueError("min_consensus must be 1 or more")
         for name in ("probability", "confidence"):
             if not 0.0 <= getattr(self, name) <= 1.0:
                 raise ValueError(f"{name} threshold must lie in [0, 1]")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairwise.operators.pairs import pair_stats
 from pairwise.params import ConsensusParams
-from pairwise.session import stage
+from pairwise.session import owned_staging, stage
 from pairwise.sinks import files
 from pairwise.sources.predictions import read_predictions, read_raw_models, union_models
 
@@ -21,11 +21,12 @@ def run_exports(
     output: str,
     params: ConsensusParams = ConsensusParams(),
 ) -> DataFrame:
-    """All exports and the report of one run; returns the pair statistics."""
+    """All exports and the report of one run; returns the pair statistics, which stay staged."""
     predictions, stats = load_pairs(spark, run_dir)
-    files.write_basic(stats, predictions, params, f"{output}/basic")
-    files.write_detailed(stats, predictions, params, f"{output}/detailed")
-    raw = read_raw_models(spark, run_dir)
-    files.write_models(raw, union_models(raw), stats, params, f"{output}/complete")
-    files.write_report(stats, predictions, params, f"{output}/report")
+    with owned_staging(spark):
+        files.write_basic(stats, predictions, params, f"{output}/basic", run_dir)
+        files.write_detailed(stats, predictions, params, f"{output}/detailed", run_dir)
+        raw = read_raw_models(spark, run_dir)
+        files.write_models(raw, union_models(raw), stats, params, f"{output}/complete", run_dir)
+        files.write_report(stats, predictions, params, f"{output}/report", run_dir)
     return stats

@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,23 +37,48 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/pairwise-{name}-{uuid.uuid4().hex}"
 
 
+_owners: list[list[str]] = []
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its terms."""
+    jvm = spark.sparkContext._jvm
+    made = jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), made
+
+
+@contextmanager
+def owned_staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block are deleted at its end, so their frames must not leave it."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        for path in _owners.pop():
+            files, at = hadoop_path(spark, path)
+            files.delete(at, True)
+
+
+@contextmanager
+def exact_names(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, column names that differ in case only are different names."""
+    before = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs one read, and gives the optimizer the true size,
-    which decides whether later joins may broadcast it.
+    which decides whether later joins may broadcast it. The innermost ``owned_staging`` deletes it.
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
+    if _owners:
+        _owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input before heavy row-local work.
-
-    A file with a single row group is one task however large its rows are. Inputs with at least as
-    many splits as cores, that is all large ones, come back unchanged and are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -2,13 +2,19 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairwise.operators import assemble
 from pairwise.operators.consensus import by_score
+from pairwise.operators.ordinal import FILE_POSITION, with_file_position, with_row_numbers
 from pairwise.params import ConsensusParams
+from pairwise.session import exact_names, stage
 from pairwise.sinks import tables
 from pairwise.sinks.report import report
+from pairwise.sources.interactions import scan_csv
+from pairwise.sources.listing import header_cells, table_files
+from pairwise.sources.predictions import KEYS, OWN
 
 # Without these Spark writes "" for an empty text, escapes quotes with a backslash and trims cells.
 CSV_OPTIONS = {
@@ -36,8 +42,11 @@ def with_run(df: DataFrame, **values: str) -> DataFrame:
     return df.select("*", now.alias("run_time"), *[F.lit(v).alias(k) for k, v in values.items()])
 
 
+ROWS_PER_FILE = 50_000
+
+
 def in_row_order(
-    rows: DataFrame, rows_per_file: int = 50_000, last: int | None = None
+    rows: DataFrame, rows_per_file: int = ROWS_PER_FILE, last: int | None = None
 ) -> DataFrame:
     """Place rows so that the part files, read by name, give the input order.
 
@@ -51,28 +60,68 @@ def in_row_order(
     return rows.repartitionById(n_files, target).sortWithinPartitions("row_no")
 
 
-def write_matrices(assembled: DataFrame, path: str, flagged: bool = False) -> None:
+def write_matrices(
+    assembled: DataFrame,
+    path: str,
+    flagged: bool = False,
+    last: int | None = None,
+    rows_per_file: int = ROWS_PER_FILE,
+) -> None:
     """Combined and detailed feature tables in input order.
 
-    ``flagged`` selects the older layouts and needs the uniqueness flags. Rows are placed with
-    their vectors as arrays; the write lays out the columns.
+    ``flagged`` selects the older layouts and needs the uniqueness flags. Rows are joined and placed
+    once, with their vectors as arrays, and kept on the executors' disks for the second table; the
+    write lays out the columns. ``last`` is the highest row number, if known.
     """
-    ordered = in_row_order(assembled)
+    ordered = in_row_order(assembled, rows_per_file, last).persist(StorageLevel.DISK_ONLY)
     detailed: list[Column] = assemble.flagged_columns() if flagged else assemble.detailed_columns()
-    write_csv(ordered.select(assemble.combined_columns(flagged)), f"{path}/combined_features")
-    write_csv(ordered.select(detailed), f"{path}/detailed_features")
+    try:
+        write_csv(ordered.select(detailed), f"{path}/detailed_features")
+        write_csv(ordered.select(assemble.combined_columns(flagged)), f"{path}/combined_features")
+    finally:
+        ordered.unpersist()
 
 
-def write_order(rows: DataFrame, path: str) -> None:
-    """Order verification, one line per row."""
-    checked = tables.order_verification(rows).withColumnRenamed("Position", "row_no")
-    ordered = in_row_order(checked).withColumnRenamed("row_no", "Position")
+def written_rows(spark: SparkSession, path: str, flagged: bool = False) -> DataFrame:
+    """``row_no, accession, compound_cid, position`` of a written detailed table, read back.
+
+    The position is the line's place in the part files, read by name.
+    """
+    number = "Row_Number" if flagged else "Original_Row_Number"
+    folder = f"{path}/detailed_features"
+    parts = table_files(spark, folder)
+    header = header_cells(spark, parts[0]) if parts else []
+    wanted = {"row_no": number, "accession": "Protein_Accession", "compound_cid": "Compound_CID"}
+    if not header:
+        return spark.createDataFrame([], "row_no long, accession string, compound_cid string, position long")
+    places = {name: header.index(column) for name, column in wanted.items()}
+    # a compound string may hold line breaks
+    scanned = with_file_position(scan_csv(spark, folder, len(header), places, multi_line=True))
+    numbered = with_row_numbers(scanned.select(FILE_POSITION, *wanted), "position")
+    return numbered.withColumns(
+        {
+            "row_no": F.col("row_no").cast("long"),
+            "accession": F.coalesce("accession", F.lit("")),
+            "compound_cid": F.coalesce("compound_cid", F.lit("")),
+        }
+    )
+
+
+def write_order(placed: DataFrame, path: str, last: int | None = None) -> None:
+    """Order verification of output rows with their ``position``, one line per row."""
+    checked = tables.order_check(placed).withColumnRenamed("Position", "row_no")
+    ordered = in_row_order(checked, last=last).withColumnRenamed("row_no", "Position")
     write_csv(ordered, f"{path}/order_verification")
 
 
-def _by_strategy(df: DataFrame) -> DataFrame:
-    """Range-sort by strategy and score: files of a strategy, read by name, are in score order."""
-    return df.orderBy("strategy", *by_score(F.col("score"))).drop("score")
+def _by_strategy(df: DataFrame, *ties: str) -> DataFrame:
+    """Range-sort by strategy and score: files of a strategy, read by name, are in score order.
+
+    ``ties`` and a hash of the row are part of the key, so the rows of a frequent pair, which have one
+    score, spread over many ranges.
+    """
+    spread = F.xxhash64(*df.columns)
+    return df.orderBy("strategy", *by_score(F.col("score")), *ties, spread).drop("score")
 
 
 NUMBERS = ["positive_ratio", "avg_probability_0", "avg_probability_1", "avg_confidence"]
@@ -84,21 +133,37 @@ def _write_summary(stats: DataFrame, params: ConsensusParams, path: str) -> None
     write_csv(frame, f"{path}/summary", ("strategy",))
 
 
-def _write_parameters(stats, predictions, params: ConsensusParams, kind: str, path: str) -> None:
+def _write_parameters(
+    stats, predictions, params: ConsensusParams, kind: str, path: str, data_source: str | None
+) -> None:
     record = tables.export_parameters(stats, predictions, params, kind)
-    write_json(with_run(record), f"{path}/parameters")
+    write_json(with_run(record, data_source=data_source or ""), f"{path}/parameters")
 
 
-def write_basic(stats: DataFrame, predictions: DataFrame, params: ConsensusParams, path: str):
-    """One CSV folder per strategy; a strategy without pairs gets none."""
+def write_basic(
+    stats: DataFrame,
+    predictions: DataFrame,
+    params: ConsensusParams,
+    path: str,
+    data_source: str | None = None,
+):
+    """One CSV folder per strategy; a strategy without pairs gets none. ``data_source``: the run's folder."""
     _write_summary(stats, params, path)
-    _write_parameters(stats, predictions, params, "basic", path)
+    _write_parameters(stats, predictions, params, "basic", path, data_source)
 
 
-def write_detailed(stats: DataFrame, predictions: DataFrame, params: ConsensusParams, path: str):
+def write_detailed(
+    stats: DataFrame,
+    predictions: DataFrame,
+    params: ConsensusParams,
+    path: str,
+    data_source: str | None = None,
+):
     """Summaries as in ``write_basic`` and one row per pair and model."""
     _write_summary(stats, params, path)
-    detail = _by_strategy(tables.export_detailed(stats, predictions, params))
+    # staged: the sort samples its input, which would run the join twice
+    selected = stage(tables.export_detailed(stats, predictions, params), "detailed")
+    detail = _by_strategy(selected, "model_type", "model_name")
     text = [
         "probability_0",
         "probability_1",
@@ -112,7 +177,7 @@ def write_detailed(stats: DataFrame, predictions: DataFrame, params: ConsensusPa
     label = plain.otherwise(value.cast("string"))
     detail = detail.withColumns({**dict(zip(text, tables.fixed(text))), "prediction": label})
     write_csv(detail, f"{path}/detailed", ("strategy",))
-    _write_parameters(stats, predictions, params, "detailed", path)
+    _write_parameters(stats, predictions, params, "detailed", path, data_source)
 
 
 def write_models(
@@ -121,20 +186,32 @@ def write_models(
     stats: DataFrame,
     params: ConsensusParams,
     path: str,
+    data_source: str | None = None,
 ):
     """Every model's original columns in its own folder, and all models in one table.
 
-    ``raw_models`` has one frame per file header, so a model's folder keeps its own columns.
+    ``raw_models`` has one frame per file header, so a model's folder keeps its own columns. Where a
+    file has columns named like the model keys, the folders are named ``of_model_type`` and so on.
     """
     safe = F.replace("model_type", F.lit("/"), F.lit("_"))
-    for i, frame in enumerate(raw_models):
-        named = frame.withColumn("model_type", safe)
-        write_csv(named, f"{path}/models/format-{i}", ("model_type", "model_name"))
-    write_csv(combined, f"{path}/all_predictions_combined")
+    with exact_names(combined.sparkSession):
+        for i, frame in enumerate(raw_models):
+            named, keys = frame.withColumn("model_type", safe), KEYS
+            if set(OWN) & set(frame.columns):
+                keys = [f"of_{k}" for k in KEYS]
+                named = named.withColumnsRenamed(dict(zip(KEYS, keys))).withColumnsRenamed(dict(zip(OWN, KEYS)))
+            write_csv(named, f"{path}/models/format-{i}", tuple(keys))
+        write_csv(combined, f"{path}/all_predictions_combined")
     meanings = tables.column_meanings(combined.sparkSession, combined.columns)
     write_csv(meanings.coalesce(1), f"{path}/column_dictionary")
-    _write_parameters(stats, combined, params, "complete", path)
+    _write_parameters(stats, combined, params, "complete", path, data_source)
 
 
-def write_report(stats: DataFrame, predictions: DataFrame, params: ConsensusParams, path: str):
-    write_csv(report(stats, predictions, params).orderBy("section", "ord"), path)
+def write_report(
+    stats: DataFrame,
+    predictions: DataFrame,
+    params: ConsensusParams,
+    path: str,
+    data_source: str | None = None,
+):
+    write_csv(report(stats, predictions, params, data_source).orderBy("section", "ord"), path)

@@ -6,7 +6,6 @@ from pairwise.constants import STRATEGIES
 from pairwise.operators import consensus, distributions
 from pairwise.operators.pairs import PAIR
 from pairwise.params import ConsensusParams
-from pairwise.session import stage
 from pairwise.sinks.tables import export_parameters
 
 TOP = 20
@@ -31,8 +30,13 @@ def _unpivot(frame: DataFrame, section: Column, texts: dict[str, Column]) -> Dat
     return long.select("section", F.col("ord").cast("int").alias("ord"), "key", "value")
 
 
-def report(stats: DataFrame, predictions: DataFrame, params: ConsensusParams) -> DataFrame:
-    """Overview, strategy sizes, the top 20 of two strategies, distribution figures, advice.
+def report(
+    stats: DataFrame,
+    predictions: DataFrame,
+    params: ConsensusParams,
+    data_source: str | None = None,
+) -> DataFrame:
+    """The data source if given, overview, strategy sizes, the top 20 of two strategies, distribution figures, advice.
 
     The statistics are read once per section: pass a staged table.
     """
@@ -44,6 +48,7 @@ def report(stats: DataFrame, predictions: DataFrame, params: ConsensusParams) ->
         {
             **{name: F.col(name).cast("string") for name in counts},
             **{name: F.format_string("%.3f", name) for name in thresholds},
+            **({"data_source": F.lit(data_source)} if data_source else {}),
         },
     )
 
@@ -63,9 +68,8 @@ def report(stats: DataFrame, predictions: DataFrame, params: ConsensusParams) ->
     line = F.format_string("%s|%s|%.3f|%.3f", *PAIR, "avg_probability_1", "avg_confidence")
     top = _rows(best, F.concat(F.lit("3_"), strategy), F.col("rank"), F.col("rank"), line)
 
-    values = stage(distributions.value_counts(stats), "value-counts")
     figures = _unpivot(
-        distributions.distribution_stats(values).filter("metric <> 'ratio'"),
+        distributions.distribution_stats(stats).filter("metric <> 'ratio'"),
         F.concat(F.lit("4_"), "metric"),
         {name: F.format_string("%.4f", name) for name in ("mean", "median", "std", "min", "max")},
     )

@@ -6,6 +6,7 @@ from pairwise.constants import (
     DESCRIPTOR_DIM,
     DESCRIPTOR_GROUPS,
     DESCRIPTORS,
+    MAX_LAG,
     NEGATIVE_LABEL,
     POSITIVE_LABEL,
     PROFILE_DIM,
@@ -13,7 +14,6 @@ from pairwise.constants import (
 )
 from pairwise.functions.names import compound_names, profile_names, sequence_names
 from pairwise.operators import consensus, entities
-from pairwise.operators.assemble import VECTORS
 from pairwise.operators.ordinal import with_positions
 from pairwise.operators.pairs import PAIR, export_totals
 from pairwise.params import ConsensusParams
@@ -121,20 +121,6 @@ def column_meanings(spark: SparkSession, columns: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "position int, column string, description string")
 
 
-def column_dictionary(predictions: DataFrame) -> DataFrame:
-    """The columns of an export with the number of filled cells; one pass over the data."""
-    meanings = column_meanings(predictions.sparkSession, predictions.columns)
-    known = [c for c in predictions.columns if c in COLUMN_MEANING]
-    counts = predictions.agg(*[F.count(c).alias(c) for c in known]).select(
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in known]
-            )
-        )
-    )
-    return meanings.join(counts, "column")
-
-
 def feature_names(spark: SparkSession, by_lag: bool = False) -> DataFrame:
     """``block, idx, name, descriptor_group`` of all 335 features."""
     groups = {n: group for group, members in DESCRIPTOR_GROUPS.items() for n in members}
@@ -151,28 +137,45 @@ def feature_names(spark: SparkSession, by_lag: bool = False) -> DataFrame:
     )
 
 
-def feature_dictionary(assembled: DataFrame, by_lag: bool = False) -> DataFrame:
-    """The feature names with the number of rows in which each feature is not zero."""
-    starts = {"sequence": 0, "profile": SEQUENCE_DIM, "compound": SEQUENCE_DIM + PROFILE_DIM}
-    offset = F.coalesce(*[F.when(F.col("block") == b, s) for b, s in starts.items()])
-    used = (
-        assembled.select(F.posexplode(F.concat(*VECTORS)).alias("_at", "_value"))
-        .groupBy("_at")
-        .agg(F.count_if(F.col("_value") != 0).alias("nonzero"))
-    )
-    return (
-        feature_names(assembled.sparkSession, by_lag)
-        .withColumn("_at", offset + F.col("idx"))
-        .join(used, "_at", "left")
-        .drop("_at")
-        .fillna(0, ["nonzero"])
+# --- fixed values: what the feature blocks hold and how the profiles were searched ----------------
+BLOCK_MEANING = {
+    "sequence": "Pseudo Amino Acid Composition features",
+    "profile": "Pseudo Position-Specific Scoring Matrix features",
+    "compound": "Comprehensive molecular descriptors for compounds",
+}
+SEARCH_ITERATIONS = 3
+SEARCH_EVALUE = 0.001
+OUTPUT_FORMAT = "Protein_Accession + Protein_Features + Compound_CID + Compound_Features + Label"
+# --------------------------------------------------------------------------------------------------
+
+
+def feature_settings(spark: SparkSession) -> DataFrame:
+    """One row: how the features were extracted, and what each block holds."""
+    sizes = {"sequence": SEQUENCE_DIM, "profile": PROFILE_DIM, "compound": DESCRIPTOR_DIM}
+    blocks = [
+        F.struct(F.lit(text).alias("description"), F.lit(sizes[b]).alias("dimensions")).alias(b)
+        for b, text in BLOCK_MEANING.items()
+    ]
+    return spark.range(1).select(
+        F.lit(OUTPUT_FORMAT).alias("output_format"),
+        F.lit("Separate deduplication for proteins and compounds").alias("deduplication_strategy"),
+        F.lit(MAX_LAG).alias("sequence_lags"),
+        F.lit(MAX_LAG).alias("profile_lags"),
+        F.lit(SEARCH_ITERATIONS).alias("search_iterations"),
+        F.lit(SEARCH_EVALUE).alias("search_evalue"),
+        F.lit(sum(sizes.values())).alias("total_features"),
+        *blocks,
     )
 
 
 def order_verification(rows: DataFrame) -> DataFrame:
-    """Output position, original row number and whether they agree."""
+    """Positions in row order, original row numbers and whether they agree."""
     narrow = rows.select("row_no", "accession", "compound_cid")
-    placed = with_positions(narrow, "row_no", "position")
+    return order_check(with_positions(narrow, "row_no", "position"))
+
+
+def order_check(placed: DataFrame) -> DataFrame:
+    """Output position, original row number and whether they agree."""
     return placed.select(
         F.col("position").alias("Position"),
         F.col("row_no").alias("Original_Row_Number"),
@@ -194,13 +197,21 @@ def order_is_intact(rows: DataFrame) -> bool:
     return n == 0 or (found["distinct"], found["low"], found["high"]) == (n, 1, n)
 
 
+def order_passed(placed: DataFrame, expected: int) -> bool:
+    """Are there ``expected`` output rows, each at the position of its row number?"""
+    n, wrong = placed.agg(
+        F.count("*"), F.count_if(~F.col("position").eqNullSafe(F.col("row_no")))
+    ).first()
+    return n == expected and not wrong
+
+
 def processing_stats(rows: DataFrame) -> DataFrame:
     """Totals of a feature run and the vector sizes; needs ``pssm_available``."""
-    return entities.run_totals(rows, F.col("pssm_available")).withColumns(
-        {
-            "protein_pseaac": F.lit(SEQUENCE_DIM),
-            "protein_psepssm": F.lit(PROFILE_DIM),
-            "compound": F.lit(DESCRIPTOR_DIM),
-            "total_dim": F.lit(SEQUENCE_DIM + PROFILE_DIM + DESCRIPTOR_DIM),
-        }
-    )
+    sizes = {
+        "protein_pseaac": SEQUENCE_DIM,
+        "protein_psepssm": PROFILE_DIM,
+        "compound": DESCRIPTOR_DIM,
+        "total": SEQUENCE_DIM + PROFILE_DIM + DESCRIPTOR_DIM,
+    }
+    nested = F.struct(*[F.lit(n).alias(name) for name, n in sizes.items()])
+    return entities.run_totals(rows, F.col("pssm_available")).withColumn("feature_dimensions", nested)

@@ -1,10 +1,13 @@
 """Labelled protein-compound pairs."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pairwise.constants import COLUMN_ALIASES, REQUIRED_FIELDS
 from pairwise.functions.scalar import strip
 from pairwise.operators.ordinal import FILE_POSITION, with_file_position, with_row_numbers
+from pairwise.sources.listing import by_header, escaped, table_files
 
 
 def resolve_columns(header: list[str]) -> dict[str, str | None]:
@@ -36,23 +39,9 @@ def select_fields(df: DataFrame) -> DataFrame:
 
 
 def clean_fields(df: DataFrame) -> DataFrame:
-    """Strip every field, upper-case the sequence, blank a missing label."""
-    return (
-        df.withColumn("accession", strip(F.col("accession")))
-        .withColumn("sequence", F.upper(strip(F.col("sequence"))))
-        .withColumn("compound_cid", strip(F.col("compound_cid")))
-        .withColumn("smile", strip(F.col("smile")))
-        .withColumn("label", F.coalesce(strip(F.col("label")), F.lit("")))
-    )
-
-
-def csv_header(spark: SparkSession, path) -> list[str]:
-    """First line of a CSV file as it is written; only that line is read.
-
-    The reader's own header handling would rename columns whose names differ in case only.
-    """
-    first = spark.read.options(escape='"').csv(path).first()
-    return [name or "" for name in first] if first else []
+    """Strip every field and upper-case the sequence; a missing cell is an empty text, ids included."""
+    cleaned = {c: F.coalesce(strip(F.col(c)), F.lit("")) for c in COLUMN_ALIASES}
+    return df.withColumns({**cleaned, "sequence": F.upper(cleaned["sequence"])})
 
 
 def scan_csv(
@@ -60,32 +49,42 @@ def scan_csv(
     path,
     width: int,
     columns: dict[str, int],
-    mode: str = "FAILFAST",
+    strict: bool = True,
     multi_line: bool = False,
 ) -> DataFrame:
     """Text columns by position: ``columns`` maps the wanted names to places in the header.
 
-    ``PERMISSIVE`` fills short lines with NULL instead of failing.
+    Cells beyond the header are dropped. A line that lacks cells fails if ``strict``, else it is
+    filled with NULL.
     """
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    options = {"header": True, "escape": '"', "mode": mode, "multiLine": multi_line}
+    names = [f"_c{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_raw"]])
+    options = {"header": True, "escape": '"', "multiLine": multi_line, "columnPruning": False}
+    options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"}
     rows = spark.read.schema(schema).options(**options).csv(path)
-    return rows.withColumnsRenamed({f"_c{i}": name for name, i in columns.items()}).drop(
-        *[f"_c{i}" for i in range(width) if i not in columns.values()]
-    )
+    if strict:
+        bare = F.regexp_replace("_raw", r'"(?:[^"]|"")*"', "")
+        short = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1 < width
+        refused = F.raise_error(F.concat(F.lit("line with missing cells: "), F.col("_raw"))).cast("string")
+        rows = rows.withColumns({n: F.when(short, refused).otherwise(F.col(n)) for n in names})
+    wanted = [F.col(f"_c{i}").alias(name) for name, i in columns.items()]
+    return rows.select(*wanted, F.col("_metadata").alias("_metadata"))
 
 
 def read_interactions(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     """Rows of a CSV in file order with 1-based ``row_no``.
 
-    ``multi_line`` accepts line breaks inside quotes; each file is then one task.
+    Every file is read by its own header. ``multi_line`` accepts line breaks inside quotes; each
+    file is then one task.
     """
-    header = csv_header(spark, path)
-    found = {f: header.index(name) for f, name in checked_columns(header).items() if name}
-    rows = with_file_position(
-        scan_csv(spark, path, len(header), found, multi_line=multi_line)
-    )
-    if "label" not in found:
-        rows = rows.withColumn("label", F.lit(""))
-    fields = rows.select(FILE_POSITION, *COLUMN_ALIASES)
-    return with_row_numbers(clean_fields(fields))
+    parts = []
+    for header, files in by_header(spark, table_files(spark, path)).items():
+        found = {f: header.index(name) for f, name in checked_columns(list(header)).items() if name}
+        paths = [escaped(p) for p in files]
+        rows = with_file_position(scan_csv(spark, paths, len(header), found, multi_line=multi_line))
+        if "label" not in found:
+            rows = rows.withColumn("label", F.lit(""))
+        parts.append(rows.select(FILE_POSITION, *COLUMN_ALIASES))
+    if not parts:
+        raise FileNotFoundError(f"no interaction file with a header in {path}")
+    return with_row_numbers(clean_fields(reduce(DataFrame.unionByName, parts)))

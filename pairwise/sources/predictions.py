@@ -1,22 +1,26 @@
 """Per-model prediction tables, read into one long frame."""
 
 import logging
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairwise.functions.scalar import number
-from pairwise.sources.interactions import csv_header, scan_csv
+from pairwise.session import exact_names
+from pairwise.sources.interactions import scan_csv
+from pairwise.sources.listing import distinct_names, escaped, header_cells, visible
 from pairwise.sources.runs import (
-    PREDICTION_SUFFIX,
     decoded_path,
     discovered_models,
     latest_run,
-    path_part,
-    read_summary,
+    names_types,
+    summary_models,
+    summary_texts,
 )
 
 KEYS = ["model_type", "model_name"]
+OWN = [f"own_{k}" for k in KEYS]
 DEFAULTED = ["probability_0", "probability_1", "confidence"]
 DEFAULT_VALUE = 0.5
 
@@ -24,8 +28,13 @@ log = logging.getLogger(__name__)
 
 
 def union_models(frames: list[DataFrame]) -> DataFrame:
-    """All model tables by column name; a column that a table lacks is NULL there."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """All model tables by exact column name; a column that a table lacks is NULL there.
+
+    Columns of a file that bear the names of the model's type and name give way to these.
+    """
+    with exact_names(frames[0].sparkSession):
+        plain = [f.drop(*OWN) for f in frames]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), plain)
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -48,56 +57,61 @@ def read_raw_models(spark: SparkSession, run_dir: str | None = None, base: str |
     """One frame per distinct file header, all columns as text, with model type and name.
 
     With a summary the models it names are read where their files exist, else every prediction
-    file found. A file whose header cannot be read is logged and left out. The listing holds one
-    row per model, so it may pass through the driver; the data does not.
+    file found. A file whose header cannot be read is logged and left out. Repeated and empty header
+    cells get names of their own; columns named like the model keys are kept under ``OWN`` names.
+    The listing holds one row per model, so it may pass through the driver; the data does not.
     """
     run_dir = run_dir or latest_run(spark, base)
     if run_dir is None:
         raise FileNotFoundError("no prediction run found")
     listed = discovered_models(spark, run_dir)
-    summary = read_summary(spark, run_dir)
-    if summary.isEmpty():
-        models = listed.withColumn("model_type", F.col("model_dir"))
+    summary = summary_texts(spark, run_dir)
+    if names_types(summary, "value"):
+        models = listed.join(summary_models(summary, "value"), ["model_dir", "model_name"])
     else:
-        models = listed.join(summary, ["model_dir", "model_name"])
+        models = listed.withColumn("model_type", F.col("model_dir"))
     # one row per model
-    entries = models.select("model_type", "model_dir", "model_name", "path").collect()
-    by_header: dict[tuple[str, ...], set[str]] = {}
+    entries = models.select("model_type", "model_name", "path").collect()
+    by_cells: dict[tuple[str, ...], set[str]] = {}
     for path in sorted({entry["path"] for entry in entries}):
         try:
-            header = tuple(csv_header(spark, _escaped(path)))
+            cells = tuple(header_cells(spark, path))
         except Exception as error:
             log.warning("skipped %s: %s", path, error)
             continue
-        if header:
-            by_header.setdefault(header, set()).add(path)
+        if cells:
+            by_cells.setdefault(cells, set()).add(path)
         else:
             log.warning("skipped %s: no header", path)
+    shown = visible(spark, sorted(set().union(*by_cells.values())))
     types = spark.createDataFrame(
-        [(e["model_dir"], e["model_name"], e["model_type"]) for e in entries],
-        "_dir string, model_name string, model_type string",
+        [(local_form(shown[e["path"]]), e["model_type"], e["model_name"]) for e in entries if e["path"] in shown],
+        "_path string, model_type string, model_name string",
     )
     frames = []
-    for header, paths in by_header.items():
-        files = [_escaped(p) for p in sorted(paths)]
-        places = {name: header.index(name) for name in header if name not in KEYS}
-        rows = scan_csv(spark, files, len(header), places, mode="PERMISSIVE")
-        path = decoded_path(F.col("_metadata.file_path"))
-        name = F.replace(path_part(path, 1), F.lit(PREDICTION_SUFFIX), F.lit(""))
-        tagged = rows.select("*", path_part(path, 2).alias("_dir"), name.alias("model_name"))
-        frames.append(tagged.join(types, ["_dir", "model_name"]).drop("_dir"))
+    for cells, paths in by_cells.items():
+        names = distinct_names(list(cells))
+        places = {f"own_{n}" if n in KEYS else n: i for i, n in enumerate(names)}
+        files = [escaped(shown[p]) for p in sorted(paths)]
+        with exact_names(spark):
+            rows = scan_csv(spark, files, len(cells), places, strict=False)
+            path = F.regexp_replace(decoded_path(F.col("_metadata.file_path")), "^file:/+", "file:/")
+            tagged = rows.select(*[F.col(f"`{c}`") for c in places], path.alias("_path"))
+            frames.append(tagged.join(types, "_path").drop("_path"))
     if not frames:
         raise FileNotFoundError(f"no readable prediction file in {run_dir}")
     return frames
 
 
-def _escaped(path: str) -> str:
-    """Readers treat these characters in a path as a glob."""
-    return "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in path)
+def local_form(path: str) -> str:
+    """Paths of the local file system come with one slash or three."""
+    return re.sub("^file:/+", "file:/", path)
 
 
 def read_predictions(spark: SparkSession, run_dir: str | None = None, base: str | None = None):
     """Typed predictions of a run: keys, prediction, the two probabilities, confidence."""
-    frames = [with_defaults(_typed(f)) for f in read_raw_models(spark, run_dir, base)]
+    raw = read_raw_models(spark, run_dir, base)
     columns = [*KEYS, "protein_id", "compound_id", "prediction", *DEFAULTED]
-    return union_models([f.select(columns) for f in frames])
+    with exact_names(spark):
+        frames = [with_defaults(_typed(f)).select(columns) for f in raw]
+    return union_models(frames)

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairwise.functions.scalar import strip
+from pairwise.sources.listing import escaped, find_files, visible
+from pairwise.sources.runs import decoded_path
 
 SCORES = slice(2, 22)  # tokens of a data row that hold the 20 scores
 
@@ -49,18 +51,30 @@ def parse_profiles(files: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def profile_texts(spark: SparkSession, directory: str) -> DataFrame:
+    """``stem, value``: every ``*.pssm`` file as one row, names that begin with ``_`` or ``.`` included."""
+    hidden = visible(spark, find_files(spark, f"{directory.rstrip('/')}/[_.]*.pssm"))
+    files = spark.read.option("pathGlobFilter", "*.pssm").text(directory, wholetext=True)
+    name = F.element_at(F.split(decoded_path(F.col("_metadata.file_path")), "/"), -1)
+    texts = files.select(name.alias("name"), "value")
+    if hidden:
+        copies = spark.read.text([escaped(p) for p in hidden.values()], wholetext=True)
+        texts = texts.unionByName(copies.select(F.regexp_replace(name, "^file-", "").alias("name"), "value"))
+    return texts.select(F.regexp_replace("name", r"\.pssm$", "").alias("stem"), "value")
+
+
 def read_profiles(spark: SparkSession, directory: str) -> DataFrame:
     """``stem, pos, scores`` for every ``*.pssm`` file; a file is one small row."""
-    files = spark.read.option("pathGlobFilter", "*.pssm").text(directory, wholetext=True)
-    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
-    stem = F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), r"\.pssm$", "")
-    return parse_profiles(files.select(stem.alias("stem"), "value"), "stem", "value")
+    return parse_profiles(profile_texts(spark, directory), "stem", "value")
+
 
+def attach_profiles(proteins: DataFrame, texts: DataFrame) -> DataFrame:
+    """``accession, pos, scores`` of the proteins that have a profile file.
 
-def attach_profiles(proteins: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Profile rows of the proteins that have a profile file; the key becomes the accession."""
+    Texts are joined before they are parsed, so files of other proteins cost no parsing.
+    """
     keys = proteins.select("accession", safe_name(F.col("accession")).alias("stem"))
-    return keys.join(profiles, "stem").drop("stem")
+    return parse_profiles(keys.join(texts, "stem"), "accession", "value")
 
 
 def with_profile_flag(proteins: DataFrame, profiles: DataFrame) -> DataFrame:

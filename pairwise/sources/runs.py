@@ -3,6 +3,8 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pairwise.sources.listing import find_files, find_folders
+
 RUN_PREFIX = "batch_prediction_"
 SUMMARY_FILE = "prediction_summary.json"
 PREDICTION_SUFFIX = "_prediction.csv"
@@ -17,18 +19,6 @@ def path_part(path: Column, from_end: int) -> Column:
     return F.element_at(F.split(path, "/"), -from_end)
 
 
-def list_files(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
-    """``path`` of every file that a glob matches, contents unread; empty if there is none."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    try:
-        files = reader.load(pattern)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "path string")
-    return files.select(decoded_path(F.col("path")).alias("path"))
-
-
 def read_texts(spark: SparkSession, pattern: str) -> DataFrame:
     """``path, value`` with one row per whole file; empty if nothing matches."""
     try:
@@ -48,10 +38,8 @@ def latest_of(names: DataFrame, column: str) -> DataFrame:
 def latest_run(spark: SparkSession, base: str) -> str | None:
     """Path of the newest run below ``base``, by name."""
     root = base.rstrip("/")
-    files = list_files(spark, f"{root}/{RUN_PREFIX}*", recursive=True)
-    inside = F.regexp_extract("path", rf"/({RUN_PREFIX}[^/]*)/", 1)
-    name = latest_of(files.select(inside.alias("name")), "name").first()["latest_run"]
-    return f"{root}/{name}" if name else None
+    names = find_folders(spark, f"{root}/{RUN_PREFIX}*")
+    return f"{root}/{max(names)}" if names else None
 
 
 def summary_models(summaries: DataFrame, text: str) -> DataFrame:
@@ -74,19 +62,25 @@ def summary_models(summaries: DataFrame, text: str) -> DataFrame:
     )
 
 
-def read_summary(spark: SparkSession, run_dir: str) -> DataFrame:
-    """Models named by the run's summary file; empty without a readable summary."""
-    return summary_models(read_texts(spark, f"{run_dir.rstrip('/')}/{SUMMARY_FILE}"), "value")
+def names_types(summaries: DataFrame, text: str) -> bool:
+    """Is there a summary that names any model type? Then it decides what is read."""
+    types = F.from_json(F.col(text), "map<string,string>")
+    return not summaries.filter(F.size(types) > 0).isEmpty()
+
+
+def summary_texts(spark: SparkSession, run_dir: str) -> DataFrame:
+    """The run's summary file as text; empty without one."""
+    return read_texts(spark, f"{run_dir.rstrip('/')}/{SUMMARY_FILE}")
 
 
 def discovered_models(spark: SparkSession, run_dir: str) -> DataFrame:
     """``model_dir, model_name, path`` of each prediction file one level below the run."""
-    files = list_files(spark, f"{run_dir.rstrip('/')}/*/*{PREDICTION_SUFFIX}")
-    name = F.replace(path_part(F.col("path"), 1), F.lit(PREDICTION_SUFFIX), F.lit(""))
-    named = files.select(
-        path_part(F.col("path"), 2).alias("model_dir"), name.alias("model_name"), "path"
-    )
-    return named.filter(~F.col("model_dir").startswith("."))
+    found = []
+    for path in find_files(spark, f"{run_dir.rstrip('/')}/*/*{PREDICTION_SUFFIX}"):
+        *_, folder, name = path.split("/")
+        if not folder.startswith("."):
+            found.append((folder, name.replace(PREDICTION_SUFFIX, ""), path))
+    return spark.createDataFrame(found, "model_dir string, model_name string, path string")
 
 
 PROGRESS_SCHEMA = """
@@ -100,7 +94,8 @@ def resumable_runs(spark: SparkSession, base: str) -> DataFrame:
     """Feature runs below ``base`` with their status and counts, sorted by name."""
     pattern = f"{base.rstrip('/')}/*_features_*"
     run = F.regexp_extract("path", r"/([^/]*_features_[^/]*)/", 1).alias("run_dir")
-    runs = list_files(spark, pattern, recursive=True).select(run).distinct()
+    names = [(name,) for name in find_folders(spark, pattern)]
+    runs = spark.createDataFrame(names, "run_dir string")
     records = read_texts(spark, f"{pattern}/progress.json").select(run, "value")
     progress = records.select(
         "run_dir", F.from_json("value", PROGRESS_SCHEMA).alias("p"), F.lit(True).alias("_present")

@@ -1,28 +1,46 @@
 """Feature store: Parquet keyed by the real entity id."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairwise.operators.entities import pending
+from pairwise.session import stage
 
 
-def read_store(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The stored features, or an empty frame before the first run."""
+COMMIT = 1_000_000  # entities of one append
+
+
+def read_store(spark: SparkSession, path: str, schema, key: str | None = None) -> DataFrame:
+    """The stored features, or an empty frame before the first run.
+
+    With ``key``, a key that was appended twice (by runs at the same time, say) is one row.
+    """
     try:
-        return spark.read.parquet(path)
+        store = spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], schema)
+    if key is None or store.groupBy(key).count().filter("count > 1").isEmpty():
+        return store
+    return store.dropDuplicates([key])
 
 
-def extend_store(unique: DataFrame, path: str, key: str, compute) -> DataFrame:
+def extend_store(
+    unique: DataFrame, path: str, key: str, compute, commit: int = COMMIT
+) -> DataFrame:
     """Compute the entities that the store lacks, append them, return the whole store.
 
-    The append commits as a whole, so a run that dies is resumed from the last finished one.
+    They are computed and appended in batches of about ``commit`` entities, by a hash of the key. Each
+    append commits as a whole, so a run that dies goes on after its last finished batch.
     """
     spark = unique.sparkSession
     schema = compute(unique.limit(0)).schema
     todo = pending(unique, read_store(spark, path, schema), key)
-    compute(todo).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    batches = max(1, -(-todo.count() // commit))
+    # the pending entities are fixed now: an append must not change what a later batch takes
+    todo = stage(todo, "pending") if batches > 1 else todo
+    for k in range(batches):
+        part = todo.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == k) if batches > 1 else todo
+        compute(part).write.mode("append").parquet(path)
+    return read_store(spark, path, schema, key)

@@ -8,16 +8,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwise.constants import DESCRIPTORS
+from pairwise.operators.entities import run_totals, unique_proteins
 from pairwise.operators.pairs import pair_stats
 from pairwise.params import ConsensusParams
 from pairwise.plans.consensus import run_exports
 from pairwise.plans.features import run_features
-from pairwise.sinks import files
+from pairwise.session import owned_staging, stage
+from pairwise.sinks import files, tables
 from pairwise.sources import predictions as sources
 from pairwise.sources import runs
 from pairwise.sources.descriptors import read_descriptors
 from pairwise.sources.interactions import read_interactions, resolve_columns
-from pairwise.sources.profiles import read_profiles
+from pairwise.sources.profiles import attach_profiles, profile_texts, read_profiles
 from pairwise.sources.store import extend_store
 
 
@@ -80,6 +82,37 @@ def test_line_breaks_in_quotes(spark, tmp_path):
     assert [(r.row_no, r.sequence) for r in rows] == [(1, "A\nC"), (2, "M")]
 
 
+def test_empty_ids_are_ids(spark, tmp_path):
+    put(tmp_path / "a.csv", HEADER + ",ACD,,CCO,1\n,MKV,,CCO,\nP,A,C,,0\n")
+    rows = read_interactions(spark, str(tmp_path / "a.csv")).orderBy("row_no").collect()
+    assert [(r.accession, r.compound_cid, r.smile) for r in rows] == [("", "", "CCO"), ("", "", "CCO"), ("P", "C", "")]
+    frame = spark.createDataFrame(rows)
+    totals = run_totals(frame).first()
+    assert (totals.unique_proteins, totals.unique_compounds) == (2, 2)
+    assert [r.sequence for r in unique_proteins(frame).orderBy("first_row").collect()] == ["ACD", "A"]
+
+
+def test_cells_beyond_the_header_are_dropped_and_missing_ones_refused(spark, tmp_path):
+    put(tmp_path / "a.csv", HEADER + 'P,"A,C",C1,S,1,\nQ,A,C2,S,,,x\n')
+    rows = read_interactions(spark, str(tmp_path / "a.csv")).orderBy("row_no").collect()
+    assert [(r.accession, r.sequence, r.label) for r in rows] == [("P", "A,C", "1"), ("Q", "A", "")]
+    put(tmp_path / "b.csv", HEADER + "P,A,C1,S,1\nQ,A,C2\n")
+    with pytest.raises(Exception, match="missing cells"):
+        read_interactions(spark, str(tmp_path / "b.csv")).collect()
+
+
+def test_files_of_unlike_headers(spark, tmp_path):
+    put(tmp_path / "in" / "a.csv", HEADER + "P1,ACD,C1,S1,1\n")
+    put(tmp_path / "in" / "b.csv", "CID,Class,SMILES,ProteinID,Seq\nC2,0,S2,P2,MKV\n")
+    put(tmp_path / "in" / "_SUCCESS", "")
+    rows = read_interactions(spark, str(tmp_path / "in")).orderBy("row_no").collect()
+    assert [tuple(r) for r in rows] == [(1, "P1", "ACD", "C1", "S1", "1"), (2, "P2", "MKV", "C2", "S2", "0")]
+    put(tmp_path / "d" / "a.csv", "SMILES,MW\nCC,30\n")
+    put(tmp_path / "d" / "b.csv", "LogP,SMILES\n1.5,O\n")
+    table = {r.smile: r for r in read_descriptors(spark, str(tmp_path / "d")).collect()}
+    assert table["CC"].MW == 30 and table["O"].LogP == 1.5
+
+
 @pytest.mark.parametrize("split", ["1k", "7k", "1m"])
 def test_row_numbers_do_not_depend_on_the_splits(spark, tmp_path, split):
     for name, first in (("part 1%.csv", 0), ("part-2.csv", 900)):
@@ -168,6 +201,48 @@ def test_summary_names_the_models(spark, run_dir):
     assert {(r.model_type, r.model_name) for r in frame.select("model_type", "model_name").collect()} == {("deep/net", "a")}
 
 
+def test_summary_with_types_but_no_models_loads_nothing(spark, run_dir):
+    put(run_dir / "prediction_summary.json", json.dumps({"svm": {}}))
+    with pytest.raises(FileNotFoundError):
+        sources.read_predictions(spark, str(run_dir))
+
+
+def test_files_that_readers_hide(spark, run_dir):
+    put(run_dir / "svm" / "_b_prediction.csv", "protein_id,compound_id,prediction\nP7,C7,1\n")
+    put(run_dir / "_net" / "c_prediction.csv", "protein_id,compound_id,prediction\nP8,C8,1\n")
+    found = {(r.model_type, r.model_name) for r in sources.read_predictions(spark, str(run_dir)).collect()}
+    assert {("svm", "_b"), ("_net", "c")} <= found and len(found) == 5
+
+
+def test_every_header_cell_is_kept(spark, tmp_path):
+    run = tmp_path / "run"
+    put(run / "a" / "x_prediction.csv", "protein_id,compound_id,prediction,score,score,,model_type\nP,C,1,5,7,z,own\n")
+    put(run / "b" / "y_prediction.csv", "protein_id,compound_id,prediction,Confidence\nP,C,1,0.9\n")
+    put(run / "b" / "z_prediction.csv", "protein_id,compound_id,prediction,confidence\nP,C,1,0.8\n")
+    raw = sources.read_raw_models(spark, str(run))
+    combined = sources.union_models(raw)
+    assert {"score", "score.1", "Unnamed: 5", "Confidence", "confidence"} <= set(combined.columns)
+    typed = {r.model_name: r for r in sources.read_predictions(spark, str(run)).collect()}
+    assert (typed["y"].confidence, typed["z"].confidence) == (0.5, 0.8)
+    out = str(tmp_path / "out")
+    files.write_models(raw, combined, pair_stats(sources.read_predictions(spark, str(run))), ConsensusParams(), out, str(run))
+    (own,) = [p for p in Path(out).glob("models/*/of_model_type=a/of_model_name=x/part-*.csv")]
+    assert own.read_text() == "protein_id,compound_id,prediction,score,score.1,Unnamed: 5,model_type\nP,C,1,5,7,z,own\n"
+    (settings,) = [json.loads(p.read_text()) for p in Path(out).glob("parameters/part-*.json")]
+    assert settings["data_source"] == str(run)
+    (row,) = [r for r in read_parts(Path(out) / "all_predictions_combined") if r["model_name"] == "x"]
+    assert (row["model_type"], row["score"], row["score.1"]) == ("a", "5", "7")
+
+
+def test_profile_names_that_readers_hide(spark, tmp_path):
+    line = "1 A " + " ".join(["3"] * 20) + "\n"
+    put(tmp_path / "_P1.pssm", line)
+    put(tmp_path / "P2.pssm", line)
+    assert sorted(r.stem for r in read_profiles(spark, str(tmp_path)).collect()) == ["P2", "_P1"]
+    proteins = spark.createDataFrame([("|P1",), ("P3",)], "accession string")
+    assert [r.accession for r in attach_profiles(proteins, profile_texts(spark, str(tmp_path))).collect()] == ["|P1"]
+
+
 @pytest.mark.parametrize("text", ["{ broken", "{}"])
 def test_useless_summary_falls_back_to_discovery(spark, run_dir, text):
     put(run_dir / "prediction_summary.json", text)
@@ -238,6 +313,68 @@ def test_store_computes_each_entity_once(spark, tmp_path):
     assert [r.k for r in seen[-1].collect()] == ["ccc"]
 
 
+def test_a_key_that_was_stored_twice_is_one_row(spark, tmp_path):
+    compute = lambda todo: todo.select("k", F.length("k").alias("n"))
+    unique = spark.createDataFrame([("a",), ("bb",)], "k string")
+    compute(unique).write.mode("append").parquet(str(tmp_path / "s"))
+    compute(unique).write.mode("append").parquet(str(tmp_path / "s"))
+    assert extend_store(unique, str(tmp_path / "s"), "k", compute).count() == 2
+
+
+def test_a_killed_run_keeps_its_finished_batches(spark, tmp_path):
+    unique = spark.range(40).select(F.col("id").cast("string").alias("k"))
+    calls = []
+
+    def compute(todo):
+        calls.append(1)
+        if len(calls) == 4:  # one call for the schema, two batches, then it stops
+            raise RuntimeError("killed")
+        return todo.select("k", F.length("k").alias("n"))
+
+    with pytest.raises(RuntimeError):
+        extend_store(unique, str(tmp_path / "s"), "k", compute, commit=10)
+    kept = spark.read.parquet(str(tmp_path / "s")).count()
+    assert 0 < kept < 40
+    calls[:] = [0] * 10
+    assert extend_store(unique, str(tmp_path / "s"), "k", compute, commit=10).count() == 40
+
+
+def test_output_out_of_order_is_found(spark):
+    good = spark.createDataFrame([(1, 1), (2, 2)], "row_no long, position long")
+    assert tables.order_passed(good, 2) and not tables.order_passed(good, 3)
+    assert not tables.order_passed(spark.createDataFrame([(1, 1), (1, 2)], good.schema), 2)
+
+
+def test_owned_staging_is_deleted(spark):
+    with owned_staging(spark):
+        frame = stage(spark.range(3), "owned")
+        path = frame.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert frame.count() == 3 and Path(path).exists()
+    assert not Path(path).exists()
+
+
+def test_frequent_pair_spreads_over_the_detailed_export(spark, tmp_path):
+    n = 30_000
+    hot = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id"))
+    predictions = spark.range(n).select(
+        F.lit("t").alias("model_type"), F.concat(F.lit("m"), F.col("id") % 50).alias("model_name"),
+        F.concat(F.lit("P"), hot).alias("protein_id"), F.lit("C").alias("compound_id"), F.lit(1).alias("prediction"),
+        F.lit(0.1).alias("probability_0"), F.lit(0.9).alias("probability_1"), F.lit(0.9).alias("confidence"),
+    )
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_detailed(pair_stats(predictions), predictions, ConsensusParams(min_consensus=1), str(tmp_path / "x"))
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    sizes = [sum(1 for _ in p.open()) - 1 for p in (tmp_path / "x/detailed").glob("strategy=*/part-*.csv")]
+    assert sum(sizes) == 5 * n and max(sizes) < 2 * sum(sizes) / 32
+    first = read_parts(tmp_path / "x/detailed/strategy=all_positive")
+    assert [r["protein_id"] for r in first[: n // 3]] == ["P0"] * (n // 3)
+
+
 @pytest.mark.parametrize("flagged", [False, True])
 def test_feature_run(spark, tmp_path, flagged):
     rows = [("sp|P1", "ACD", "C1", "CCO", "1"), ("P2", "mkv", "C1", "other", "0"), ("sp|P1", "LATE", "C2", "N", "")]
@@ -268,6 +405,11 @@ def test_feature_run(spark, tmp_path, flagged):
     (stats,) = [json.loads(p.read_text()) for p in (tmp_path / "out/processing_stats").glob("part-*.json")]
     assert (stats["total_records"], stats["unique_proteins"], stats["unique_compounds"]) == (60, 2, 2)
     assert (stats["rows_with_profile"], stats["proteins_with_profile"]) == (40, 1)
+    assert stats["order_verification_passed"] and stats["resume_mode"] and stats["feature_dimensions"]["total"] == 335
+    (settings,) = [json.loads(p.read_text()) for p in (tmp_path / "out/feature_settings").glob("part-*.json")]
+    assert (settings["sequence_lags"], settings["search_iterations"], settings["profile"]["dimensions"]) == (10, 3, 220)
+    with pytest.raises(FileExistsError):
+        run_features(spark, *args, str(tmp_path / "new"), flagged, resume=False)
     # a second run finds everything in the store
     run_features(spark, *args, str(tmp_path / "again"), flagged)
     assert spark.read.parquet(str(tmp_path / "store/proteins")).count() == 2

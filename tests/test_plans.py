@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from pairwise.checks import inputs
-from pairwise.operators import agreement, assemble, consensus, entities, pairs, profiles, sequences
+from pairwise.operators import agreement, assemble, consensus, distributions, entities, pairs, profiles, sequences
 from pairwise.params import ConsensusParams
+from pairwise.session import stage
 from pairwise.sinks import tables
 
 P = ConsensusParams()
@@ -39,14 +40,14 @@ def settings(spark):
 
 @pytest.fixture(scope="module")
 def plans(spark, data):
-    return {name: plan(query(spark, data)) for name, query in entry_points.queries().items()}
+    return {name: plan(query(spark, data)) for name, query in entry_points.QUERIES.items()}
 
 
 def test_only_sequences_use_python(plans):
     python = {name for name, text in plans.items() if re.search("Python|InPandas|InArrow", text)}
     assert python == {
-        "aa_composition", "sequence_lag", "residue_zscores", "attach_protein", "combined_matrix",
-        "detailed_matrix", "detailed_matrix_flags", "feature_dictionary",
+        "sequence_lag", "attach_protein", "combined_matrix", "detailed_matrix", "detailed_matrix_flags",
+        "feature_dictionary",
     }
 
 
@@ -97,6 +98,23 @@ def test_counts_need_one_pass(spark, data):
         assert plan(frame).count("FileScan") == 1
 
 
+def test_distributions_combine_before_the_shuffle(spark, data):
+    """No exchange carries a row per pair: each stands on a partial aggregate, but for those of the pairs."""
+    stats = stage(pairs.pair_stats(inputs.predictions(spark, data)), "stats")
+    for frame in (
+        distributions.histogram(stats), distributions.density(stats), distributions.distribution_stats(stats),
+        distributions.box_stats(stats),
+    ):
+        text = plan(frame)
+        for below in re.findall(r"Exchange hashpartitioning\(metric.*\n(.*)", text):
+            assert "partial_" in below or "functions=[]" in below, text
+
+
+def test_first_rows_are_found_by_hash(spark, data):
+    text = plan(entities.unique_proteins(inputs.interactions(spark, data)))
+    assert "SortAggregate" not in text and "HashAggregate" in text
+
+
 def test_sequences_stay_out_of_the_row_shuffles(spark, settings):
     settings(autoBroadcastJoinThreshold="-1")
     rows = spark.createDataFrame(
