@@ -60,19 +60,36 @@ def with_cached(unique: DataFrame, store: DataFrame, key: str, compute) -> DataF
 
 
 def run_totals(rows: DataFrame, profiled: Column | None = None) -> DataFrame:
-    """Record and entity counts; ``profiled`` marks rows whose protein has a profile."""
-    measures = [
-        F.count("*").alias("total_records"),
-        F.count_distinct("accession").alias("unique_proteins"),
-        F.count_distinct("compound_cid").alias("unique_compounds"),
+    """Record and entity counts; ``profiled`` marks rows whose protein has a profile.
+
+    Rows are counted by protein and by compound, each combined before its shuffle, and the two tables
+    of entities are counted in turn. Several distinct counts at once would multiply the rows first.
+    """
+    has = F.lit(False) if profiled is None else profiled
+    proteins = rows.groupBy("accession").agg(F.count("*").alias("n"), F.count_if(has).alias("with"))
+    compounds = rows.groupBy("compound_cid").agg(F.count("*").alias("n"))
+    none = F.lit(0)
+    parts = [
+        proteins.agg(
+            F.sum("n").alias("total_records"),
+            F.count("*").alias("unique_proteins"),
+            none.alias("unique_compounds"),
+            F.sum("with").alias("rows_with_profile"),
+            F.count_if(F.col("with") > 0).alias("proteins_with_profile"),
+        ),
+        compounds.agg(
+            none.alias("total_records"),
+            none.alias("unique_proteins"),
+            F.count("*").alias("unique_compounds"),
+            none.alias("rows_with_profile"),
+            none.alias("proteins_with_profile"),
+        ),
     ]
-    if profiled is not None:
-        measures.append(F.count_if(profiled).alias("rows_with_profile"))
-        measures.append(
-            F.count_distinct(F.when(profiled, F.col("accession"))).alias("proteins_with_profile")
-        )
+    union = parts[0].unionByName(parts[1])
+    names = union.columns if profiled is not None else union.columns[:3]
+    totals = union.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
     total = F.col("total_records")
-    return rows.agg(*measures).withColumns(
+    return totals.withColumns(
         {
             "protein_dedup_rate": percent(total - F.col("unique_proteins"), total),
             "compound_dedup_rate": percent(total - F.col("unique_compounds"), total),
