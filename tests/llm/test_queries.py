@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 
 from pairwise.llm import byte_bpe
-from pairwise.llm.queries import QUERIES
+from pairwise.llm.queries import QUERIES, SQL
 from tests.llm import brute
 from tests.llm.conftest import make_chats, make_documents, make_items
+from tests.oracle import compare, connect
 
 DOCUMENTS = make_documents()
 TEXTS = [(doc, text) for doc, text, *_ in DOCUMENTS]
@@ -29,6 +30,11 @@ def test_empty_tables(spark, empty_tables, name):
     assert [r["conv_id"] for r in found] == ([-1] if name.startswith("op2_") else [])
 
 
+@pytest.mark.parametrize("name", list(SQL))
+def test_query_matches_sql(spark, data, name):
+    assert compare(QUERIES[name](spark, data), connect(data), SQL[name]) is None
+
+
 def test_host_rules(spark, tables):
     found = QUERIES["op1_host_rules"](spark, tables)
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
