@@ -21,9 +21,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from pairwise.llm.arrow_text import SLICE, encode_runs, flat, hashes, runs, slices
+from pairwise.llm.arrow_text import SLICE, encode_runs, extended, flat, hashes, runs, slices, without
 
 BUCKETS = 1 << 16
 SIZE = 32  # of index and context vectors
@@ -35,7 +35,7 @@ EPOCHS = 60
 BATCH = 128
 THRESHOLD = 0.7
 PART = 256  # table rows sent as one
-_CHUNK = 1 << 18  # tokens summed at a time
+_CHUNK = 1 << 16  # tokens summed at a time
 
 
 def _sign_table() -> np.ndarray:
@@ -268,7 +268,7 @@ def train(
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", column: str = "score") -> DataFrame:
     """All columns, and the probability of label 1; a column of that name is replaced."""
-    df = df.drop(*[c for c in df.columns if c.lower() == column.lower()])
+    df = without(df, column)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
@@ -279,5 +279,4 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
                     [*batch.columns, pa.array(made, pa.float64())], [*batch.schema.names, column]
                 )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(rows, f"{fields}, `{column}` double")
+    return df.mapInArrow(rows, extended(df, T.StructField(column, T.DoubleType())))
