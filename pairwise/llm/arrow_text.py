@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, types as T
 
 SPACE = 0x20
 SLICE = 4 << 20  # bytes of text handled at a time
+BATCH_ROWS = 2000
 WHITE = (0x20, *range(0x09, 0x0E))
 
 
@@ -93,6 +94,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         row = end
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches have fewer rows than Spark's default: a row is a whole text."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":  # a number that the user has chosen stays
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names a result column would clash with, in any case."""
     taken = {n.lower() for n in names}

@@ -26,7 +26,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, types as T
 
-from pairwise.llm.arrow_text import SLICE, extended, slices, without
+from pairwise.llm.arrow_text import SLICE, extended, short_batches, slices, without
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -97,7 +97,7 @@ def codec(path: str = VOCABULARY, pattern: str = PATTERN) -> Codec:
 
 
 def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, convert) -> DataFrame:
-    df = without(df, target)
+    df = short_batches(without(df, target))
 
     def rows(batches):
         for whole in batches:

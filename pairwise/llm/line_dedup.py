@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pairwise.llm.arrow_text import SLICE, extended, slices, without
+from pairwise.llm.arrow_text import SLICE, extended, short_batches, slices, without
 from pairwise.session import stage
 
 MIN_CHARS = 40
@@ -143,7 +143,7 @@ def drop_bitmaps(
     bitmap's end are kept.
     """
     doc, body = _keyed(df, key, text)
-    texts = df.select(doc.alias("doc"), body.alias("body"), F.col(text).alias("text"))
+    texts = short_batches(df).select(doc.alias("doc"), body.alias("body"), F.col(text).alias("text"))
     lines = stage(texts.mapInArrow(_line_rows(min_chars), _LINES), "lines")
     ranged = lines.repartitionByRange("h1", "h2", F.desc("doc")).sortWithinPartitions("h1", "h2", F.desc("doc"), "body")
     streamed = stage(ranged.mapInArrow(_first_occurrences(min_docs), _STREAM), "first-lines")

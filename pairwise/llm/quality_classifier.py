@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from pairwise.llm.arrow_text import SLICE, encode_runs, extended, flat, hashes, runs, slices, without
+from pairwise.llm.arrow_text import SLICE, encode_runs, extended, flat, hashes, runs, short_batches, slices, without
 
 BUCKETS = 1 << 16
 SIZE = 32  # of index and context vectors
@@ -114,7 +114,7 @@ def _added(batches):
 def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
     """Context and index vector of each bucket, over all documents: a table of fixed size."""
     schema = "part bigint, sums binary"
-    parts = df.select(F.col(text).alias("text")).mapInArrow(_contexts, schema)
+    parts = short_batches(df).select(F.col(text).alias("text")).mapInArrow(_contexts, schema)
     total = np.zeros((BUCKETS // PART, PART * SIZE), np.int64)
     for row in parts.repartition("part").mapInArrow(_added, schema).collect():
         total[row["part"]] = np.frombuffer(row["sums"], "<i8")
@@ -268,7 +268,7 @@ def train(
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", column: str = "score") -> DataFrame:
     """All columns, and the probability of label 1; a column of that name is replaced."""
-    df = without(df, column)
+    df = short_batches(without(df, column))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairwise.llm.arrow_text import SLICE, flat, runs, slices
+from pairwise.llm.arrow_text import SLICE, flat, runs, short_batches, slices
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
@@ -124,7 +124,7 @@ def _counts(batches):
 
 def train(df: DataFrame, text: str = "text") -> np.ndarray:
     """Log-likelihood ratio of each pair of characters, random over ordinary."""
-    texts = df.select(F.col(text).alias("text"))
+    texts = short_batches(df).select(F.col(text).alias("text"))
     counted = texts.mapInArrow(_counts, "model bigint, pair bigint, n bigint")
     total = np.zeros((2, N, N))
     for row in counted.groupBy("model", "pair").agg(F.sum("n").alias("n")).collect():  # at most 2 * N * N

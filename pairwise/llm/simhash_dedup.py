@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairwise.llm.arrow_text import LOWERED, SLICE, slices
+from pairwise.llm.arrow_text import LOWERED, SLICE, short_batches, slices
 from pairwise.llm.components import components
 from pairwise.session import stage
 
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 columns = [batch.column("doc_id"), batch.column("body"), pa.array(made, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "fp"])
 
-    picked = df.select(
+    picked = short_batches(df).select(
         F.col(key).cast("bigint").alias("doc_id"), _body(text).alias("body"), F.col(text).alias("text")
     )
     return picked.mapInArrow(rows, "doc_id bigint, body bigint, fp bigint")

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pairwise.llm.arrow_text import ALPHANUMERIC, SLICE, extended, slices, split_words, without
+from pairwise.llm.arrow_text import ALPHANUMERIC, SLICE, extended, short_batches, slices, split_words, without
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20  # of test text in one pass
@@ -232,7 +232,7 @@ def find_contamination(
 ) -> DataFrame:
     """All columns and n_words, hits (intervals of words), items, matches; ``keep_text`` False drops the text."""
     spark = df.sparkSession
-    df = without(df, *[f.name for f in FIELDS])
+    df = short_batches(without(df, *[f.name for f in FIELDS]))
     tests = benchmark.select(F.col(item_key).cast("bigint").alias("id"), F.col(item_text).alias("text"))
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

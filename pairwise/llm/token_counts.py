@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairwise.llm.arrow_text import SLICE, slices
+from pairwise.llm.arrow_text import SLICE, short_batches, slices
 from pairwise.llm.byte_bpe import PATTERN, VOCABULARY, codec
 
 SEPARATOR = "\n"
@@ -71,7 +71,7 @@ def token_counts(
     path: str = VOCABULARY,
     pattern: str = PATTERN,
 ) -> DataFrame:
-    picked = df.select(
+    picked = short_batches(df).select(
         F.col(key).cast("bigint").alias("id"),
         *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"f{k}") for k, f in enumerate(fields)],
     )
