@@ -22,6 +22,6 @@ def added(*masked):
     return int(found.stdout.split()[-1])
 
 
-@pytest.mark.parametrize("masked", ["public_tokenizers", "tiktoken", "xxhash", "tokenizers", "pairwise.llm", "corpus_pipeline"])
+@pytest.mark.parametrize("masked", ["public_tokenizers", "tiktoken", "xxhash", "pairwise.llm", "corpus_pipeline"])
 def test_engine_queries_do_not_need(masked):
     assert added(masked) == 0
