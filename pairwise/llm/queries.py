@@ -7,6 +7,9 @@ from pairwise.llm import (
     chat_masks,
     host_rules,
     line_dedup,
+    minhash_bayes,
+    phrase_mining,
+    prefix_trie,
     quality_classifier,
     secret_scan,
     simhash_dedup,
@@ -128,6 +131,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_bayes.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return phrase_mining.collocations(docs).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(chats)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -141,6 +159,9 @@ QUERIES = {
         op8_simhash_dedup,
         op9_line_dedup,
         op10_byte_bpe,
+        op11_minhash_bayes,
+        op12_phrase_mining,
+        op13_prefix_trie,
     )
 }
 

@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import xxhash
 
@@ -138,3 +140,93 @@ def chats(rows):
         loss = "".join(t for _, _, r, t in turns if r == "assistant")
         out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for _, _, r, t in turns)), len(loss), sha(loss)))
     return out
+
+
+def shingles(text, size=4):
+    words = WORD.findall((text or "").translate(LOWER))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def similar(docs):
+    """Size of each document's set, least id of its class, and whether it is that."""
+    sets = [frozenset(shingles(text)) for _, text in docs]
+    distinct = list(set(sets) - {frozenset()})
+    root = {s: s for s in distinct}
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    for s, t in combinations(distinct, 2):
+        if min(len(s), len(t)) * 100 >= 80 * max(len(s), len(t)) and 100 * len(s & t) >= 80 * len(s | t):
+            root[find(s)] = find(t)
+    least = {}
+    for (doc, _), s in zip(docs, sets, strict=True):
+        if s and doc is not None:
+            least[find(s)] = min(doc, least.get(find(s), doc))
+    out = []
+    for (doc, _), s in zip(docs, sets, strict=True):
+        component = least.get(find(s)) if s else doc
+        out.append((doc, len(s), component, doc == component))
+    return out
+
+
+def phrases(docs, min_count=100, top=2000, most=5):
+    """docs: (lang, text)."""
+    counts, total = defaultdict(Counter), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            counts[lang].update(tuple(words[i : i + s]) for s in range(1, most + 1) for i in range(len(words) - s + 1))
+    out = []
+    for lang, f in counts.items():
+        found = {p: a for p, a in f.items() if len(p) > 1 and a >= min_count}
+        covered = set()
+        for p, a in found.items():
+            inner = {p[i : i + s] for s in range(2, len(p)) for i in range(len(p) - s + 1)}
+            covered |= {q for q in inner if 100 * a >= 100 * f[q]}
+        rows = []
+        for p, a in found.items():
+            cuts = [(1000 * a * total[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            if p not in covered:
+                rows.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        rows.sort()
+        out += [
+            (lang, rank, p.decode(), -a, left, right, total[lang], -score)
+            for rank, (score, a, p, left, right) in enumerate(rows[:top], 1)
+        ]
+    return out
+
+
+def trie(rows):
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            by[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    original = {conv: [t[2:] for t in sorted(turns)] for conv, turns in by.items()}
+    rebuilt = {}
+    for conv, turns in original.items():
+        h = zlib.crc32(str(conv).encode()) % 9
+        rebuilt[conv] = tuple(original.get(conv - conv % 5, [])[:h] + turns[h:])
+    members, children = defaultdict(list), defaultdict(set)
+    for conv, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(conv)
+            if d:
+                children[turns[: d - 1]].add(turns[:d])
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves[node] = sum(leaves[c] for c in children[node]) or 1
+        own = (len(members[node]) - 1) * len(node[-1][1].encode()) if node else 0
+        saved[node] = own + sum(saved[c] for c in children[node])
+    return [
+        (
+            min(convs), len(node), min(members[node[:-1]]) if node else None, len(convs), len(children[node]), leaves[node],
+            saved[node], sha(",".join(str(c) for c in sorted(convs) if len(rebuilt[c]) == len(node))),
+        )
+        for node, convs in members.items()
+    ]

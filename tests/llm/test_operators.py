@@ -16,6 +16,9 @@ from pairwise.llm import (
     components,
     host_rules,
     line_dedup,
+    minhash_bayes,
+    phrase_mining,
+    prefix_trie,
     quality_classifier,
     secret_scan,
     simhash_dedup,
@@ -347,3 +350,169 @@ def test_rates_are_shrunk_towards_the_hosts(spark):
     assert found["rotten"].rate > 0.9 and found["rotten"].kept == 0  # the one good document goes with its host
     assert found["large"].rate < found["single"].rate < found["rotten"].rate
     assert found[None].kept == 1
+
+
+# ---- MinHash with Bayesian verification ------------------------------------------------------------
+
+
+def test_posterior_bound_is_the_beta_tail():
+    """P(similarity >= 0.8 | m of n) by numeric integration of the posterior."""
+    grid = (np.arange(200_000) + 0.5) / 200_000
+    for k, least in enumerate(minhash_bayes.least_matches(1e-6)):
+        n = (k + 1) * minhash_bayes.BATCH
+        tail = []
+        for m in (least - 1, least):
+            density = m * np.log(grid) + (n - m) * np.log1p(-grid)
+            density = np.exp(density - density.max())
+            tail.append(density[grid >= 0.8].sum() / density.sum())
+        assert tail[0] < 1e-6 <= tail[1]
+
+
+def test_signatures_estimate_the_similarity():
+    rng = np.random.default_rng(3)
+    both = rng.integers(0, 1 << 63, 900, np.uint64)
+    one, other = np.unique(both[:850]), np.unique(both[50:])
+    agreeing = (minhash_bayes.signature(one) == minhash_bayes.signature(other)).mean()
+    assert abs(agreeing - 800 / 900) < 0.12
+    assert (minhash_bayes.signature(one) == minhash_bayes.signature(one[::-1])).all()
+
+
+def _families(rng):
+    """Texts of 60 words in families whose members share most, some or few of their shingles with each other."""
+    out = []
+    for family in range(6):
+        base = [f"f{family}w{k}" for k in range(60)]
+        for k in range(14):
+            words = list(base)
+            for at in rng.sample(range(60), k % 4):
+                words[at] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [2, 5, 4096])
+def test_classes_do_not_depend_on_the_size_of_chunks(spark, monkeypatch, bucket):
+    monkeypatch.setattr(minhash_bayes, "BUCKET", bucket)
+    docs = list(enumerate(_families(random.Random(9))))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    found = minhash_bayes.near_duplicates(frame).collect()
+    want = sorted(brute.similar(docs))
+    assert 10 < len({c for _, _, c, _ in want}) < 70
+    assert sorted(map(tuple, found)) == want
+
+
+def test_a_crowd_of_unlike_candidates_is_settled(spark):
+    """Half of each text is boilerplate: buckets hold many pairs under the threshold, and some over it."""
+    rng = random.Random(2)
+    shared = " ".join(f"b{k}" for k in range(70))
+    docs = [(k, f"{shared} {' '.join(f'o{rng.randrange(10**6)}' for _ in range(14 + k % 5))}") for k in range(60)]
+    docs += [(100 + k, text + " end") for k, (_, text) in enumerate(docs[:20])]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    assert sorted(map(tuple, minhash_bayes.near_duplicates(frame).collect())) == sorted(brute.similar(docs))
+
+
+# ---- phrases ---------------------------------------------------------------------------------------
+
+
+def _mined(spark, docs, **sizes):
+    frame = spark.createDataFrame(docs, "lang string, text string").repartition(3)
+    return sorted(map(tuple, phrase_mining.collocations(frame, min_count=3, top=30, **sizes).collect()), key=repr)
+
+
+PHRASE_TEXTS = [
+    (random.Random(k).choice(["en", "fr", None]), " ".join(random.Random(k).choices("the of a. new york; City\tx é , \x0c".split(" "), k=60)))
+    for k in range(40)
+]
+
+
+def test_phrases_do_not_depend_on_blocks_and_buckets(spark):
+    want = sorted(brute.phrases(PHRASE_TEXTS, min_count=3, top=30), key=repr)
+    assert len(want) > 40
+    for sizes in ({}, {"block_bytes": 50, "bucket_bytes": 20}):
+        assert _mined(spark, PHRASE_TEXTS, **sizes) == want
+
+
+def test_phrases_of_equal_hashes_are_told_apart(monkeypatch):
+    """Hashes cut to six bits collide all the time; the counts by text stay exact."""
+
+    class Weak(phrase_mining.Polynomial):
+        def of(self, begin, size, seed):
+            return super().of(begin, size, seed) & np.uint64(63)
+
+    monkeypatch.setattr(phrase_mining, "Polynomial", Weak)
+    body = b"a b a b c a b\nc a b d a b"
+    phrases = phrase_mining.Phrases(body, "en", 3)
+    distinct, inverse, _ = phrases.distinct()
+    counts = {}
+    for _, texts, f in phrases.frequent(np.ones(len(distinct), bool), inverse):
+        for text, n in zip(texts.to_pylist(), f.tolist(), strict=True):
+            counts[text] = counts.get(text, 0) + n
+    want = {}
+    for piece in body.decode().split("\n"):
+        words = piece.split(" ")
+        for s in (1, 2, 3):
+            for i in range(len(words) - s + 1):
+                want[" ".join(words[i : i + s])] = want.get(" ".join(words[i : i + s]), 0) + 1
+    assert counts == want
+
+
+def test_a_long_text_is_cut_between_pieces():
+    body = b"one two\nthree\n" * 50 + b"x" * 100 + b"\nend"
+    parts = list(phrase_mining._cut(body, 40))
+    assert b"".join(parts) == body and len(parts) > 15
+    assert all(p.endswith(b"\n") for p in parts[:-1])
+
+
+def test_scores_past_64_bits_are_exact(spark):
+    big = 30_000_000_000_000_001
+    counted = [("en", 0, "", 3 * big), ("en", 1, "a", big), ("en", 1, "b", big - 7), ("en", 2, "a b", big - 11)]
+    frame = spark.createDataFrame(counted, "lang string, size int, phrase string, f bigint")
+    found = phrase_mining.score_phrases(frame).first()
+    assert found["score"] == 1000 * (big - 11) * 3 * big // (big * (big - 7))
+
+
+# ---- prefix trie -----------------------------------------------------------------------------------
+
+
+def _talks(n, seed):
+    """Turns of conversations with many shared beginnings, copies, and very unlike depths."""
+    rng = random.Random(seed)
+    for conv in range(n):
+        turns = [rng.choice("ab") * rng.randrange(1, 3) for _ in range(rng.choice([0, 1, 1, 2, 3, 6, 12]))]
+        yield from ((conv, k, "user", text) for k, text in enumerate(turns))
+
+
+@pytest.mark.parametrize("partition_bytes", [300, 2000, 1 << 20])
+def test_trie_over_many_partitions_and_rounds(spark, partition_bytes):
+    chats = list(_talks(300, 4)) + [(900 + k, 0, "user", "hot") for k in range(120)]
+    frame = spark.createDataFrame(chats, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    found = prefix_trie.trie(frame, partition_bytes=partition_bytes)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(brute.trie(chats), key=repr)
+
+
+@quick
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=5), min_size=1, max_size=12), st.integers(1, 6))
+def test_forests_of_parts_contract_to_the_whole(talks, parts):
+    """Any cut of the sorted paths into partitions gives the nodes of one forest over all."""
+    paths = sorted((b"".join(c.encode() * prefix_trie.WIDTH for c in talk), k) for k, talk in enumerate(talks))
+
+    def lengths(path):
+        return b"".join((1 + path[k]).to_bytes(8, "little") for k in range(0, len(path), prefix_trie.WIDTH))
+
+    def forest(items, whole):
+        own = [p for p, _ in items]
+        return own, prefix_trie.Forest(own, [lengths(p) for p in own], [a for _, a in items], whole)
+
+    def told(own, made):
+        return {(own[c][: d * prefix_trie.WIDTH], *rest[:-1]) for c, d, *rest in made.nodes}
+
+    items = [(p, {len(p) // prefix_trie.WIDTH: [1, k, 0, 0, 0]}) for p, k in paths]
+    own, made = forest([(p, {d: list(x) for d, x in a.items()}) for p, a in items], True)
+    want, found, spines = told(own, made), set(), []
+    for part in np.array_split(np.arange(len(items)), parts):
+        if len(part):
+            own, made = forest([items[i] for i in part], False)
+            found |= told(own, made)
+            spines += [(own[at], adds) for at, adds in made.spines.items()]
+    own, made = forest(sorted(spines, key=lambda x: x[0]), True)
+    assert found | told(own, made) == want and not found & told(own, made)

@@ -110,3 +110,23 @@ def test_byte_bpe(spark, tables):
         expected.append((doc, len(ids), digest, brute.sha(text or "")))
     found = QUERIES["op10_byte_bpe"](spark, tables)
     same(rows(found, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), expected)
+
+
+def test_minhash_bayes(spark, tables):
+    found = QUERIES["op11_minhash_bayes"](spark, tables)
+    # a row without an id is kept if no row of an id has its class
+    expected = [(doc, n, component, doc == component) for doc, n, component, _ in brute.similar(TEXTS)]
+    assert sum(not r[3] for r in expected) > 15
+    same(rows(found, "doc_id", "n_shingles", "component_id", "kept"), expected)
+
+
+def test_phrase_mining(spark, tables):
+    found = QUERIES["op12_phrase_mining"](spark, tables)
+    expected = brute.phrases([(lang, text) for _, text, lang, *_ in DOCUMENTS])
+    assert expected
+    same(rows(found, "lang", "rank", "phrase", "a", "l", "r", "n", "score"), expected)
+
+
+def test_prefix_trie(spark, tables):
+    names = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    same(rows(QUERIES["op13_prefix_trie"](spark, tables), *names), brute.trie(make_chats()))
