@@ -2,12 +2,14 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from pairwise.constants import COLUMN_ALIASES, REQUIRED_FIELDS
 from pairwise.functions.scalar import strip
 from pairwise.operators.ordinal import FILE_POSITION, with_file_position, with_row_numbers
+from pairwise.session import stage
 from pairwise.sources.listing import by_header, escaped, table_files
+from pairwise.sources.quoted import scan_quoted
 
 
 def resolve_columns(header: list[str]) -> dict[str, str | None]:
@@ -50,7 +52,6 @@ def scan_csv(
     width: int,
     columns: dict[str, int],
     strict: bool = True,
-    multi_line: bool = False,
 ) -> DataFrame:
     """Text columns by position: ``columns`` maps the wanted names to places in the header.
 
@@ -59,7 +60,7 @@ def scan_csv(
     """
     names = [f"_c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_raw"]])
-    options = {"header": True, "escape": '"', "multiLine": multi_line, "columnPruning": False}
+    options = {"header": True, "escape": '"', "columnPruning": False}
     options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"}
     rows = spark.read.schema(schema).options(**options).csv(path)
     if strict:
@@ -74,17 +75,30 @@ def scan_csv(
 def read_interactions(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     """Rows of a CSV in file order with 1-based ``row_no``.
 
-    Every file is read by its own header. ``multi_line`` accepts line breaks inside quotes; each
-    file is then one task.
+    Every file is read by its own header. ``multi_line`` accepts line breaks inside quotes; such files are
+    split all the same (see ``sources.quoted``). A header cell holds no line break.
     """
-    parts = []
+    parts, totals = [], []
     for header, files in by_header(spark, table_files(spark, path)).items():
         found = {f: header.index(name) for f, name in checked_columns(list(header)).items() if name}
         paths = [escaped(p) for p in files]
-        rows = with_file_position(scan_csv(spark, paths, len(header), found, multi_line=multi_line))
+        if multi_line:
+            rows, counts = scan_quoted(spark, paths, len(header), found)
+            totals.append(counts)
+        else:
+            rows = with_file_position(scan_csv(spark, paths, len(header), found))
         if "label" not in found:
             rows = rows.withColumn("label", F.lit(""))
-        parts.append(rows.select(FILE_POSITION, *COLUMN_ALIASES))
+        parts.append(rows.select(*["file", "record"] if multi_line else [FILE_POSITION], *COLUMN_ALIASES))
     if not parts:
         raise FileNotFoundError(f"no interaction file with a header in {path}")
-    return with_row_numbers(clean_fields(reduce(DataFrame.unionByName, parts)))
+    rows = clean_fields(reduce(DataFrame.unionByName, parts))
+    return with_file_offsets(rows, reduce(DataFrame.unionByName, totals)) if multi_line else with_row_numbers(rows)
+
+
+def with_file_offsets(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """``row_no`` over all files in the order of their names, from the record number within each."""
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    offsets = totals.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_before"))
+    joined = rows.join(stage(offsets, "file-offsets"), "file")
+    return joined.select((F.col("record") + F.col("_before")).alias("row_no"), *COLUMN_ALIASES)
