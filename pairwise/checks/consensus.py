@@ -208,15 +208,8 @@ def _export_models(spark, d):
     return rounded(found.withColumns(numbers))
 
 
-@register(
-    "prediction_files",
-    f"""WITH {inputs.PREDICTIONS}
-SELECT model_type, model_name, protein_id, compound_id, prediction::DOUBLE AS prediction, 0.5::DOUBLE AS probability_0,
-       round(probability_1, 6) AS probability_1, round(confidence, 6) AS confidence
-FROM fx_predictions""",
-)
-def _prediction_files(spark, d):
-    """A run folder with a file for each model, written from the predictions and read back."""
+def _written_run(spark, d):
+    """A run folder with a file for each model, written from the predictions."""
     frame = inputs.predictions(spark, d).drop("probability_0")
     run = f"{staging_path(spark, 'run')}/batch_prediction_1"
     with_folders = frame.withColumns(
@@ -231,7 +224,69 @@ def _prediction_files(spark, d):
         to = hadoop_path(spark, f"{run}/{folder.split('=')[1]}/{name.split('=')[1]}")[1]
         disk.mkdirs(to.getParent())
         disk.rename(at, to)
-    return rounded(sources.read_predictions(spark, run))
+    return run
+
+
+@register(
+    "prediction_files",
+    f"""WITH {inputs.PREDICTIONS}
+SELECT model_type, model_name, protein_id, compound_id, prediction::DOUBLE AS prediction, 0.5::DOUBLE AS probability_0,
+       round(probability_1, 6) AS probability_1, round(confidence, 6) AS confidence
+FROM fx_predictions""",
+)
+def _prediction_files(spark, d):
+    """The run read back."""
+    return rounded(sources.read_predictions(spark, _written_run(spark, d)))
+
+
+@register(
+    "discovered_files",
+    f"""WITH {inputs.PREDICTIONS}
+SELECT model_type AS model_dir, model_name, 'protein_id,compound_id,prediction,probability_1,confidence' AS header,
+       count(*) AS records
+FROM fx_predictions GROUP BY model_type, model_name""",
+)
+def _discovered_files(spark, d):
+    """The catalogue of a written run, with the records that stand below each header."""
+    run = _written_run(spark, d)
+    listed = runs.discovered_models(spark, run).select("model_dir", "model_name", F.array_join("header", ",").alias("header"))
+    read = sources.union_models(sources.read_raw_models(spark, run))
+    counted = read.groupBy(F.col("model_type").alias("model_dir"), "model_name").agg(F.count("*").alias("records"))
+    return listed.join(counted, ["model_dir", "model_name"])
+
+
+@register(
+    "run_catalogue",
+    """WITH counted AS (
+  SELECT source, count(*) AS total, count(*) FILTER (quality = 1) AS done
+  FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)
+SELECT concat(source, '_features_', total) AS run_dir,
+       CASE WHEN done * 2 > total THEN 'complete' ELSE 'incomplete' END AS status,
+       done AS proteins_processed, total AS total_proteins, 0::BIGINT AS compounds_processed, total AS total_compounds
+FROM counted ORDER BY run_dir""",
+)
+def _run_catalogue(spark, d):
+    """A folder for each source of the documents, with a record of its progress, and the catalogue of these."""
+    docs, labels = inputs.table(spark, d, "documents"), inputs.table(spark, d, "labels")
+    counted = docs.join(labels, "doc_id", "left").groupBy("source").agg(
+        F.count("*").alias("total_proteins"), F.count_if(F.col("quality") == 1).alias("proteins_processed")
+    )
+    fields = {
+        "total_compounds": F.col("total_proteins"),
+        "completed": F.col("proteins_processed") * 2 > F.col("total_proteins"),
+    }
+    records = counted.withColumns(fields)
+    run = F.concat("source", F.lit("_features_"), F.col("total_proteins").cast("string")).alias("run")
+    top = staging_path(spark, "catalogue")
+    body = F.to_json(F.struct(*[c for c in records.columns if c != "source"])).alias("value")
+    records.select(run, body).repartition("run").write.partitionBy("run").text(f"{top}/parts")
+    # one part file for each run: give it the name that a run has
+    for part in find_files(spark, f"{top}/parts/*/part-*"):
+        disk, at = hadoop_path(spark, part)
+        to = hadoop_path(spark, f"{top}/{part.split('/')[-2].removeprefix('run=')}/progress.json")[1]
+        disk.mkdirs(to.getParent())
+        disk.rename(at, to)
+    return runs.resumable_runs(spark, top)
 
 
 @register(

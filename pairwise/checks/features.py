@@ -19,6 +19,7 @@ from pairwise.session import staging_path
 from pairwise.sinks import files, tables
 from pairwise.sources import interactions
 from pairwise.sources.profiles import parse_profiles, with_profile_flag
+from pairwise.sources.store import extend_store
 
 QUERIES = {}
 SQL = {}
@@ -320,6 +321,28 @@ def _cached_features(spark, d):
     return entities.with_cached(unique, _stored_lengths(spark, d), "accession", compute)
 
 
+@register(
+    "store_resume",
+    f"""{ENTITIES}, {inputs.STORE}
+SELECT accession, length(sequence) AS sequence_length,
+       CASE WHEN accession IN (SELECT accession FROM fx_store) THEN 'first' ELSE 'second' END AS origin
+FROM proteins""",
+)
+def _store_resume(spark, d):
+    """A store filled by one run with the finished proteins, in batches, and by a second one with the others."""
+    unique = entities.unique_proteins(inputs.interactions(spark, d))
+    done = unique.join(inputs.store_keys(spark, d), "accession", "left_semi")
+    path = staging_path(spark, "store")
+
+    def computed_by(run):
+        length = F.length("sequence").cast("long").alias("sequence_length")
+        return lambda todo: todo.select("accession", length, F.lit(run).alias("origin"))
+
+    half = max(1, -(-done.count() // 2))
+    extend_store(done, path, "accession", computed_by("first"), commit=half)
+    return extend_store(unique, path, "accession", computed_by("second"))
+
+
 @register(
     "progress_percent",
     f"""{ENTITIES}, {inputs.STORE}, n AS (
@@ -672,3 +695,28 @@ def _interaction_files(spark, d):
     path = staging_path(spark, "interactions")
     files.write_csv(files.in_row_order(written).drop("row_no"), path)
     return interactions.read_interactions(spark, path)
+
+
+@register(
+    "quoted_interactions",
+    f"""SELECT row_number() OVER (ORDER BY doc_id) AS row_no,
+       CASE WHEN doc_id % 97 = 5 THEN '' ELSE concat('P', doc_id // 3) END AS accession,
+       upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence, concat('C', doc_id // 2) AS compound_cid,
+       trim(replace(text, '. ', '."' || chr(10) || ',"'), {inputs.SPACES}) AS smile, source AS label
+FROM documents""",
+)
+def _quoted_interactions(spark, d):
+    """The documents as a CSV whose cells are full of quotes and line breaks, written in order and read back in splits."""
+    rows = inputs.documents(spark, d, "doc_id", "text", "source")
+    accession = F.when(F.col("doc_id") % 97 == 5, "").otherwise(F.concat(F.lit("P"), F.expr("doc_id div 3")))
+    written = rows.select(
+        (F.col("doc_id") + 1).alias("row_no"),
+        F.replace("text", F.lit(". "), F.lit('."\n,"')).alias("Smile"),
+        accession.alias("ProteinID"),
+        F.regexp_replace("text", "[^A-Za-z]", "").alias("Seq"),
+        F.concat(F.lit("C"), F.expr("doc_id div 2")).alias("CID"),
+        F.col("source").alias("Label"),
+    )
+    path = staging_path(spark, "quoted")
+    files.write_csv(files.in_row_order(written).drop("row_no"), path)
+    return interactions.read_interactions(spark, path, multi_line=True)

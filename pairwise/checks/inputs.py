@@ -63,7 +63,7 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Trimmed characters: the same list as the engine's.
-_SPACES = "' ' || " + " || ".join(
+SPACES = "' ' || " + " || ".join(
     f"chr({n})"
     for n in [*range(9, 14), *range(28, 32), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 )
@@ -74,7 +74,7 @@ fx_interactions AS (
          CASE WHEN doc_id % 97 = 5 THEN '' ELSE concat('P', doc_id // 3) END AS accession,
          upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence,
          CASE WHEN doc_id % 89 = 7 THEN '' ELSE concat('C', doc_id // 2) END AS compound_cid,
-         trim(text, {_SPACES}) AS smile, CAST(n_chars % 2 AS VARCHAR) AS label
+         trim(text, {SPACES}) AS smile, CAST(n_chars % 2 AS VARCHAR) AS label
   FROM documents)"""
 
 

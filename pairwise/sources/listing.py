@@ -1,4 +1,4 @@
-"""Input files by the Hadoop file system: names that Spark's readers hide, and header lines."""
+"""Input files by the Hadoop file system, and header lines."""
 
 import csv
 import io
@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import SparkSession
 
-from pairwise.session import hadoop_path, staging_path
+from pairwise.session import hadoop_path
 
 
 def find_files(spark: SparkSession, pattern: str) -> list[str]:
@@ -39,24 +39,6 @@ def escaped(path: str) -> str:
     return "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in path)
 
 
-def visible(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """Original path -> a path that Spark reads. Files of hidden names are copied to the shared folder.
-
-    The copy is a stream of the file system client and happens for such names only.
-    """
-    shown = {}
-    for path in paths:
-        files, at = hadoop_path(spark, path)
-        if at.getName()[0] in "._":
-            target, to = hadoop_path(spark, f"{staging_path(spark, 'hidden')}/file-{at.getName()}")
-            conf = spark.sparkContext._jsc.hadoopConfiguration()
-            spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(files, at, target, to, False, conf)
-            shown[path] = target.makeQualified(to).toString()
-        else:
-            shown[path] = path
-    return shown
-
-
 def header_cells(spark: SparkSession, path: str) -> list[str]:
     """Cells of a CSV file's first line that is not empty; only that line is read, without a Spark job."""
     jvm = spark.sparkContext._jvm

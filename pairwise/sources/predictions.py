@@ -1,15 +1,16 @@
 """Per-model prediction tables, read into one long frame."""
 
 import logging
-import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairwise.functions.scalar import number
-from pairwise.session import exact_names
+from pairwise.session import exact_names, stage
+from pairwise.sources.catalogue import hidden_lines, is_hidden
 from pairwise.sources.interactions import scan_csv
-from pairwise.sources.listing import distinct_names, escaped, header_cells, visible
+from pairwise.sources.listing import distinct_names, escaped
+from pairwise.sources.quoted import parse_records
 from pairwise.sources.runs import (
     decoded_path,
     discovered_models,
@@ -59,53 +60,59 @@ def read_raw_models(spark: SparkSession, run_dir: str | None = None, base: str |
     With a summary the models it names are read where their files exist, else every prediction
     file found. A file whose header cannot be read is logged and left out. Repeated and empty header
     cells get names of their own; columns named like the model keys are kept under ``OWN`` names.
-    The listing holds one row per model, so it may pass through the driver; the data does not.
+    The executors read the headers; the driver gets one row per distinct header, with the paths that the
+    scan of its files needs. Files whose names Spark's readers hide are read on the executors as well.
     """
     run_dir = run_dir or latest_run(spark, base)
     if run_dir is None:
         raise FileNotFoundError("no prediction run found")
-    listed = discovered_models(spark, run_dir)
+    listed = stage(discovered_models(spark, run_dir), "catalogue")
     summary = summary_texts(spark, run_dir)
     if names_types(summary, "value"):
         models = listed.join(summary_models(summary, "value"), ["model_dir", "model_name"])
     else:
         models = listed.withColumn("model_type", F.col("model_dir"))
-    # one row per model
-    entries = models.select("model_type", "model_name", "path").collect()
-    by_cells: dict[tuple[str, ...], set[str]] = {}
-    for path in sorted({entry["path"] for entry in entries}):
-        try:
-            cells = tuple(header_cells(spark, path))
-        except Exception as error:
-            log.warning("skipped %s: %s", path, error)
-            continue
-        if cells:
-            by_cells.setdefault(cells, set()).add(path)
-        else:
-            log.warning("skipped %s: no header", path)
-    shown = visible(spark, sorted(set().union(*by_cells.values())))
-    types = spark.createDataFrame(
-        [(local_form(shown[e["path"]]), e["model_type"], e["model_name"]) for e in entries if e["path"] in shown],
-        "_path string, model_type string, model_name string",
-    )
+    for skipped in models.filter(F.coalesce(F.size("header"), F.lit(0)) < 1).toLocalIterator():
+        log.warning("skipped %s: %s", skipped["path"], skipped["error"] or "no header")
+    types = models.select(local_form(F.col("path")).alias("_path"), "model_type", "model_name")
+    headers = models.filter(F.size("header") > 0).groupBy("header").agg(F.sort_array(F.collect_set("path")).alias("paths"))
     frames = []
-    for cells, paths in by_cells.items():
-        names = distinct_names(list(cells))
+    for row in headers.orderBy(F.array_join("header", ",")).toLocalIterator():
+        names = distinct_names(list(row["header"]))
         places = {f"own_{n}" if n in KEYS else n: i for i, n in enumerate(names)}
-        files = [escaped(shown[p]) for p in sorted(paths)]
-        with exact_names(spark):
-            rows = scan_csv(spark, files, len(cells), places, strict=False)
-            path = F.regexp_replace(decoded_path(F.col("_metadata.file_path")), "^file:/+", "file:/")
-            tagged = rows.select(*[F.col(f"`{c}`") for c in places], path.alias("_path"))
-            frames.append(tagged.join(types, "_path").drop("_path"))
+        frames += [_tagged(f, types, places) for f in _scans(spark, row["paths"], places)]
     if not frames:
         raise FileNotFoundError(f"no readable prediction file in {run_dir}")
     return frames
 
 
-def local_form(path: str) -> str:
+def _scans(spark: SparkSession, paths: list[str], places: dict[str, int]):
+    """The cells of files of one header, with ``_path``."""
+    shown = [escaped(p) for p in paths if not is_hidden(p)]
+    hidden = [p for p in paths if is_hidden(p)]
+    with exact_names(spark):
+        if shown:
+            rows = scan_csv(spark, shown, len(places), places, strict=False)
+            yield rows.select(*_plain(places), decoded_path(F.col("_metadata.file_path")).alias("_path"))
+        if hidden:
+            lines = hidden_lines(spark, hidden).withColumnsRenamed({"path": "_path", "line": "text"})
+            yield parse_records(lines, len(places), places, strict=False)
+
+
+def _plain(places: dict[str, int]):
+    return [F.col(f"`{c}`") for c in places]
+
+
+def _tagged(rows: DataFrame, types: DataFrame, places: dict[str, int]) -> DataFrame:
+    """Cells with the type and name of their file's model."""
+    with exact_names(rows.sparkSession):
+        named = rows.withColumn("_path", local_form(F.col("_path"))).join(types, "_path")
+        return named.select(*_plain(places), "model_type", "model_name")
+
+
+def local_form(path: Column) -> Column:
     """Paths of the local file system come with one slash or three."""
-    return re.sub("^file:/+", "file:/", path)
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def read_predictions(spark: SparkSession, run_dir: str | None = None, base: str | None = None):

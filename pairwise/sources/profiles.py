@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairwise.functions.scalar import strip
-from pairwise.sources.listing import escaped, find_files, visible
+from pairwise.sources.catalogue import hidden_texts
+from pairwise.sources.listing import find_files
 from pairwise.sources.runs import decoded_path
 
 SCORES = slice(2, 22)  # tokens of a data row that hold the 20 scores
@@ -53,13 +54,13 @@ def parse_profiles(files: DataFrame, key: str, text: str) -> DataFrame:
 
 def profile_texts(spark: SparkSession, directory: str) -> DataFrame:
     """``stem, value``: every ``*.pssm`` file as one row, names that begin with ``_`` or ``.`` included."""
-    hidden = visible(spark, find_files(spark, f"{directory.rstrip('/')}/[_.]*.pssm"))
+    hidden = find_files(spark, f"{directory.rstrip('/')}/[_.]*.pssm")
     files = spark.read.option("pathGlobFilter", "*.pssm").text(directory, wholetext=True)
     name = F.element_at(F.split(decoded_path(F.col("_metadata.file_path")), "/"), -1)
     texts = files.select(name.alias("name"), "value")
     if hidden:
-        copies = spark.read.text([escaped(p) for p in hidden.values()], wholetext=True)
-        texts = texts.unionByName(copies.select(F.regexp_replace(name, "^file-", "").alias("name"), "value"))
+        own = F.element_at(F.split("path", "/"), -1).alias("name")
+        texts = texts.unionByName(hidden_texts(spark, hidden).select(own, "value"))
     return texts.select(F.regexp_replace("name", r"\.pssm$", "").alias("stem"), "value")
 
 

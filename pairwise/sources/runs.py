@@ -3,7 +3,8 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pairwise.sources.listing import find_files, find_folders
+from pairwise.sources.catalogue import discovered_files
+from pairwise.sources.listing import find_folders
 
 RUN_PREFIX = "batch_prediction_"
 SUMMARY_FILE = "prediction_summary.json"
@@ -74,13 +75,10 @@ def summary_texts(spark: SparkSession, run_dir: str) -> DataFrame:
 
 
 def discovered_models(spark: SparkSession, run_dir: str) -> DataFrame:
-    """``model_dir, model_name, path`` of each prediction file one level below the run."""
-    found = []
-    for path in find_files(spark, f"{run_dir.rstrip('/')}/*/*{PREDICTION_SUFFIX}"):
-        *_, folder, name = path.split("/")
-        if not folder.startswith("."):
-            found.append((folder, name.replace(PREDICTION_SUFFIX, ""), path))
-    return spark.createDataFrame(found, "model_dir string, model_name string, path string")
+    """``model_dir, model_name, path, bytes, header, error`` of each prediction file one level below the run."""
+    found = discovered_files(spark, run_dir, PREDICTION_SUFFIX)
+    name = F.replace("name", F.lit(PREDICTION_SUFFIX), F.lit(""))
+    return found.select(F.col("folder").alias("model_dir"), name.alias("model_name"), "path", "bytes", "header", "error")
 
 
 PROGRESS_SCHEMA = """
