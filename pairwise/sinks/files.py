@@ -7,14 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairwise.operators import assemble
 from pairwise.operators.consensus import by_score
-from pairwise.operators.ordinal import FILE_POSITION, with_file_position, with_row_numbers
 from pairwise.params import ConsensusParams
 from pairwise.session import exact_names, stage
 from pairwise.sinks import tables
 from pairwise.sinks.report import report
-from pairwise.sources.interactions import scan_csv
-from pairwise.sources.listing import header_cells, table_files
+from pairwise.sources.listing import escaped, header_cells, table_files
 from pairwise.sources.predictions import KEYS, OWN
+from pairwise.sources.quoted import numbered, scan_quoted
 
 # Without these Spark writes "" for an empty text, escapes quotes with a backslash and trims cells.
 CSV_OPTIONS = {
@@ -96,9 +95,8 @@ def written_rows(spark: SparkSession, path: str, flagged: bool = False) -> DataF
         return spark.createDataFrame([], "row_no long, accession string, compound_cid string, position long")
     places = {name: header.index(column) for name, column in wanted.items()}
     # a compound string may hold line breaks
-    scanned = with_file_position(scan_csv(spark, folder, len(header), places, multi_line=True))
-    numbered = with_row_numbers(scanned.select(FILE_POSITION, *wanted), "position")
-    return numbered.withColumns(
+    scanned, totals = scan_quoted(spark, [escaped(p) for p in parts], len(header), places)
+    return numbered(scanned, totals, "position", list(wanted)).withColumns(
         {
             "row_no": F.col("row_no").cast("long"),
             "accession": F.coalesce("accession", F.lit("")),

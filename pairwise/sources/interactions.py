@@ -2,14 +2,13 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pairwise.constants import COLUMN_ALIASES, REQUIRED_FIELDS
 from pairwise.functions.scalar import strip
 from pairwise.operators.ordinal import FILE_POSITION, with_file_position, with_row_numbers
-from pairwise.session import stage
 from pairwise.sources.listing import by_header, escaped, table_files
-from pairwise.sources.quoted import scan_quoted
+from pairwise.sources.quoted import numbered, scan_quoted
 
 
 def resolve_columns(header: list[str]) -> dict[str, str | None]:
@@ -93,12 +92,6 @@ def read_interactions(spark: SparkSession, path, multi_line: bool = False) -> Da
     if not parts:
         raise FileNotFoundError(f"no interaction file with a header in {path}")
     rows = clean_fields(reduce(DataFrame.unionByName, parts))
-    return with_file_offsets(rows, reduce(DataFrame.unionByName, totals)) if multi_line else with_row_numbers(rows)
-
-
-def with_file_offsets(rows: DataFrame, totals: DataFrame) -> DataFrame:
-    """``row_no`` over all files in the order of their names, from the record number within each."""
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    offsets = totals.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_before"))
-    joined = rows.join(stage(offsets, "file-offsets"), "file")
-    return joined.select((F.col("record") + F.col("_before")).alias("row_no"), *COLUMN_ALIASES)
+    if multi_line:
+        return numbered(rows, reduce(DataFrame.unionByName, totals), "row_no", list(COLUMN_ALIASES))
+    return with_row_numbers(rows)

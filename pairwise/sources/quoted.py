@@ -204,3 +204,11 @@ def scan_quoted(spark: SparkSession, paths: list[str], width: int, columns: dict
     below = records.filter("record > 1").withColumn("record", F.col("record") - 1)
     totals = starts.groupBy("file").agg(F.greatest(F.sum("rows") - 1, F.lit(0)).alias("rows"))
     return parse_records(below, width, columns, strict), totals
+
+
+def numbered(rows: DataFrame, totals: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """The record's number over all files in the order of their names, as ``name``, and the wanted columns."""
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    offsets = totals.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_before"))
+    joined = rows.join(stage(offsets, "file-offsets"), "file")
+    return joined.select((F.col("record") + F.col("_before")).alias(name), *columns)

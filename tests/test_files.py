@@ -404,7 +404,7 @@ def test_feature_run(spark, tmp_path, flagged):
         run_features(spark, *args, str(tmp_path / "new"), flagged, resume=False)
     # a second run finds everything in the store
     run_features(spark, *args, str(tmp_path / "again"), flagged)
-    assert spark.read.parquet(str(tmp_path / "store/proteins")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "store/proteins/data")).count() == 2
     assert read_parts(tmp_path / "again/combined_features") == combined
 
 
