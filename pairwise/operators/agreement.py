@@ -1,11 +1,15 @@
 """Agreement of models on their positive pairs."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairwise.functions.scalar import percent, stable_mean
 from pairwise.operators.pairs import PAIR, model_list
 
-WORD = 62  # models per bit-mask word
+BLOCK = 512  # models of a block; a product of two blocks has 2 MB
+MATRICES = 64  # products that a task holds
+LISTS = 2048  # lists of models that are multiplied at a time
 
 
 def is_positive() -> Column:
@@ -53,37 +57,96 @@ def numbered_models(predictions: DataFrame) -> DataFrame:
 
 
 def overlap_counts(predictions: DataFrame, models: DataFrame, n: int) -> DataFrame:
-    """``a, b, shared``: pairs that models ``a`` and ``b`` both call positive, for all a and b.
-
-    The models of a pair become a bit mask (``bit_or`` is idempotent and combines before the
-    shuffle, so repeats and frequent pairs cost nothing extra). Equal masks are counted, then each
-    mask is opened into its models and every model sums the masks that also hold model 0, 1, …:
-    rows grow with the models of a mask, never with pairs of models.
+    """``a, b, shared``: pairs that models ``a`` and ``b`` both call positive, where there are any.
+
+    The models of a pair become a sorted list of their indexes (sets combine before the shuffle, so repeats
+    and frequent pairs cost nothing extra), and equal lists are counted. Lists times their counts are then
+    multiplied as a 0/1 matrix with itself, in blocks of models: each task adds up its own products and
+    sends one small matrix for each two blocks, which are added block by block. The number of models is
+    data: it changes neither the plan nor the number of rows that are shuffled, and no pairs of models are
+    emitted before the result.
     """
-    words = range((n + WORD - 1) // WORD)
     # models: one row per model
     hits = predictions.filter(is_positive()).join(
-        F.broadcast(models.select("model_type", "model_name", "index")),
+        F.broadcast(models.select("model_type", "model_name", F.col("index").cast("int").alias("index"))),
         ["model_type", "model_name"],
     )
-    bit = F.expr(f"shiftleft(1L, index % {WORD})")
-    word = F.floor(F.col("index") / WORD)
-    masks = hits.groupBy(*PAIR).agg(
-        *[F.bit_or(F.when(word == w, bit).otherwise(F.lit(0))).alias(f"w{w}") for w in words]
-    )
-    distinct = masks.groupBy(*[f"w{w}" for w in words]).agg(F.count("*").alias("pairs"))
-
-    def has(i: int) -> Column:
-        return F.getbit(f"w{i // WORD}", F.lit(i % WORD)) == 1
+    lists = hits.groupBy(*PAIR).agg(F.sort_array(F.collect_set("index")).alias("members"))
+    counted = lists.groupBy("members").agg(F.count("*").alias("pairs"))
+    width = max(1, min(BLOCK, n))
+    products = counted.select("members", "pairs").mapInArrow(_multiplier(width), "i int, j int, product binary")
+    dealt = products.repartition("i", "j").sortWithinPartitions("i", "j")
+    return dealt.mapInArrow(_matrix_adder(width), "a int, b int, shared bigint")
+
+
+def _multiplier(width: int):
+    """Products of the lists of a task by pairs of blocks of models, each block ``width`` models wide."""
+
+    def multiply(batches):
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, LISTS):
+                part = batch.slice(start, LISTS)
+                members = part.column("members")
+                model = members.flatten().to_numpy()
+                row = np.repeat(np.arange(part.num_rows), members.value_lengths().to_numpy(zero_copy_only=False))
+                pairs = part.column("pairs").to_numpy().astype(float)
+                block = model // width
+                dense = {}
+                for k in np.unique(block).tolist():
+                    own = block == k
+                    dense[k] = np.zeros((part.num_rows, width))
+                    dense[k][row[own], model[own] % width] = 1.0
+                for i, left in dense.items():
+                    weighted = (left * pairs[:, None]).T
+                    for j, right in dense.items():
+                        if j >= i:
+                            product = np.rint(weighted @ right).astype(np.int64)
+                            held[i, j] = held[i, j] + product if (i, j) in held else product
+                if len(held) > MATRICES:
+                    yield _matrices(held)
+                    held = {}
+        yield _matrices(held)
+
+    return multiply
+
+
+def _matrices(held: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    columns = [
+        pa.array([i for i, _ in held], pa.int32()), pa.array([j for _, j in held], pa.int32()),
+        pa.array([m.tobytes() for m in held.values()], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["i", "j", "product"])
+
+
+def _matrix_adder(width: int):
+    """Streams (i, j, product) sorted by block pair: the cells of each sum, and their mirror images."""
+
+    def cells(key, total):
+        a, b = np.nonzero(total)
+        shared = total[a, b]
+        a, b = a + key[0] * width, b + key[1] * width
+        if key[0] != key[1]:
+            a, b, shared = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([shared, shared])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(shared)], ["a", "b", "shared"]
+        )
 
-    members = F.array_compact(F.array(*[F.when(has(i), F.lit(i)) for i in range(n)]))
-    opened = distinct.select("*", F.explode(members).alias("a"))
-    sums = opened.groupBy("a").agg(
-        F.array(
-            *[F.sum(F.when(has(b), F.col("pairs")).otherwise(0)) for b in range(n)]
-        ).alias("row")
-    )
-    return sums.select("a", F.posexplode("row").alias("b", "shared"))
+    def add(batches):
+        key, total = None, None
+        for batch in batches:
+            for i, j, product in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                matrix = np.frombuffer(product, np.int64).reshape(width, width)
+                if (i, j) == key:
+                    total += matrix
+                else:
+                    if key:
+                        yield cells(key, total)
+                    key, total = (i, j), matrix.copy()
+        if key:
+            yield cells(key, total)
+
+    return add
 
 
 def jaccard(predictions: DataFrame, models: DataFrame | None = None) -> DataFrame:
