@@ -4,17 +4,18 @@
    a 128-bit digest, so copies never meet. Each entry gets a signature of ``ROWS`` x ``BANDS`` min-hashes.
 2. Entries that agree on all rows of a band are candidates. A pair at the threshold agrees nowhere with
    probability (1 - 0.8 ** 4) ** 32 = 5e-8.
-3. A candidate pair is compared signature batch by signature batch. After n rows with m agreements its
+3. Entries that meet in a bucket, directly or over others, form a crowd. The entries' sets are formed anew
+   from one text each and sent to their crowd, once. A crowd of more than ``CROWD`` entries is not followed
+   as a whole: its entries meet in their buckets instead.
+4. Within a crowd a pair is compared signature batch by signature batch. After n rows with m agreements its
    similarity has the posterior Beta(1 + m, 1 + n - m); the pair is dropped once the probability of 0.8 or
-   more is under ``MISS``. Survivors are verified on their full sets, fetched from the texts.
-4. In the first round the entries of a band bucket are compared with the smallest of them only. What is
-   linked then needs no more comparison: later rounds compare entries of a bucket that stand in different
-   components, and propose the likeliest untested pairs of two components, 1, then 8, then 64 and so on,
-   until no pair of two components is left untested. A bucket of m copies of one text thus costs m pairs;
-   no link between different components is left out, none within one is emitted.
+   more is under ``MISS``. Survivors are verified on their full sets. Entries that are linked already, over
+   whatever links, are not compared any more, so a crowd returns a spanning forest of its links, at most
+   one row an entry, and never its pairs.
 
-Buckets are found by aggregates and joins, so a hot one is split by Spark. Buckets of more than ``BUCKET``
-entries of several components are compared as pairs of chunks of that size.
+Crowds and buckets of more than ``CHUNK`` entries or ``CHUNK_BYTES`` of sets are compared as pairs of chunks of
+that size, each in a task of its own, so memory is bounded; time grows with the square of a crowd only where
+its members are not linked. Buckets are found by aggregates and joins, so a hot one is split by Spark.
 
 Words are runs of other than ASCII white space, A-Z lower-cased. A text of fewer words than a shingle is
 one shingle. Null and empty texts have no shingle and are linked with nothing. A document is a row: rows
@@ -41,8 +42,11 @@ ROWS, BANDS = 4, 32
 BATCH = 32  # rows of a signature that are compared at a time
 NUMERATOR, DENOMINATOR = 80, 100  # linked: DENOMINATOR * intersection >= NUMERATOR * union
 MISS = 1e-6
-BUCKET = 4096
-_CHUNK = 4096
+CROWD = 1 << 17  # entries; a crowd of so many chunks sends a set as often as its 32 buckets would
+CHUNK = 4096
+CHUNK_BYTES = 16 << 20
+FEW = 16
+_COLUMNS = 4096  # shingles that are min-hashed at a time
 _PLACES = tuple(np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _SET = "doc_id bigint, body bigint, digest binary, n bigint, signature binary"
 
@@ -84,8 +88,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     a, b = _multipliers()
     least = np.full(len(a), 0xFFFFFFFF, np.uint64)
     short = shingles >> np.uint64(32)
-    for k in range(0, len(short), _CHUNK):
-        np.minimum(least, ((short[None, k : k + _CHUNK] * a + b) >> np.uint64(32)).min(axis=1), out=least)
+    for k in range(0, len(short), _COLUMNS):
+        np.minimum(least, ((short[None, k : k + _COLUMNS] * a + b) >> np.uint64(32)).min(axis=1), out=least)
     return least.astype("<u4")
 
 
@@ -168,183 +172,185 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part.ravel().view(np.int64)), pa.array(sid)], ["part", "sid"])
 
 
-def _likely(miss: float):
-    """Pairs of entries with both signatures: those that no batch rules out."""
-
-    def rows(batches):
-        for batch in batches:
-            if batch.num_rows:
-                found = agreements(
-                    _signatures(batch.column("s")), _signatures(batch.column("t")), np.arange(batch.num_rows), miss
-                )
-                yield batch.select(["a", "b"]).filter(pa.array(found >= 0))
-
-    return rows
+class Crowd:
+    """Entries that are compared with each other. ``side``: entries of one side are not, unless it is negative."""
 
+    def __init__(self, sid: np.ndarray, side: np.ndarray, rows: np.ndarray, sets: list[np.ndarray], miss: float):
+        self.sid, self.side, self.rows, self.sets, self.miss = sid, side, rows, sets, miss
+        self.size = np.array([len(s) for s in sets])
+        self.root = np.arange(len(sid))
+        self.postings = None
 
-def _proposer(limit: int, miss: float):
-    """Streams (part, left, comp, sid, signature, side) sorted by bucket: the likeliest pairs of two components each."""
+    def links(self) -> list[tuple[int, int]]:
+        out = []
+        for i in range(len(self.sid) - 1):
+            rest = slice(i + 1, None)
+            apart = (self.root[rest] != self.root[i]) & ((self.side[rest] != self.side[i]) | (self.side[i] < 0))
+            small, large = np.minimum(self.size[rest], self.size[i]), np.maximum(self.size[rest], self.size[i])
+            other = i + 1 + np.flatnonzero(apart & (DENOMINATOR * small >= NUMERATOR * large))
+            if not len(other):
+                continue
+            found = agreements(self.rows[i], self.rows, other, self.miss)
+            other = other[found >= 0][np.argsort(-found[found >= 0], kind="stable")]
+            for j, common in zip(other.tolist(), self._common(i, other), strict=False):
+                if self.root[i] == self.root[j]:
+                    continue
+                common = common()
+                if DENOMINATOR * common >= NUMERATOR * (self.size[i] + self.size[j] - common):
+                    out.append((int(self.sid[i]), int(self.sid[j])))
+                    self.root[self.root == self.root[j]] = self.root[i]
+        return out
+
+    def _common(self, i: int, other: np.ndarray):
+        """Sizes of the intersections with entry i: one by one if they are few, else all at once over the postings."""
+        if len(other) <= FEW:
+            return [functools.partial(self._intersection, i, j) for j in other.tolist()]
+        if self.postings is None:
+            _, of = np.unique(np.concatenate(self.sets), return_inverse=True)
+            owner = np.repeat(np.arange(len(self.sets)), self.size)[np.argsort(of, kind="stable")]
+            ends = np.cumsum(np.bincount(of))
+            self.postings = np.split(of, np.cumsum(self.size)[:-1]), owner, ends - np.bincount(of), ends
+        own, owner, starts, ends = self.postings
+        starts, n = starts[own[i]], (ends - starts)[own[i]]
+        at = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        counts = np.bincount(owner[at], minlength=len(self.sets))
+        return [functools.partial(int, counts[j]) for j in other.tolist()]
+
+    def _intersection(self, i: int, j: int) -> int:
+        return len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+
+
+def _searcher(miss: float):
+    """Streams (crowd, chunk, side, sid, signature, shingles) sorted by crowd and chunk: the links found in each."""
 
     def rows(batches):
-        key, held = None, []
+        key, held, out = None, [], []
         for batch in batches:
-            part, chunk = batch.column("part").to_numpy(), batch.column("chunk").to_numpy()
-            if not len(part):
+            crowd, chunk = batch.column("crowd").to_numpy(), batch.column("chunk").to_numpy()
+            if not len(crowd):
                 continue
-            cuts = np.flatnonzero((part[1:] != part[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
-                if (part[a], chunk[a]) != key:
-                    if held:
-                        yield _proposed(pa.Table.from_batches(held), limit, miss)
-                    key, held = (part[a], chunk[a]), []
+            cuts = np.flatnonzero((crowd[1:] != crowd[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(crowd)], strict=True):
+                if (crowd[a], chunk[a]) != key:
+                    out += _found(held, miss)
+                    key, held = (crowd[a], chunk[a]), []
                 held.append(batch.slice(a, b - a))
-        if held:
-            yield _proposed(pa.Table.from_batches(held), limit, miss)
+            yield _pairs(out)
+            out = []
+        yield _pairs(_found(held, miss))
 
     return rows
 
 
-def _proposed(bucket: pa.Table, limit: int, miss: float) -> pa.RecordBatch:
-    """a, b, more. Each member is compared with the members after it that stand in another component."""
-    sid, comp, side = (bucket.column(k).to_numpy() for k in ("sid", "comp", "side"))
-    rows = _signatures(bucket.column("signature"))
-    best: dict[tuple[int, int], list] = {}
-    more = set()
-    for i in range(len(sid)):
-        other = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0)))
-        found = agreements(rows[i], rows, other, miss)
-        for j in np.flatnonzero(found >= 0).tolist():
-            pair = tuple(sorted((int(sid[i]), int(sid[other[j]]))))
-            of = tuple(sorted((int(comp[i]), int(comp[other[j]]))))
-            kept = best.setdefault(of, [])
-            kept.append((-int(found[j]), *pair))
-            if len(kept) > 2 * limit:
-                kept.sort()
-                del kept[limit:]
-                more.add(of)
-    out = []
-    for of, kept in best.items():
-        kept.sort()
-        out += [(a, b, of in more or len(kept) > limit) for _, a, b in kept[:limit]]
-    columns = list(zip(*out, strict=True)) or [(), (), ()]
-    kinds = (pa.int64(), pa.int64(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "more"])
-
-
-def _exact(batches):
-    """Pairs with both full sets: those that are linked."""
-    for batch in batches:
-        linked = []
-        for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
-            s, t = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            linked.append(DENOMINATOR * common >= NUMERATOR * (len(s) + len(t) - common))
-        yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-
-class Entries:
-    """Distinct sets of a table, and what verification needs of them."""
-
-    def __init__(self, df: DataFrame, key: str, text: str, miss: float):
-        self.docs, self.key, self.text, self.miss = df, key, text, miss
-        self.rows = stage(document_sets(df, key, text), "minhash-rows")
-        where = F.struct("doc_id", "body")
-        grouped = self.rows.filter("digest is not null").groupBy("digest").agg(
-            F.min("doc_id").alias("least"), F.min(where).alias("at"), F.max("n").alias("n"),
-            F.max("signature").alias("signature"),
-        )
-        self.distinct = stage(grouped.withColumn("sid", F.monotonically_increasing_id()), "minhash-entries")
-
-    def pairs_with(self, pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-        """a, b, s, t: pairs with the values of both."""
-        left = table.select(F.col("sid").alias("a"), F.col(value).alias("s"))
-        right = table.select(F.col("sid").alias("b"), F.col(value).alias("t"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t")
-
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that the posterior does not rule out."""
-        return self.pairs_with(pairs, self.distinct, "signature").mapInArrow(_likely(self.miss), "a bigint, b bigint")
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose full sets are as similar as asked. The sets are formed anew from one text of each entry."""
-        both = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        wanted = stage(self.distinct.join(both, "sid").select("sid", "digest", "at.doc_id", "at.body"), "minhash-wanted")
-        docs = self.docs.select(
-            F.col(self.key).cast("bigint").alias("doc_id"), _body(self.text).alias("body"), F.col(self.text).alias("text")
-        )
-        same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["body"] == wanted["body"])
-
-        def sets(batches):
-            last = None
-            for whole in batches:
-                for batch in slices(whole, "text", SLICE):
-                    named = zip(batch.column("sid").to_pylist(), batch.column("digest").to_pylist(), strict=True)
-                    found = []
-                    for (sid, wants), shingles in zip(named, shingle_sets(batch.column("text")), strict=True):
-                        if sid != last and digest(shingles) == wants:
-                            found.append((sid, shingles.tobytes()))
-                            last = sid
-                    sids, lists = zip(*found, strict=True) if found else ((), ())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(sids, pa.int64()), pa.array(lists, pa.binary())], ["sid", "shingles"]
-                    )
-
-        texts = docs.join(wanted, same).select("sid", "digest", "text")
-        made = texts.mapInArrow(sets, "sid bigint, shingles binary").dropDuplicates(["sid"])  # rows may repeat
-        named = stage(made, "minhash-sets")
-        return self.pairs_with(pairs, named, "shingles").mapInArrow(_exact, "a bigint, b bigint")
-
-
-def links(entries: Entries) -> DataFrame:
-    """(a, b) over entries: a link between any two components of linked entries is among them or made by others."""
-    index = entries.distinct.select("sid", "signature").mapInArrow(_bands, "part bigint, sid bigint")
-    buckets = index.groupBy("part").agg(F.min("sid").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    shared = stage(index.join(buckets, "part"), "minhash-shared")
-    pairs = shared.filter("sid > hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-    tested = stage(entries.likely(pairs), "minhash-pairs")
-    found = stage(entries.linked(tested), "minhash-links")
-    crowded, limit = shared.filter("size > 2"), 1
-    while True:
-        named = components(found)
-        roots = named.select(F.col("node").alias("sid"), "root")
-        placed = crowded.join(roots, "sid", "left").select("part", "size", "sid", F.coalesce("root", "sid").alias("comp"))
-        several = placed.groupBy("part").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
-        mixed_ = placed.join(several.select("part"), "part", "left_semi")
-        chunks = F.ceil(F.col("size") / BUCKET)
-        own = F.pmod(F.xxhash64("sid"), chunks)
-        # a bucket of several chunks: one task for each two of them, whose sides are told apart; one for each alone
-        twos = F.transform(
-            F.sequence(F.lit(0).cast("bigint"), chunks - 1),
-            lambda k: F.struct(
-                (F.least(own, k) * chunks + F.greatest(own, k)).alias("chunk"),
-                F.when(own == k, F.lit(-1).cast("bigint")).otherwise(own).alias("side"),
-            ),
-        )
-        dealt = mixed_.select("part", "sid", "comp", F.explode(twos).alias("at")).select("part", "at.*", "comp", "sid")
-        signed = dealt.join(entries.distinct.select("sid", "signature"), "sid")
-        sorted_ = signed.repartition("part", "chunk").sortWithinPartitions("part", "chunk", "comp", "sid")
-        ordered = sorted_.select("part", "chunk", "side", "comp", "sid", "signature")
-        proposed = ordered.mapInArrow(_proposer(limit, entries.miss), "a bigint, b bigint, more boolean")
-        proposed = stage(proposed.groupBy("a", "b").agg(F.max("more").alias("more")), "minhash-proposed")
-        new = stage(proposed.select("a", "b").join(tested, ["a", "b"], "left_anti"), "minhash-new")
-        if new.isEmpty() and proposed.filter("more").isEmpty():
-            return found
-        if not new.isEmpty():
-            found = stage(found.unionByName(entries.linked(new)), "minhash-links")
-            tested = stage(tested.unionByName(new), "minhash-pairs")
-        limit *= 8
+def _found(held: list[pa.RecordBatch], miss: float) -> list[tuple[int, int]]:
+    if not held:
+        return []
+    table = pa.Table.from_batches(held)
+    sid, at = np.unique(table.column("sid").to_numpy(), return_index=True)  # a row that repeats may come twice
+    if len(sid) < 2:
+        return []
+    table = table.take(at)
+    sets = [np.frombuffer(x, "<u8") for x in table.column("shingles").to_pylist()]
+    return Crowd(sid, table.column("side").to_numpy(), _signatures(table.column("signature")), sets, miss).links()
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+
+def _sets(batches):
+    """Full sets of the wanted entries, from texts; rows may repeat."""
+    seen = set()
+    for whole in batches:
+        for batch in slices(whole, "text", SLICE):
+            keep, lists = [], []
+            named = zip(batch.column("sid").to_pylist(), batch.column("digest").to_pylist(), strict=True)
+            for k, ((sid, wants), shingles) in enumerate(zip(named, shingle_sets(batch.column("text")), strict=True)):
+                if sid not in seen and digest(shingles) == wants:
+                    seen.add(sid)
+                    keep.append(k)
+                    lists.append(shingles.tobytes())
+            kept = batch.select(["sid", "signature", "places"]).take(pa.array(keep, pa.int64()))
+            yield kept.append_column("shingles", pa.array(lists, pa.binary()))
+
+
+def entries_of(rows: DataFrame) -> DataFrame:
+    """One entry for each set: sid, digest, least (id), doc_id and body of one text, n, signature."""
+    at = F.min(F.struct("doc_id", "body")).alias("at")
+    grouped = rows.filter("digest is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("least"), at, F.max("n").alias("n"), F.max("signature").alias("signature")
+    )
+    flat = grouped.select("digest", "least", "at.doc_id", "at.body", "n", "signature")
+    return stage(flat.withColumn("sid", F.monotonically_increasing_id()), "minhash-entries")
+
+
+def _placed(groups: DataFrame, crowd: str) -> DataFrame:
+    """sid, place: where an entry of a group is compared. groups: the group's name, sid, n.
+
+    A group of several chunks is compared two chunks at a time; an entry goes to each pair that its own
+    chunk is in, with its chunk as its side.
+    """
+    sizes = groups.groupBy(crowd).agg(F.count("*").alias("m"), F.sum("n").alias("bytes"))
+    chunks = F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("bytes") * 8 / CHUNK_BYTES)).alias("chunks")
+    sized = groups.join(sizes.filter("m > 1").select(crowd, chunks), crowd)
+    own = F.pmod(F.xxhash64("sid"), F.col("chunks"))
+    place = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1),
+        lambda k: F.struct(
+            F.col(crowd).alias("crowd"),
+            (F.least(own, k) * F.col("chunks") + F.greatest(own, k)).alias("chunk"),
+            F.when(own == k, F.lit(-1).cast("bigint")).otherwise(own).alias("side"),
+        ),
+    )
+    return sized.select("sid", F.explode(place).alias("place"))
+
+
+def places(entries: DataFrame) -> DataFrame:
+    """sid, places: the chunks of crowds, or of buckets of very large crowds, in which entries are compared."""
+    index = entries.select("sid", "signature").mapInArrow(_bands, "part bigint, sid bigint")
+    buckets = index.groupBy("part").agg(F.min("sid").alias("hub"), F.max("sid").alias("last"))
+    shared = stage(index.join(buckets.filter("hub < last"), "part").select("part", "hub", "sid"), "minhash-shared")
+    stars = shared.filter("sid > hub").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
+    linked = components(stars)
+    roots = linked.select(F.col("root").alias("sid"), "root").distinct()
+    members = linked.select(F.col("node").alias("sid"), "root").unionByName(roots)
+    sized = members.join(entries.select("sid", "n"), "sid")
+    large = members.groupBy("root").count().filter(F.col("count") > CROWD).select("root")
+    crowds = sized.join(large, "root", "left_anti")
+    scattered = shared.join(sized.join(large, "root", "left_semi"), "sid").select("part", "sid", "n")
+    dealt = _placed(crowds, "root").unionByName(_placed(scattered, "part"))
+    return dealt.groupBy("sid").agg(F.collect_list("place").alias("places"))
+
+
+def links(df: DataFrame, entries: DataFrame, key: str, text: str, miss: float) -> DataFrame:
+    """(a, b) over entries: the links that join all linked entries, directly or over others."""
+    wanted = stage(
+        entries.join(places(entries), "sid").select("sid", "digest", "doc_id", "body", "signature", "places"),
+        "minhash-wanted",
+    )
+    docs = df.select(F.col(key).cast("bigint").alias("doc_id"), _body(text).alias("body"), F.col(text).alias("text"))
+    same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["body"] == wanted["body"])
+    texts = docs.join(wanted, same).select("sid", "digest", "signature", "places", "text")
+    place = "struct<crowd:bigint,chunk:bigint,side:bigint>"
+    sets = texts.mapInArrow(_sets, f"sid bigint, signature binary, places array<{place}>, shingles binary")
+    dealt = sets.select("sid", "signature", "shingles", F.explode("places").alias("place"))
+    rows = dealt.select("place.*", "sid", "signature", "shingles").repartition("crowd", "chunk")
+    found = rows.sortWithinPartitions("crowd", "chunk").mapInArrow(_searcher(miss), "a bigint, b bigint")
+    return stage(found, "minhash-links")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the row has the smallest id of its class) for each row."""
-    entries = Entries(df, key, text, miss)
-    roots = components(links(entries))
-    rooted = entries.distinct.join(roots, F.col("sid") == F.col("node"), "left").select(
+    rows = stage(document_sets(df, key, text), "minhash-rows")
+    entries = entries_of(rows)
+    roots = components(links(df, entries, key, text, miss))
+    rooted = entries.join(roots, F.col("sid") == F.col("node"), "left").select(
         "digest", "least", F.coalesce("root", "sid").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("digest", "component_id")
-    joined = entries.rows.select("doc_id", "n", "digest").join(named, "digest", "left")
+    joined = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
