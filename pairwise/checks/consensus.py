@@ -9,7 +9,7 @@ from pairwise.constants import (
     PRESETS,
     STRATEGIES,
 )
-from pairwise.operators import agreement, consensus, distributions, pairs
+from pairwise.operators import agreement, consensus, distributions, pairs, sweeps
 from pairwise.params import ConsensusParams, sweep_thresholds
 from pairwise.session import hadoop_path, stage, staging_path
 from pairwise.sinks import files, tables
@@ -445,6 +445,23 @@ def _threshold_sweep(spark, d):
     return consensus.threshold_sweep(stats(spark, d), P)
 
 
+_GRID = [round(i / 50, 2) for i in range(51)]
+
+
+@register(
+    "threshold_grid",
+    f"""{STATS}, p(probability) AS (VALUES {", ".join(f"({t}::DOUBLE)" for t in _GRID)}),
+c(confidence) AS (VALUES {", ".join(f"({t}::DOUBLE)" for t in _GRID)}), k(positives) AS (VALUES (0), (2), (4)),
+v AS (SELECT avg_probability_1 AS x, avg_confidence AS y, positive_predictions AS n, count(*) AS pairs FROM stats GROUP BY ALL)
+SELECT probability, confidence, positives,
+       CAST(coalesce(sum(pairs) FILTER (x >= probability AND y >= confidence AND n >= positives), 0) AS BIGINT) AS pairs
+FROM v, p, c, k GROUP BY ALL""",
+)
+def _threshold_grid(spark, d):
+    """Pairs over every combination of 51 x 51 thresholds and three numbers of positives."""
+    return sweeps.threshold_grid(stats(spark, d), _GRID, _GRID, [0, 2, 4])
+
+
 _FUNNEL = {
     "total": "true",
     "one_positive": "positive_predictions > 0",
