@@ -3,7 +3,7 @@
 import math
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pairwise.operators import assemble
 from pairwise.operators.consensus import by_score
@@ -30,6 +30,39 @@ def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
+FILE_BYTES = 128 << 20
+
+
+def planned(df: DataFrame, keys: list[str], file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Deal rows to the tasks of a partitioned write, so that a key gets as many files as its bytes ask for.
+
+    The bytes of each key are counted first. A key over ``file_bytes`` has bytes / file_bytes tasks of its own,
+    among which its rows are dealt by their hash; smaller keys share tasks, filled in the order of the keys.
+    The plan has one row for each key. Rows that are equal in all columns go to one file.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    line = F.concat_ws(",", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    counted = df.groupBy(*keys).agg(F.sum(F.octet_length(line) + 1).alias("_bytes"))
+    files = F.ceil(F.col("_bytes") / file_bytes)
+    order = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    large = F.when(files > 1, files).otherwise(0)
+    small = F.when(files > 1, 0).otherwise(F.col("_bytes"))
+    before = counted.select(
+        *keys, files.alias("_files"),
+        F.coalesce(F.sum(large).over(order), F.lit(0)).alias("_large"),
+        F.floor(F.coalesce(F.sum(small).over(order), F.lit(0)) / file_bytes).alias("_shared"),
+    )
+    plan = stage(before, "file-plan")
+    tasks = plan.agg(F.sum(F.when(F.col("_files") > 1, F.col("_files")).otherwise(0)), F.max("_shared")).first()
+    own, shared = tasks[0] or 0, (tasks[1] or 0) + 1
+    first = F.when(F.col("_files") > 1, F.col("_large")).otherwise(own + F.col("_shared"))
+    named = plan.select(*[F.col(k).alias(f"_{k}") for k in keys], "_files", first.alias("_first"))
+    same = [df[k].eqNullSafe(named[f"_{k}"]) for k in keys]
+    place = F.col("_first") + F.pmod(F.xxhash64(*columns), F.col("_files"))
+    placed = df.join(named, same).withColumn("_task", place.cast("int"))
+    return placed.repartitionById(own + shared, F.col("_task")).select(*columns)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """A handful of records as JSON lines."""
     df.coalesce(1).write.mode("errorifexists").json(path)
@@ -185,11 +218,13 @@ def write_models(
     params: ConsensusParams,
     path: str,
     data_source: str | None = None,
+    file_bytes: int = FILE_BYTES,
 ):
     """Every model's original columns in its own folder, and all models in one table.
 
     ``raw_models`` has one frame per file header, so a model's folder keeps its own columns. Where a
-    file has columns named like the model keys, the folders are named ``of_model_type`` and so on.
+    file has columns named like the model keys, the folders are named ``of_model_type`` and so on. A model
+    gets one file for each ``file_bytes`` of its rows.
     """
     safe = F.replace("model_type", F.lit("/"), F.lit("_"))
     with exact_names(combined.sparkSession):
@@ -198,7 +233,7 @@ def write_models(
             if set(OWN) & set(frame.columns):
                 keys = [f"of_{k}" for k in KEYS]
                 named = named.withColumnsRenamed(dict(zip(KEYS, keys))).withColumnsRenamed(dict(zip(OWN, KEYS)))
-            write_csv(named, f"{path}/models/format-{i}", tuple(keys))
+            write_csv(planned(named, keys, file_bytes), f"{path}/models/format-{i}", tuple(keys))
         write_csv(combined, f"{path}/all_predictions_combined")
     meanings = tables.column_meanings(combined.sparkSession, combined.columns)
     write_csv(meanings.coalesce(1), f"{path}/column_dictionary")
