@@ -390,9 +390,10 @@ def _families(rng):
     return out
 
 
-@pytest.mark.parametrize("bucket", [2, 5, 4096])
-def test_classes_do_not_depend_on_the_size_of_chunks(spark, monkeypatch, bucket):
-    monkeypatch.setattr(minhash_bayes, "BUCKET", bucket)
+@pytest.mark.parametrize(("chunk", "crowd", "few"), [(3, 1000, 0), (5, 4, 1000), (4096, 1 << 17, 2)])
+def test_classes_do_not_depend_on_the_sizes(spark, monkeypatch, chunk, crowd, few):
+    for name, value in (("CHUNK", chunk), ("CROWD", crowd), ("FEW", few)):
+        monkeypatch.setattr(minhash_bayes, name, value)
     docs = list(enumerate(_families(random.Random(9))))
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     found = minhash_bayes.near_duplicates(frame).collect()
@@ -441,10 +442,10 @@ def test_phrases_of_equal_hashes_are_told_apart(monkeypatch):
 
     monkeypatch.setattr(phrase_mining, "Polynomial", Weak)
     body = b"a b a b c a b\nc a b d a b"
-    phrases = phrase_mining.Phrases(body, "en", 3)
-    distinct, inverse, _ = phrases.distinct()
+    phrases = phrase_mining.Phrases(body, "en")
+    distinct, _ = phrases.distinct((1, 2, 3))
     counts = {}
-    for _, texts, f in phrases.frequent(np.ones(len(distinct), bool), inverse):
+    for _, _, texts, f in phrases.frequent(distinct, (1, 2, 3)):
         for text, n in zip(texts.to_pylist(), f.tolist(), strict=True):
             counts[text] = counts.get(text, 0) + n
     want = {}
