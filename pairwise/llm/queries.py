@@ -1,4 +1,4 @@
-"""One query for each operator, over its whole table, and SQL where it can express the result."""
+"""One query for each operator, over its whole table. ``SQL`` has what DuckDB can say of the same results."""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,6 +17,10 @@ from pairwise.llm import (
     suffix_arrays,
     token_counts,
 )
+from pairwise.llm.oracle import SQL
+
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +40,7 @@ def op2_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat_masks.digests(chat_masks.format_chats(rows))
+    return chat_masks.digests(chat_masks.format_chats(rows)).drop("n_tokens")
 
 
 def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,46 +168,3 @@ QUERIES = {
         op13_prefix_trie,
     )
 }
-
-SQL = {
-    "op1_host_rules": r"""
-WITH base AS (
-  SELECT doc_id, source, coalesce(text, '') AS whole,
-         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
-  FROM documents),
-lines AS (
-  SELECT *, [x FOR x IN string_split(whole, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS filled
-  FROM base),
-windows AS (
-  SELECT doc_id, i, struct_pack(a := words[i], b := words[i + 1], c := words[i + 2]) AS win
-  FROM base, unnest(range(1, len(words) - 1)) AS t(i)),
-again AS (
-  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
-repeats AS (
-  SELECT doc_id, count(DISTINCT i + k) AS n
-  FROM again, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
-counts AS (
-  SELECT l.doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
-         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
-         CAST(length(whole) - length(regexp_replace(whole, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines,
-         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
-  FROM lines l LEFT JOIN repeats r ON l.doc_id = r.doc_id),
-judged AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
-         OR 2 * n_dup_lines > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS bad
-  FROM counts),
-hosts AS (
-  SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (bad) AS DOUBLE) AS k
-  FROM judged GROUP BY source),
-sums AS (
-  SELECT least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS mean, avg(k * (k - 1) / (n * (n - 1))) AS square
-  FROM hosts WHERE n > 1),
-sizes AS (
-  SELECT mean, 1 / least(greatest((square - mean * mean) / (mean - mean * mean), 1e-4), 0.5) - 1 AS size FROM sums),
-prior AS (SELECT coalesce(mean, 0.5) AS mean, coalesce(size, 2) AS size FROM sizes)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (k + mean * size) / (n + size) < 0.7 AS kept
-FROM judged JOIN hosts ON judged.source IS NOT DISTINCT FROM hosts.source, prior""",
-}
