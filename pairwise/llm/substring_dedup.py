@@ -1,15 +1,16 @@
 """Removal of repeated word windows by Rabin-Karp hashes.
 
-1. Documents are dealt to blocks of a few MB by a hash of the row. A block rolls one 64-bit hash over each
-   window of ``window`` words and sends its distinct hashes, sorted and cut by hash range, to buckets.
+1. Documents are packed in scan order into blocks of a few MB, which are written to the shared folder. A
+   block rolls one 64-bit hash over each window of ``window`` words and sends its distinct hashes, sorted and
+   cut by hash range, to buckets.
 2. A bucket counts in how many blocks each hash stands and answers every block with one bit per hash.
 3. The block forms its hashes again, marks windows that are repeated (in another block, or in its own),
    and merges them into maximal intervals of words, which are removed.
 
 A hash crosses the network once per block, as a difference to the one before it, and comes back as one
-bit, so a passage that stands in every document costs no more than any other. Documents stay in their
-block: the same shuffle serves both steps. Blocks and buckets have bounded sizes: their number follows
-from the bytes of text.
+bit, so a passage that stands in every document costs no more than any other, and rows that are equal are
+spread like any others. Blocks and buckets have bounded sizes; their number, and that of the partitions,
+follows from the bytes of text.
 
 A window counts wherever it starts, so rows that repeat remove each other's windows. Null text has no
 words; a null id stays null. Texts of fewer words than a window stay whole. Only the id and the text are
@@ -20,82 +21,97 @@ is removed by chance with probability N / 2**64.
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from pairwise.llm.arrow_text import UNCHANGED, Words, hashes, runs, split_words
+from pairwise.llm.arrow_text import SLICE, UNCHANGED, Words, hashes, runs, short_batches, slices, split_words
+from pairwise.llm.packed_hashes import Polynomial, bounds, packed, unpacked
+from pairwise.session import stage
 
 WINDOW = 35
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20  # of text; about a million windows
-LEAST = 64  # blocks and buckets at least
-MULTIPLIER = 0x9E3779B97F4A7C15
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+LEAST = 64  # buckets at least
+PARTITION_BYTES = 64 << 20  # of text for each partition of a shuffle
+CODEC = "zstd"
 
+_BLOCK = "block bigint, size bigint, body binary"
+_SENT = "block bigint, bucket bigint, sent binary"
+_ANSWER = "block bigint, bucket bigint, shared binary"
 _RESULT = "doc_id bigint, n_words bigint, removed array<struct<start:int,end:int>>, kept_text string"
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def _packer(block_bytes: int):
+    """Rows (doc_id, text) in blocks, compressed. The number of a block is its task's and a counter."""
 
+    def pack(batches):
+        first, made = TaskContext.get().partitionId() << 33, 0
+        held, size = [], 0
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+        def block():
+            nonlocal made, held, size
+            made += 1
+            columns = [pa.array([first + made], pa.int64()), pa.array([size], pa.int64()), pa.array([_written(held)], pa.binary())]
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays(columns, ["block", "size", "body"])
 
+        for whole in batches:
+            for batch in slices(whole, "text", min(SLICE, block_bytes)):
+                held.append(batch)
+                size += batch.column("text").nbytes
+                if size >= block_bytes:
+                    yield block()
+        if held:
+            yield block()
 
-def window_hashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each window starts, and its hash: the sum of word hash times multiplier to the word's place."""
-    n = np.maximum(np.diff(words.first) - window + 1, 0)
-    begin = np.repeat(words.first[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    if not len(begin):
-        return begin, np.zeros(0, np.uint64)
-    terms = hashes(words.vocabulary)[words.codes]
-    sums = np.zeros(len(terms) + 1, np.uint64)
-    np.cumsum(terms * _powers(MULTIPLIER, len(terms)), out=sums[1:])
-    rolled = (sums[begin + window] - sums[begin]) * _powers(INVERSE, len(terms))[begin]
-    return begin, _mixed(rolled)
+    return pack
 
 
-def _bounds(distinct: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the hash ranges of the buckets begin in sorted hashes."""
-    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
-    return np.concatenate(([0], np.searchsorted(distinct, edges), [len(distinct)]))
+def _written(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=CODEC)) as writer:
+        writer.write_table(pa.Table.from_batches(batches))
+    return sink.getvalue().to_pybytes()
 
 
-def _packed(ordered: np.ndarray) -> bytes:
-    """Differences of sorted hashes by byte planes; the upper planes are nearly all zero and compress."""
-    steps = np.diff(ordered, prepend=np.uint64(0))
-    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _read(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all().combine_chunks()
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(packed, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+def _words_of(docs: pa.Table) -> Words:
+    texts = docs.column("text").cast(pa.large_string()).combine_chunks()
+    return split_words(texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks), UNCHANGED)
+
+
+def window_hashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each window starts, and its hash: the sum of word hash times multiplier to the word's place."""
+    n = np.maximum(np.diff(words.first) - window + 1, 0)
+    begin = np.repeat(words.first[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    if not len(begin):
+        return begin, np.zeros(0, np.uint64)
+    return begin, Polynomial(hashes(words.vocabulary)[words.codes]).of(begin, window, 0)
 
 
 def _sender(window: int, buckets: int):
-    def send(table: pa.Table) -> pa.Table:
-        words = split_words(table.column("text").combine_chunks(), UNCHANGED)
-        distinct = np.unique(window_hashes(words, window)[1])
-        cuts = _bounds(distinct, buckets)
-        filled = np.flatnonzero(np.diff(cuts))
-        return pa.table(
-            {
-                "block": pa.array(np.full(len(filled), table.column("block")[0].as_py()), pa.int64()),
-                "bucket": pa.array(filled, pa.int64()),
-                "sent": pa.array([_packed(distinct[cuts[k] : cuts[k + 1]]) for k in filled], pa.binary()),
-            }
-        )
+    def send(batches):
+        for batch in batches:
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                distinct = np.unique(window_hashes(_words_of(_read(body)), window)[1])
+                cuts = bounds(distinct, buckets)
+                filled = np.flatnonzero(np.diff(cuts))
+                columns = [
+                    pa.array(np.full(len(filled), block), pa.int64()),
+                    pa.array(filled, pa.int64()),
+                    pa.array([packed(distinct[cuts[k] : cuts[k + 1]]) for k in filled], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "sent"])
 
     return send
 
 
 def _count(table: pa.Table) -> pa.Table:
     """For each block's hashes: which of them another block has sent too."""
-    lists = [_unpacked(x) for x in table.column("sent").to_pylist()]
+    lists = [unpacked(x) for x in table.column("sent").to_pylist()]
     _, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     shared = np.split((counts > 1)[inverse], np.cumsum([len(x) for x in lists])[:-1])
     return pa.table(
@@ -108,11 +124,12 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def _remover(window: int, buckets: int):
-    def remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        words = split_words(docs.column("text").combine_chunks(), UNCHANGED)
+    def remove(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _read(blocks.column("body")[0].as_py())
+        words = _words_of(docs)
         begin, own = window_hashes(words, window)
         distinct, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
-        cuts = _bounds(distinct, buckets)
+        cuts = bounds(distinct, buckets)
         again = counts > 1
         for k, bits in zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist(), strict=True):
             part = again[cuts[k] : cuts[k + 1]]
@@ -152,13 +169,13 @@ def remove_repeats(
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """doc_id, n_words, removed (intervals of word places) and kept_text (words joined by a space)."""
-    picked = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(LEAST, -(-total // block_bytes))
+    spark = df.sparkSession
+    picked = short_batches(df).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    blocks = stage(picked.mapInArrow(_packer(block_bytes), _BLOCK), "text-blocks")
+    total = blocks.agg(F.sum("size")).first()[0] or 0
     buckets = max(LEAST, -(-total // bucket_bytes))
-    dealt = picked.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    sent = dealt.groupBy("block").applyInArrow(
-        _sender(window, buckets), "block bigint, bucket bigint, sent binary"
-    )
-    answers = sent.groupBy("bucket").applyInArrow(_count, "block bigint, bucket bigint, shared binary")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
+    sent = blocks.mapInArrow(_sender(window, buckets), _SENT).repartition(parts, "bucket")
+    answers = sent.groupBy("bucket").applyInArrow(_count, _ANSWER).repartition(parts, "block")
+    dealt = blocks.repartition(parts, "block")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remover(window, buckets), _RESULT)

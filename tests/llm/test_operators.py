@@ -17,6 +17,7 @@ from pairwise.llm import (
     host_rules,
     line_dedup,
     minhash_bayes,
+    packed_hashes,
     phrase_mining,
     prefix_trie,
     quality_classifier,
@@ -235,8 +236,8 @@ def test_blocks_and_buckets_change_nothing(spark, documents, size):
 
 def test_a_hash_order_survives_packing():
     values = np.unique(np.random.default_rng(3).integers(0, 1 << 64, 5000, dtype=np.uint64))
-    assert (substring_dedup._unpacked(substring_dedup._packed(values)) == values).all()
-    assert (substring_dedup._unpacked(substring_dedup._packed(values[:1])) == values[:1]).all()
+    assert (packed_hashes.unpacked(packed_hashes.packed(values)) == values).all()
+    assert (packed_hashes.unpacked(packed_hashes.packed(values[:1])) == values[:1]).all()
 
 
 # ---- secret scan -----------------------------------------------------------------------------------
@@ -352,6 +353,18 @@ def test_rates_are_shrunk_towards_the_hosts(spark):
     assert found[None].kept == 1
 
 
+def test_equal_rows_are_spread_over_blocks(spark):
+    """A text that stands in most rows fills many blocks, and no block is larger than others."""
+    text = " ".join(f"w{k}" for k in range(60))
+    frame = spark.range(0, 20_000, 1, 4).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(text).alias("text"))
+    sizes = []
+    for batch in frame.mapInArrow(substring_dedup._packer(50_000), substring_dedup._BLOCK).collect():
+        sizes.append(substring_dedup._read(bytes(batch.body)).num_rows)
+    assert sum(sizes) == 20_000 and len(sizes) > 80 and max(sizes) < 400
+    found = substring_dedup.remove_repeats(frame, block_bytes=50_000).groupBy("kept_text").count().collect()
+    assert [tuple(r) for r in found] == [("", 20_000)]
+
+
 # ---- MinHash with Bayesian verification ------------------------------------------------------------
 
 
