@@ -1,11 +1,14 @@
 """Host-level quality rules in DataFrame operations only.
 
-Every document is judged by rules. The failures of a host's documents give its failure rate, shrunk
-towards the other hosts by a beta prior that is fitted to all hosts (method of moments): a host of few
-documents says little, one of many speaks for itself. The verdict on the host is joined back.
+Every document is judged by rules. For each rule the failures of a host's documents give its failure rate,
+shrunk towards the other hosts by a beta prior of that rule, which is fitted to all hosts (method of moments):
+a host of few documents says little, one of many speaks for itself. A host is rejected by a rule if its
+rate, less ``DEVIATIONS`` posterior standard deviations, lies over the middle between the prior's mean and one:
+then most of its documents break the rule, and far more than hosts usually have. The verdict is joined back.
 
-Null text has no words; a null host is a host of its own; null and repeated ids are kept row by row.
-Only the id, host and text columns are read.
+Null text has no words; a null host is a host of its own; null and repeated ids are kept row by row. An empty
+table gives no rows. Only the id, host and text columns are read. A long text is handled by one task, as arrays
+of its words, lines and windows.
 
 Windows of three words are compared by 64-bit hashes within one text.
 """
@@ -16,7 +19,9 @@ from pairwise.session import stage
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words
-MAX_HOST_RATE = 0.7  # shrunk failure rate at which a host is dropped
+RULES = ("short", "repeats", "symbols", "dup_lines", "word_length")
+DEVIATIONS = 2
+LEAST_SHARE, MOST_SHARE = 1e-4, 0.5  # of the largest possible variance between hosts: priors weigh 1 to 9,999 documents
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -79,9 +84,8 @@ def base_counts(df: DataFrame, key: str = "doc_id", host: str = "source", text:
 
 
 def with_failures(counts: DataFrame) -> DataFrame:
-    """base_failed, and n_failed: how many rules the document breaks."""
+    """base_failed, a column failed_<rule> for each rule, and n_failed: how many rules the document breaks."""
     n = F.col("n_words")
-    base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * n)
     rules = (
         n < MIN_WORDS,
         100 * F.col("n_repeat_words") > MAX_REPEATED * n,
@@ -89,43 +93,60 @@ def with_failures(counts: DataFrame) -> DataFrame:
         2 * F.col("n_dup_lines") > n,  # more repeated lines than half the words
         (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n),
     )
-    failed = sum((r.cast("int") for r in rules[1:]), rules[0].cast("int"))
-    return counts.withColumn("base_failed", base).withColumn("n_failed", failed)
+    failed = {f"failed_{name}": rule for name, rule in zip(RULES, rules, strict=True)}
+    number = sum((rule.cast("int") for rule in rules[1:]), rules[0].cast("int"))
+    return counts.withColumns(failed | {"base_failed": rules[0] | rules[1], "n_failed": number})
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
-    """host, n_docs, n_bad (documents that break a rule), shrunk rate. One row for each host."""
+    """One row for each host: n_docs, n_bad (documents that break any rule), and for each rule the number of
+    documents that break it (docs_<rule>), the shrunk rate (rate_<rule>) and whether it rejects the host; host_rejected."""
     hosts = judged.groupBy("host").agg(
-        F.count("*").alias("n_docs"), F.sum((F.col("n_failed") > 0).cast("bigint")).alias("n_bad")
+        F.count("*").alias("n_docs"),
+        F.count_if(F.col("n_failed") > 0).alias("n_bad"),
+        *[F.count_if(f"failed_{name}").alias(f"docs_{name}") for name in RULES],
     )
     hosts = stage(hosts, "hosts")
-    a, b = beta_prior(hosts)
-    rate = (F.col("n_bad") + a) / (F.col("n_docs") + a + b)
-    return hosts.withColumn("host_rate", rate)
+    rates, rejects = {}, {}
+    for name, (a, b) in zip(RULES, beta_priors(hosts, [f"docs_{name}" for name in RULES]), strict=True):
+        size = F.col("n_docs") + (a + b)
+        rate = (F.col(f"docs_{name}") + a) / size
+        deviation = F.sqrt(rate * (1 - rate) / (size + 1))
+        rates[f"rate_{name}"] = rate
+        rejects[f"rejects_{name}"] = rate - DEVIATIONS * deviation > (1 + a / (a + b)) / 2
+    told = hosts.withColumns(rates | rejects)
+    return told.withColumn("host_rejected", F.greatest(*rejects))
 
 
-def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """The prior's two parameters by moments over the hosts, each of which counts once.
+def beta_priors(hosts: DataFrame, failures: list[str]) -> list[tuple[float, float]]:
+    """The two parameters of each rule's prior by moments over the hosts, each of which counts once.
 
     Of k failures among n documents, k / n estimates a host's rate and k (k - 1) / (n (n - 1)) its square,
     both without bias. Their means over the hosts of two or more documents give the mean and the variance
-    of the rates; the variance's share r of its largest value gives a + b = 1 / r - 1.
+    of the rates; the variance's share r of its largest value, kept between LEAST_SHARE and MOST_SHARE,
+    gives a + b = 1 / r - 1. Without such hosts both parameters are 1.
     """
-    n, k = F.col("n_docs").cast("double"), F.col("n_bad").cast("double")
-    mean, square = (
-        hosts.filter("n_docs > 1").agg(F.avg(k / n), F.avg(k * (k - 1) / (n * (n - 1)))).first()
-    )
-    if mean is None:
-        return 1.0, 1.0
-    mean = min(max(mean, 1e-6), 1 - 1e-6)
-    r = min(max((square - mean * mean) / (mean - mean * mean), 1e-4), 0.5)
-    size = 1 / r - 1
-    return mean * size, (1 - mean) * size
-
-
-def host_rules(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Counts and failures of each row, its host's documents and shrunk rate, and ``kept``."""
+    n = F.col("n_docs").cast("double")
+    moments = []
+    for name in failures:
+        k = F.col(name).cast("double")
+        moments += [F.avg(k / n), F.avg(k * (k - 1) / (n * (n - 1)))]
+    row = hosts.filter("n_docs > 1").agg(*moments).first()
+    priors = []
+    for mean, square in zip(row[::2], row[1::2], strict=True):
+        if mean is None:
+            priors.append((1.0, 1.0))
+            continue
+        mean = min(max(mean, 1e-6), 1 - 1e-6)
+        r = min(max((square - mean * mean) / (mean - mean * mean), LEAST_SHARE), MOST_SHARE)
+        size = 1 / r - 1
+        priors.append((mean * size, (1 - mean) * size))
+    return priors
+
+
+def host_rules(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+    """Counts and failures of each row, its host's figures by rule, and ``kept``."""
     judged = stage(with_failures(base_counts(df, key, host, text)), "rules")
     rates = host_rates(judged).withColumnRenamed("host", "of_host")
     joined = judged.join(rates, F.col("host").eqNullSafe(F.col("of_host")), "left").drop("of_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") < max_rate))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))

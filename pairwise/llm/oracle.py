@@ -25,22 +25,25 @@ counts AS (
          CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
   FROM lines l LEFT JOIN repeats r ON l.doc_id = r.doc_id),
 judged AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
-         OR 2 * n_dup_lines > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS bad
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [
+    n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 2 * n_dup_lines > n_words,
+    word_chars < 2 * n_words OR word_chars > 15 * n_words] AS failed
   FROM counts),
 hosts AS (
-  SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (bad) AS DOUBLE) AS k
-  FROM judged GROUP BY source),
+  SELECT source, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (failed[rule]) AS DOUBLE) AS k
+  FROM judged, range(1, 6) AS t(rule) GROUP BY source, rule),
 sums AS (
-  SELECT least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS mean, avg(k * (k - 1) / (n * (n - 1))) AS square
-  FROM hosts WHERE n > 1),
+  SELECT rule, least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS mean, avg(k * (k - 1) / (n * (n - 1))) AS square
+  FROM hosts WHERE n > 1 GROUP BY rule),
 sizes AS (
-  SELECT mean, 1 / least(greatest((square - mean * mean) / (mean - mean * mean), 1e-4), 0.5) - 1 AS size FROM sums),
-prior AS (SELECT coalesce(mean, 0.5) AS mean, coalesce(size, 2) AS size FROM sizes)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (k + mean * size) / (n + size) < 0.7 AS kept
-FROM judged JOIN hosts ON judged.source IS NOT DISTINCT FROM hosts.source, prior""",
+  SELECT rule, mean, 1 / least(greatest((square - mean * mean) / (mean - mean * mean), 1e-4), 0.5) - 1 AS size FROM sums),
+rates AS (
+  SELECT source, n + coalesce(size, 2) AS weight, (k + coalesce(mean * size, 1)) / (n + coalesce(size, 2)) AS rate, coalesce(mean, 0.5) AS mean
+  FROM hosts LEFT JOIN sizes USING (rule)),
+verdicts AS (
+  SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / (weight + 1)) > (1 + mean) / 2) AS rejected FROM rates GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source""",
     "op2_chat_masks": r"""
 WITH rows AS (
   SELECT conv_id, turn, role, text FROM conversations
