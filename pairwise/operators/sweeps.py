@@ -63,7 +63,11 @@ def threshold_grid(
         )
     ]
     # the grid itself: as many rows as were asked for
-    grid = frames[0].crossJoin(frames[1]).crossJoin(frames[2])
+    n, at = [len(axis) for axis in axes], F.col("id")
+    places = {"i": at % n[0] + 1, "j": F.expr(f"id div {n[0]}") % n[1] + 1, "k": F.expr(f"id div {n[0] * n[1]}") + 1}
+    grid = spark.range(n[0] * n[1] * n[2]).select(*[c.cast("int").alias(x) for x, c in places.items()])
+    for frame, place in zip(frames, "ijk", strict=True):
+        grid = grid.join(frame, place)
     cells = grid.join(counted, ["i", "j", "k"], "left").fillna(0, ["pairs"])
     for axis in "ijk":
         others = [x for x in "ijk" if x != axis]

@@ -43,11 +43,13 @@ def plans(spark, data):
     return {name: plan(query(spark, data)) for name, query in entry_points.QUERIES.items()}
 
 
-def test_only_sequences_use_python(plans):
+def test_python_runs_only_where_bytes_or_matrices_are_counted(plans):
+    """Letters of sequences and compound strings, products of model lists, grid cells, headers of files."""
     python = {name for name, text in plans.items() if re.search("Python|InPandas|InArrow", text)}
     assert python == {
-        "sequence_lag", "attach_protein", "combined_matrix", "detailed_matrix", "detailed_matrix_flags",
-        "feature_dictionary",
+        "aa_composition", "residue_zscores", "sequence_lag", "attach_protein", "cached_features", "combined_matrix",
+        "detailed_matrix", "detailed_matrix_flags", "feature_dictionary", "element_census", "model_jaccard",
+        "jaccard_summary", "jaccard_extremes", "model_complementarity", "threshold_grid", "discovered_files",
     }
 
 
