@@ -20,12 +20,16 @@ def run_exports(
     run_dir: str,
     output: str,
     params: ConsensusParams = ConsensusParams(),
+    bom: bool = False,
 ) -> DataFrame:
-    """All exports and the report of one run; returns the pair statistics, which stay staged."""
+    """All exports and the report of one run; returns the pair statistics, which stay staged.
+
+    ``bom``: the files of pairs begin with a byte order mark, for spreadsheets.
+    """
     predictions, stats = load_pairs(spark, run_dir)
     with owned_staging(spark):
-        files.write_basic(stats, predictions, params, f"{output}/basic", run_dir)
-        files.write_detailed(stats, predictions, params, f"{output}/detailed", run_dir)
+        files.write_basic(stats, predictions, params, f"{output}/basic", run_dir, bom)
+        files.write_detailed(stats, predictions, params, f"{output}/detailed", run_dir, bom)
         raw = read_raw_models(spark, run_dir)
         files.write_models(raw, union_models(raw), stats, params, f"{output}/complete", run_dir)
         files.write_report(stats, predictions, params, f"{output}/report", run_dir)

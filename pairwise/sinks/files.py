@@ -25,7 +25,14 @@ CSV_OPTIONS = {
 }
 
 
-def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), bom: bool = False) -> None:
+    """``bom``: every file begins with a byte order mark, by which spreadsheets know that it is UTF-8."""
+    if bom:  # part of the header's first cell
+        first = next(c for c in df.columns if c not in partition_by)
+        df = df.withColumnRenamed(first, f"{BYTE_ORDER_MARK}{first}")
     writer = df.write.mode("errorifexists").options(**CSV_OPTIONS)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
@@ -158,10 +165,10 @@ def _by_strategy(df: DataFrame, *ties: str) -> DataFrame:
 NUMBERS = ["positive_ratio", "avg_probability_0", "avg_probability_1", "avg_confidence"]
 
 
-def _write_summary(stats: DataFrame, params: ConsensusParams, path: str) -> None:
+def _write_summary(stats: DataFrame, params: ConsensusParams, path: str, bom: bool) -> None:
     frame = _by_strategy(tables.export_basic(stats, params))
     frame = frame.withColumns(dict(zip(NUMBERS, tables.fixed(NUMBERS))))
-    write_csv(frame, f"{path}/summary", ("strategy",))
+    write_csv(frame, f"{path}/summary", ("strategy",), bom)
 
 
 def _write_parameters(
@@ -177,9 +184,10 @@ def write_basic(
     params: ConsensusParams,
     path: str,
     data_source: str | None = None,
+    bom: bool = False,
 ):
     """One CSV folder per strategy; a strategy without pairs gets none. ``data_source``: the run's folder."""
-    _write_summary(stats, params, path)
+    _write_summary(stats, params, path, bom)
     _write_parameters(stats, predictions, params, "basic", path, data_source)
 
 
@@ -189,9 +197,10 @@ def write_detailed(
     params: ConsensusParams,
     path: str,
     data_source: str | None = None,
+    bom: bool = False,
 ):
     """Summaries as in ``write_basic`` and one row per pair and model."""
-    _write_summary(stats, params, path)
+    _write_summary(stats, params, path, bom)
     # staged: the sort samples its input, which would run the join twice
     selected = stage(tables.export_detailed(stats, predictions, params), "detailed")
     detail = _by_strategy(selected, "model_type", "model_name")
@@ -207,7 +216,7 @@ def write_detailed(
     plain = F.when(value == F.rint(value), F.format_string("%.0f", value.cast("double")))
     label = plain.otherwise(value.cast("string"))
     detail = detail.withColumns({**dict(zip(text, tables.fixed(text))), "prediction": label})
-    write_csv(detail, f"{path}/detailed", ("strategy",))
+    write_csv(detail, f"{path}/detailed", ("strategy",), bom)
     _write_parameters(stats, predictions, params, "detailed", path, data_source)
 
 

@@ -57,3 +57,12 @@ def test_no_rows(spark, tmp_path):
     keys = ["model_type", "model_name"]
     files.write_csv(files.planned(models(spark).limit(0), keys), str(tmp_path / "out"), tuple(keys))
     assert not written(tmp_path / "out")
+
+
+def test_byte_order_mark(spark, tmp_path):
+    frame = spark.createDataFrame([("a", 1, "é"), ("b", 2, "日")], "kind string, n int, text string")
+    files.write_csv(frame.repartition(1), str(tmp_path / "out"), ("kind",), bom=True)
+    (part,) = (tmp_path / "out" / "kind=b").glob("part-*.csv")
+    assert part.read_bytes() == "\ufeffn,text\n2,日\n".encode()
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert set(back.columns) == {"n", "text", "kind"}
