@@ -653,21 +653,8 @@ def _feature_dictionary(spark, d):
     files.write_json(tables.feature_names(spark), path)
     schema = "block string, idx long, name string, descriptor_group string"
     written = spark.read.schema(schema).json(path)
-    vectors = assembled(spark, d).select(*assemble.VECTORS)
-    sizes = {"sequence": 51, "profile": 220, "compound": 64}
-    sums = vectors.agg(
-        *[
-            F.count_if(F.get(f"{block}_vector", F.lit(i)) != 0).alias(f"{block}_{i}")
-            for block, size in sizes.items()
-            for i in range(size)
-        ]
-    )
-    cells = [
-        F.struct(F.lit(block).alias("block"), F.lit(i).cast("long").alias("idx"), F.col(f"{block}_{i}").alias("nonzero"))
-        for block, size in sizes.items()
-        for i in range(size)
-    ]
-    return tidy(written.join(sums.select(F.inline(F.array(*cells))), ["block", "idx"]))
+    used = assemble.feature_usage(assembled(spark, d))
+    return tidy(written.join(used, ["block", "idx"], "left").fillna(0, ["nonzero"]))
 
 
 @register(

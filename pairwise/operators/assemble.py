@@ -1,5 +1,7 @@
 """Attach entity features to the original rows and lay out the output tables."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairwise.constants import DESCRIPTOR_DIM, PROFILE_DIM, SEQUENCE_DIM
@@ -139,3 +141,32 @@ def flagged_columns() -> list[Column]:
         *expand("compound_vector", compound_names()),
         F.col("label").alias("Label"),
     ]
+
+
+def feature_usage(assembled: DataFrame) -> DataFrame:
+    """``block, idx, nonzero``: rows in which each value of the three vectors is not zero.
+
+    A task adds up its batches and sends one row for each value; missing values are not counted, NaN is.
+    """
+
+    def count(batches):
+        sums = {name: np.zeros(0, np.int64) for name in VECTORS}
+        for batch in batches:
+            for name in VECTORS:
+                column = batch.column(name)
+                values = column.flatten()
+                size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                place = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+                used = (values.to_numpy(zero_copy_only=False) != 0) & values.is_valid().to_numpy(zero_copy_only=False)
+                counts = np.bincount(place, weights=used).astype(np.int64)
+                longer = np.zeros(max(len(counts), len(sums[name])), np.int64)
+                longer[: len(counts)] += counts
+                longer[: len(sums[name])] += sums[name]
+                sums[name] = longer
+        for name, counts in sums.items():
+            block = name.removesuffix("_vector")
+            columns = [pa.array([block] * len(counts), pa.string()), pa.array(np.arange(len(counts))), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "idx", "n"])
+
+    counted = assembled.select(*VECTORS).mapInArrow(count, "block string, idx bigint, n bigint")
+    return counted.groupBy("block", "idx").agg(F.sum("n").alias("nonzero"))

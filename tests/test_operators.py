@@ -411,3 +411,14 @@ def test_scalars(spark):
     assert [None if math.isnan(v) else v for v in values] == [None, None, 1.0, 1.5, None, None]
     zeroed = frame.select(finite_or_zero(number(F.col("t")))).collect()
     assert [r[0] for r in zeroed] == [0, 0, 1.0, 1.5, 0, 0]
+
+
+def test_feature_usage(spark):
+    nan = float("nan")
+    rows = [([1.0, 0.0, nan], [0.0, 2.0], None), ([0.0, 0.0], [None, 2.0], [3.0]), (None, [], [0.0])]
+    frame = spark.createDataFrame(rows, ", ".join(f"{v} array<double>" for v in assemble.VECTORS)).repartition(2)
+    found = {(r.block, r.idx): r.nonzero for r in assemble.feature_usage(frame).collect()}
+    blocks = [v.removesuffix("_vector") for v in assemble.VECTORS]
+    want = {(0, 0): 1, (0, 1): 0, (0, 2): 1, (1, 0): 0, (1, 1): 2, (2, 0): 1}
+    assert found == {(blocks[b], i): n for (b, i), n in want.items()}
+    assert assemble.feature_usage(frame.limit(0)).count() == 0
