@@ -92,8 +92,9 @@ def ratio_bins(stats: DataFrame) -> DataFrame:
 def histogram(stats: DataFrame, bins: int = 20, metrics=tuple(METRICS)) -> DataFrame:
     """Equal bins between minimum and maximum, all half-open but the last; empty bins included.
 
-    A value's bin is the number of inner edges that do not exceed it, which is safe for values on
-    an edge. A metric with a single value gets the range value ± 0.5.
+    A value's bin is the number of inner edges that do not exceed it. Division finds it but for rounding, so
+    the two edges next to it are compared, which is safe for values on an edge. A metric with a single value
+    gets the range value ± 0.5.
     """
     values = metric_values(stats).filter(F.col("metric").isin(*metrics) & ~F.isnan("value"))
     lo, hi = F.min("value"), F.max("value")
@@ -103,13 +104,16 @@ def histogram(stats: DataFrame, bins: int = 20, metrics=tuple(METRICS)) -> DataF
         F.count("*").alias("total"),
     )
     spans = spans.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
-    passed = [
-        (F.col("value") >= F.col("lo") + F.col("width") * i).cast("int") for i in range(1, bins)
-    ]
+    value, first, width = F.col("value"), F.col("lo"), F.col("width")
+    guess = F.greatest(F.least(F.floor((value - first) / width), F.lit(bins - 1)), F.lit(0)).cast("int")
+    below = (F.col("guess") > 0) & (value < first + width * F.col("guess"))
+    above = (F.col("guess") < bins - 1) & (value >= first + width * (F.col("guess") + 1))
+    bin_ = F.col("guess") - below.cast("int") + above.cast("int")
     # spans: one row per metric
     filled = (
         values.join(F.broadcast(spans), "metric")
-        .groupBy("metric", sum(passed, F.lit(0)).alias("bin"))
+        .withColumn("guess", guess)
+        .groupBy("metric", bin_.alias("bin"))
         .agg(F.count("*").alias("pairs"))
     )
     frame = spans.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
