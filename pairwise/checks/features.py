@@ -315,8 +315,8 @@ def _cached_features(spark, d):
     unique = entities.unique_proteins(inputs.interactions(spark, d))
 
     def compute(todo):
-        found = sequences.sequence_features(todo)
-        return found.select("accession", "sequence_length", F.lit("computed").alias("origin"))
+        length = F.length("sequence").cast("long").alias("sequence_length")
+        return todo.select("accession", length, F.lit("computed").alias("origin"))
 
     return entities.with_cached(unique, _stored_lengths(spark, d), "accession", compute)
 

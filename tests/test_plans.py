@@ -47,7 +47,7 @@ def test_python_runs_only_where_bytes_or_matrices_are_counted(plans):
     """Letters of sequences and compound strings, products of model lists, grid cells, headers of files."""
     python = {name for name, text in plans.items() if re.search("Python|InPandas|InArrow", text)}
     assert python == {
-        "aa_composition", "residue_zscores", "sequence_lag", "attach_protein", "cached_features", "combined_matrix",
+        "aa_composition", "residue_zscores", "sequence_lag", "attach_protein", "combined_matrix",
         "detailed_matrix", "detailed_matrix_flags", "feature_dictionary", "element_census", "model_jaccard",
         "jaccard_summary", "jaccard_extremes", "model_complementarity", "threshold_grid", "discovered_files",
     }
