@@ -164,6 +164,62 @@ def test_blocks_of_test_items_give_the_same(spark, documents):
     assert sorted(one) == sorted(more) and len(one) == len(rows)
 
 
+def maximal_matches(text, item, window):
+    """(word, n_words, item_word) of every maximal run of equal words that holds a window of the item."""
+    word = brute.re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    a, b = (word.findall(t.translate(brute.LOWER)) for t in (text, item))
+    least = min(window, len(b))
+    out = []
+    for p in range(len(a)):
+        for i in range(len(b)):
+            if p and i and a[p - 1] == b[i - 1]:
+                continue
+            n = 0
+            while p + n < len(a) and i + n < len(b) and a[p + n] == b[i + n]:
+                n += 1
+            if n >= least > 0:
+                out.append((p, n, i))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 400])
+def test_all_maximal_matches_against_plain_loops(spark, block_bytes):
+    rng = np.random.default_rng(11)
+
+    def text(n, words):
+        return " ".join(f"w{k}" for k in rng.integers(0, words, n))
+
+    items = [(k, text(int(n), 3 + k % 4)) for k, n in enumerate(rng.integers(0, 70, 12))] + [(50, ""), (51, "w1 w2")]
+    docs = [(k, text(40, 5) + " Q " + items[k % 12][1][3:] + " " + text(30, 4)) for k in range(20)]
+    docs += [docs[0], (100, ""), (101, None), (None, docs[3][1])]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(2)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = suffix_arrays.find_contamination(frame, benchmark, window=6, block_bytes=block_bytes, places=True).collect()
+    assert len(rows) == len(docs)
+    for row in rows:
+        found = {}
+        for name, item in items:
+            if at := maximal_matches(row.text or "", item, 6):
+                found[name] = at
+        got = {}
+        for m in row.places:
+            got.setdefault(m["item_id"], []).append((m["word"], m["n_words"], m["item_word"]))
+        assert {k: sorted(v) for k, v in got.items()} == found and row["items"] == sorted(found)
+        best = {k: (min(p for p, n, _ in v if n == max(n for _, n, _ in v)), max(n for _, n, _ in v)) for k, v in found.items()}
+        assert {m["item_id"]: (m["word"], m["n_words"]) for m in row.matches} == best
+        covered = {w for v in found.values() for p, n, _ in v for w in range(p, p + n)}
+        assert {w for a, b in zip(row.hits[::2], row.hits[1::2], strict=True) for w in range(a, b)} == covered
+        word = brute.re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        assert row.n_words == len(word.findall((row.text or "").translate(brute.LOWER)))
+
+
+def test_a_column_named_places_stays(spark):
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id bigint, text string, places string")
+    benchmark = spark.createDataFrame([(7, "a b")], "item_id bigint, text string")
+    row = suffix_arrays.find_contamination(docs, benchmark).first()
+    assert row["places"] == "x" and row["items"] == [7]
+
+
 def test_longest_matches_and_places(spark):
     words = [f"w{k}" for k in range(60)]
     docs = spark.createDataFrame([(1, "x " + " ".join(words[5:30]) + " y " + " ".join(words[40:52]))], "doc_id bigint, text string")
