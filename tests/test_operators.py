@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwise.constants import DESCRIPTORS
+from pairwise.functions import quantiles
 from pairwise.functions.quantiles import exact_quantiles
 from pairwise.functions.scalar import finite_or_zero, number, strip
 from pairwise.functions.sequence import residue_table, residue_zscores
@@ -171,6 +172,45 @@ def test_exact_quantiles_of_values_that_crowd_together(spark):
     assert [r["quantile"] for r in rows] == pytest.approx(np.quantile(exact, [0.25, 0.5, 0.999]), abs=1e-15)
 
 
+def _counted_passes(monkeypatch):
+    passes = []
+    for name in ("_sketched", "_fetched"):
+        own = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda *a, own=own, name=name: passes.append(name) or own(*a))
+    return passes
+
+
+@pytest.mark.parametrize("small,most", [(quantiles.SMALL, 2), (500, 3)])
+def test_quantiles_take_a_fixed_number_of_passes(spark, monkeypatch, small, most):
+    passes = _counted_passes(monkeypatch)
+    n = 400_000
+    crowd = F.when(F.col("id") % 3 == 0, 0.25).otherwise(F.pow(F.col("id") * 7919 % n + 1.0, -4.0))
+    frame = spark.range(n).select(F.lit("k").alias("metric"), crowd.alias("value"))
+    ids = np.arange(n)
+    exact = np.where(ids % 3 == 0, 0.25, (ids * 7919 % n + 1.0) ** -4.0)
+    at = [0.0, 0.25, 0.5, 0.9, 0.99999, 1.0]
+    rows = exact_quantiles(frame, at, small).orderBy("probability").collect()
+    assert [r["quantile"] for r in rows] == pytest.approx(np.quantile(exact, at).tolist(), rel=1e-12)
+    assert len(passes) <= most
+
+
+def test_a_wrong_sketch_costs_passes_and_not_results(spark, monkeypatch):
+    own, wrong = quantiles._bracket, iter([(0.9, 0.95, 1), (0.05, 0.1, 1), (0.2, 0.21, 1e9)])
+    monkeypatch.setattr(quantiles, "_bracket", lambda *a: next(wrong, None) or own(*a))
+    frame = spark.range(1000).select(F.lit("k").alias("metric"), (F.col("id") / 1000).alias("value"))
+    (row,) = exact_quantiles(frame, [0.5]).collect()
+    assert row["quantile"] == pytest.approx(0.4995)
+
+
+def test_quantiles_of_nothing_and_of_infinite_values(spark):
+    empty = spark.createDataFrame([], "metric string, value double")
+    assert exact_quantiles(empty, [0.5]).count() == 0
+    inf = float("inf")
+    frame = spark.createDataFrame([("k", v) for v in (-inf, -inf, 0.0, inf, inf)], "metric string, value double")
+    rows = exact_quantiles(frame, [0.25, 0.5, 0.75]).orderBy("probability").collect()
+    assert [r["quantile"] for r in rows] == [-inf, 0.0, inf]
+
+
 def test_means_agree_with_exact_fractions(spark):
     """Rounded means meet thresholds as the exact ones do, for values of few decimals."""
     rng = np.random.default_rng(4)
