@@ -274,6 +274,20 @@ def _first_occurrence(spark, d):
     return frames[0].unionByName(frames[1])
 
 
+@register(
+    "first_rows_filtered",
+    """SELECT customer, value, first_row FROM (
+  SELECT o_custkey AS customer, o_orderstatus AS value, o_orderkey AS first_row,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders)
+WHERE place = 1""",
+)
+def _first_rows_filtered(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(
+        F.col("o_orderkey").alias("row_no"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("value")
+    )
+    return entities.filtered_first_occurrence(rows, "customer", "value", (0, entities.FILTERED[1]))
+
+
 @register(
     "uniqueness_flags",
     f"""{ENTITIES} SELECT row_no, r.accession, r.compound_cid, p.first_row = row_no AS protein_is_unique,

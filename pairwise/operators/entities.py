@@ -3,6 +3,46 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairwise.functions.scalar import percent
+from pairwise.session import stage
+
+# A filter of first rows is broadcast between these numbers of entities: fewer are broadcast by themselves,
+# and more would make it larger than 2 bytes x 20 million.
+FILTERED = (500_000, 20_000_000)
+BLOCK_WORDS = 64  # of 64 bits, in one row of the filter
+BLOCK_KEYS = 256  # so 16 bits for each key
+PROBES = 4  # 12 bits of a hash each
+
+
+def _probes(row: Column) -> list[Column]:
+    """Bits of a block at which a row number is marked."""
+    hashed = F.xxhash64(row, F.lit(1))
+    return [F.shiftright(hashed, 12 * k).bitwiseAND(F.lit(64 * BLOCK_WORDS - 1)).cast("int") for k in range(PROBES)]
+
+
+def _block(row: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(row), F.lit(blocks))
+
+
+def row_filter(firsts: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """A Bloom filter of the ``n`` numbers in ``first_row``: ``block, words``, and the number of blocks."""
+    blocks, row = max(1, -(-n // BLOCK_KEYS)), F.col("first_row")
+    bits = firsts.select(_block(row, blocks).alias("block"), F.explode(F.array(*_probes(row))).alias("bit"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64)
+    words = bits.groupBy("block", F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(mask).alias("mask"))
+    marked = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("marked"))
+    every = F.sequence(F.lit(0), F.lit(BLOCK_WORDS - 1))
+    filled = F.transform(every, lambda w: F.coalesce(F.try_element_at("marked", w), F.lit(0).cast("long")))
+    return marked.select("block", filled.alias("words")), blocks
+
+
+def may_be_first(rows: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
+    """The rows that pass a broadcast filter of the first rows: all of these, and few others."""
+    made, blocks = row_filter(firsts, n)
+    row = F.col("row_no")
+    held = rows.join(F.broadcast(made), _block(row, blocks) == F.col("block"))
+    for bit in _probes(row):
+        held = held.filter(F.getbit(F.get("words", F.floor(bit / 64).cast("int")), bit % 64) == 1)
+    return held.select(*rows.columns)
 
 
 def first_occurrence(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -16,12 +56,27 @@ def first_occurrence(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.join(firsts, rows["row_no"] == firsts["first_row"]).select(key, value, "first_row")
 
 
-def unique_proteins(rows: DataFrame) -> DataFrame:
-    return first_occurrence(rows, "accession", "sequence")
+def filtered_first_occurrence(rows: DataFrame, key: str, value: str, filtered: tuple[int, int] = FILTERED) -> DataFrame:
+    """``first_occurrence`` for a staged table: the first rows are written, so their number decides the lookup.
+
+    A few hundred thousand are broadcast; for millions a Bloom filter of bounded size is, and only rows that
+    pass it are shuffled; beyond that, and where most rows are first ones, all are.
+    """
+    counted = rows.groupBy(key).agg(F.min("row_no").alias("first_row"), F.count("*").alias("n"))
+    firsts = stage(counted.select("first_row", "n"), "first-rows")
+    n, total = firsts.agg(F.count("*"), F.sum("n")).first()
+    firsts = firsts.select("first_row")
+    if filtered[0] <= n <= filtered[1] and 2 * n <= (total or 0):
+        rows = may_be_first(rows, firsts, n)
+    return rows.join(firsts, rows["row_no"] == firsts["first_row"]).select(key, value, "first_row")
+
+
+def unique_proteins(rows: DataFrame, staged: bool = False) -> DataFrame:
+    return (filtered_first_occurrence if staged else first_occurrence)(rows, "accession", "sequence")
 
 
-def unique_compounds(rows: DataFrame) -> DataFrame:
-    return first_occurrence(rows, "compound_cid", "smile")
+def unique_compounds(rows: DataFrame, staged: bool = False) -> DataFrame:
+    return (filtered_first_occurrence if staged else first_occurrence)(rows, "compound_cid", "smile")
 
 
 def with_uniqueness_flags(rows: DataFrame) -> DataFrame:

@@ -69,10 +69,10 @@ def run_features(
         if not resume and find_folders(spark, f"{store}/*"):
             raise FileExistsError(f"{store} holds features of another run")
         proteins = extend_store(
-            unique_proteins(rows), f"{store}/proteins", "accession", protein_vectors
+            unique_proteins(rows, staged=True), f"{store}/proteins", "accession", protein_vectors
         )
         compounds = extend_store(
-            unique_compounds(rows),
+            unique_compounds(rows, staged=True),
             f"{store}/compounds",
             "compound_cid",
             lambda todo: compound_features(todo, table),

@@ -197,3 +197,32 @@ def test_long_profile_spreads_over_window_groups(spark):
         F.avg(F.pow(F.expr("a.scores[4] - b.scores[4]"), 2))
     ).first()[0]
     assert means[7][4] == pytest.approx(want)
+
+
+def test_only_rows_that_may_be_first_are_shuffled(spark, settings):
+    settings(autoBroadcastJoinThreshold="-1")
+    n, entities_ = 200_000, 3_000
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None)).otherwise((F.col("id") * 7919 % entities_).cast("string"))
+    rows = stage(spark.range(n).select((F.col("id") + 1).alias("row_no"), key.alias("k"),
+                                       F.concat(F.lit("v"), "id").alias("v")), "rows")
+    found = entities.filtered_first_occurrence(rows, "k", "v", (0, 10_000))
+    text = plan(found)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" in text
+    plainly = entities.filtered_first_occurrence(rows, "k", "v", (10, 11))
+    assert "BroadcastHashJoin" not in plan(plainly)
+    assert sorted(map(str, found.collect())) == sorted(map(str, plainly.collect()))
+    firsts = stage(rows.groupBy("k").agg(F.min("row_no").alias("first_row")), "firsts")
+    wanted = firsts.count()
+    passed = entities.may_be_first(rows, firsts, wanted)
+    assert passed.join(firsts, passed["row_no"] == firsts["first_row"]).count() == wanted
+    assert passed.count() < wanted + n // 100
+
+
+def test_first_rows_of_small_and_empty_tables(spark):
+    empty = spark.createDataFrame([], "row_no bigint, k string, v string")
+    assert entities.filtered_first_occurrence(empty, "k", "v", (0, 10)).count() == 0
+    rows = spark.createDataFrame([(2, "a", "y"), (1, "a", None), (4, "", "z"), (3, None, "n"), (5, None, "m"), (6, "", "")],
+                                 "row_no bigint, k string, v string")
+    for filtered in ((0, 10), (10, 20)):
+        got = {tuple(r) for r in entities.filtered_first_occurrence(rows, "k", "v", filtered).collect()}
+        assert got == {("a", None, 1), ("", "z", 4), (None, "n", 3)}
