@@ -9,6 +9,7 @@ from pairwise.constants import (
     PRESETS,
     STRATEGIES,
 )
+from pairwise.functions.scalar import rounded_to
 from pairwise.operators import agreement, consensus, distributions, pairs, sweeps
 from pairwise.params import ConsensusParams, sweep_thresholds
 from pairwise.session import hadoop_path, stage, staging_path
@@ -752,7 +753,9 @@ FROM members m JOIN fx_predictions p USING (protein_id, compound_id)""",
 )
 def _export_detailed(spark, d):
     frame = inputs.predictions(spark, d)
-    return tidy(tables.export_detailed(pairs.pair_stats(frame), frame, P))
+    rows = counts_long(tables.export_detailed(pairs.pair_stats(frame), frame, P))
+    doubles = [name for name, kind in rows.dtypes if kind == "double"]
+    return rows.withColumns({name: rounded_to(F.col(name), DIGITS) for name in doubles})
 
 
 @register(

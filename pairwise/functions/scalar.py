@@ -41,6 +41,18 @@ def stable_mean(col: Column) -> Column:
     return F.round(F.avg(col), MEAN_DIGITS)
 
 
+def rounded_to(col: Column, digits: int) -> Column:
+    """``round(col, digits)``, the same value to the bit, without decimals where the scaled value is clear of a tie.
+
+    Spark's own rounding prints and parses a number, which is most of the time of a wide export. Below 2^43 the
+    scaled value is off by 0.001 at most, and an integer over a power of ten is the double next to that decimal.
+    """
+    scaled = col * 10.0**digits
+    whole = F.floor(scaled + 0.5)
+    clear = (F.abs(scaled) < 2.0**43) & (F.abs(scaled - whole) < 0.49)
+    return F.when(clear, whole / 10.0**digits).otherwise(F.round(col, digits))
+
+
 def above(name: str, threshold: float) -> Column:
     """``name > threshold`` where NaN never passes."""
     return ~F.isnan(F.col(name).cast("double")) & (F.col(name) > threshold)

@@ -1,5 +1,8 @@
 """Frames behind every output file."""
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairwise.constants import (
@@ -50,20 +53,20 @@ def export_detailed(
     """
     conditions = consensus.predicates(params)
     scores = consensus.scores()
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(c, F.struct(F.lit(n).alias("strategy"), scores[n].alias("score")))
-                for n, c in conditions.items()
-            ]
-        )
-    )
+    # A pair carries its strategies as bits, which compile to a few instructions; a list of names and scores is
+    # built by interpreted code for every pair, and sorted and joined as a wide row.
+    bits = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions.values())]
     selected = stats.select(
-        *PAIR, "avg_probability_1", "avg_confidence", "positive_ratio", hits.alias("_hits")
-    ).filter(F.size("_hits") > 0)
+        *PAIR, "avg_probability_1", "avg_confidence", "positive_ratio", reduce(add, bits).alias("_hits")
+    )
+    # for each pattern of bits the numbers of the strategies; a pair of none gives no row
+    numbers = [[F.lit(i) for i in range(len(bits)) if pattern >> i & 1] for pattern in range(1 << len(bits))]
+    of_pattern = F.array(*[F.array(*found).cast("array<int>") for found in numbers])
+    fanned = predictions.join(selected, PAIR).select("*", F.explode(F.get(of_pattern, F.col("_hits"))).alias("_nth"))
     label = F.when(F.col("prediction") == 1, POSITIVE_LABEL).otherwise(NEGATIVE_LABEL)
-    return predictions.join(selected, PAIR).select(
-        F.inline("_hits"),
+    return fanned.select(
+        F.coalesce(*[F.when(F.col("_nth") == i, n) for i, n in enumerate(conditions)]).alias("strategy"),
+        F.coalesce(*[F.when(F.col("_nth") == i, scores[n]) for i, n in enumerate(conditions)]).alias("score"),
         *PAIR,
         "model_type",
         "model_name",

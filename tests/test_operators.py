@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairwise.constants import DESCRIPTORS
 from pairwise.functions import quantiles
 from pairwise.functions.quantiles import exact_quantiles
-from pairwise.functions.scalar import finite_or_zero, number, strip
+from pairwise.functions.scalar import finite_or_zero, number, rounded_to, strip
 from pairwise.functions.sequence import residue_table, residue_zscores
 from pairwise.operators import (
     agreement,
@@ -56,6 +56,16 @@ def stats(predictions):
     return pairs.pair_stats(predictions).cache()
 
 
+def test_rounding_is_that_of_spark_to_the_bit(spark):
+    odd = [None, NAN, math.inf, -math.inf, 0.0, -0.0, -1e-9, 5e-7, 2.5e-6, 1.0000005, -0.0000015, 1e300, 8796093.0222085, 1 / 3]
+    values = spark.createDataFrame([(v,) for v in odd], "v double").unionAll(
+        spark.range(200_000).select(((F.rand(1) - 0.5) * F.pow(F.lit(10.0), F.col("id") % 12)).alias("v"))
+    ).unionAll(spark.range(20_000).select((F.col("id") / 2e6).alias("v")))  # half of them ties
+    for digits in (0, 6, 12):
+        got, want = F.hex(rounded_to(F.col("v"), digits).cast("string")), F.hex(F.round("v", digits).cast("string"))
+        assert values.filter(~got.eqNullSafe(want)).count() == 0
+
+
 def test_pair_stats(stats):
     rows = {(r.protein_id, r.compound_id): r for r in stats.collect()}
     assert len(rows) == 5

@@ -185,6 +185,14 @@ def test_hot_pair_is_split_in_the_detailed_export(spark, settings):
     assert "SortMergeJoin(skew=true)" in plan(detail)
 
 
+def test_detailed_export_carries_strategies_as_bits(plans):
+    """Nothing interpreted for each pair or row, and no list of names in the join."""
+    text = plans["export_detailed"]
+    assert "lambda" not in text and "all_positive, score" not in text
+    joined = text[text.index("SortMergeJoin"):] if "SortMergeJoin" in text else text[text.index("BroadcastHashJoin"):]
+    assert "strategy" not in joined
+
+
 def test_long_profile_spreads_over_window_groups(spark):
     rows = spark.range(1, 5001).select(
         F.concat(F.lit("P"), F.col("id") - F.col("id")).alias("accession"), F.col("id").alias("pos"),
