@@ -12,7 +12,7 @@ from pairwise.constants import (
 from pairwise.functions.scalar import rounded_to
 from pairwise.operators import agreement, consensus, distributions, pairs, sweeps
 from pairwise.params import ConsensusParams, sweep_thresholds
-from pairwise.session import hadoop_path, stage, staging_path
+from pairwise.session import hadoop_path, stage, staging_path, unsorted_writes
 from pairwise.sinks import files, tables
 from pairwise.sinks.report import report
 from pairwise.sources import predictions as sources
@@ -217,7 +217,9 @@ def _written_run(spark, d):
         {"_folder": F.col("model_type"), "_file": F.concat("model_name", F.lit("_prediction.csv"))}
     )
     target = f"{run}/parts"
-    files.write_csv(with_folders.repartition("_folder", "_file").drop("model_type", "model_name"), target, ("_folder", "_file"))
+    dealt = with_folders.repartition("_folder", "_file").drop("model_type", "model_name")
+    with unsorted_writes(spark):  # a model's file is written by one task, however long it is
+        files.write_csv(dealt, target, ("_folder", "_file"))
     # one part file for each model: give it the name that a run has
     for part in find_files(spark, f"{target}/*/*/part-*"):
         *_, folder, name, _ = part.split("/")

@@ -4,8 +4,10 @@ import math
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
+from pairwise import session
+from pairwise.checks import consensus
 from pairwise.sinks import files
 
 
@@ -66,3 +68,24 @@ def test_byte_order_mark(spark, tmp_path):
     assert part.read_bytes() == "\ufeffn,text\n2,日\n".encode()
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert set(back.columns) == {"n", "text", "kind"}
+
+
+@pytest.mark.parametrize("open_files", [100, 3])
+def test_a_run_is_written_without_sorting_the_rows_of_a_model(spark, tmp_path, monkeypatch, open_files):
+    """Rows stream into the files of their models; models beyond the open files are written too."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before, seen = spark.conf.get(name), []
+    plain = DataFrameWriter.csv
+    monkeypatch.setattr(session, "OPEN_FILES", open_files)
+    monkeypatch.setattr(DataFrameWriter, "csv", lambda self, *a, **b: (seen.append(spark.conf.get(name)), plain(self, *a, **b))[1])
+    rows = spark.range(3_000).select(
+        F.lit(25.0).alias("l_quantity"), (F.col("id") % 2).cast("string").alias("l_linestatus"), (F.col("id") % 7).alias("l_linenumber"),
+        F.col("id").alias("l_suppkey"), F.col("id").alias("l_partkey"),
+    )
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = consensus.QUERIES["discovered_files"](spark, str(tmp_path)).collect()
+    assert sorted((r.model_dir, r.model_name) for r in found) == sorted((f"M{k}", f"m{i}") for k in range(2) for i in range(7))
+    assert sum(r.records for r in found) == 3_000 and {r.records for r in found} <= {214, 215}
+    assert seen == [str(open_files)] and spark.conf.get(name) == before
+    read = consensus.QUERIES["prediction_files"](spark, str(tmp_path))
+    assert read.select("protein_id").distinct().count() == read.count() == 3_000
