@@ -53,7 +53,13 @@ def attach_proteins(rows: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def attach_compounds(rows: DataFrame, features: DataFrame) -> DataFrame:
-    return rows.join(features, "compound_cid", "left").withColumn(
+    """Left join on the compound; a miss has zeros.
+
+    The join is a sort-merge join by a hint: Spark takes an array for one value of its kind, so by its estimate
+    millions of vectors of 64 are small enough to broadcast, and every task would hold them all. Hot keys are split
+    at run time.
+    """
+    return rows.join(features.hint("merge"), "compound_cid", "left").withColumn(
         "compound_vector", F.coalesce("compound_vector", _zeros(DESCRIPTOR_DIM))
     )
 

@@ -165,6 +165,21 @@ def test_hot_protein_is_split_when_features_are_attached(spark, settings):
     assert out.filter("accession = 'hot'").count() == 20_000
 
 
+def test_compound_vectors_are_not_broadcast_by_an_estimate(spark, tmp_path):
+    """200,000 vectors (some 100 MB) pack into a file of few MB, so by Spark's estimate they are small."""
+    spark.range(200_000).write.parquet(f"{tmp_path}/ids")
+    features = spark.read.parquet(f"{tmp_path}/ids").select(
+        F.concat(F.lit("C"), "id").alias("compound_cid"), F.array(*[F.col("id") * 1.0] * 64).alias("compound_vector")
+    )
+    rows = spark.range(1_000).select(
+        (F.col("id") + 1).alias("row_no"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("C"), "id")).otherwise("").alias("compound_cid")
+    )
+    out = assemble.attach_compounds(rows, features)
+    assert out.filter("compound_vector[63] = if(row_no % 2 = 1, row_no - 1, 0)").count() == out.count() == 1_000
+    out.collect()
+    assert "Broadcast" not in plan(out) and "SortMergeJoin" in plan(out)
+
+
 def test_hot_pair_is_split_in_the_detailed_export(spark, settings):
     _skew(settings)
     i = F.col("id")
